@@ -16,5 +16,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "p_block")
 
 
-QUERIES = {"op1_url_filter": op1_url_filter}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.language_id import fit_language_model, held_out, with_language
+
+    docs = table(spark, sf_dir, "documents")
+    learn = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    found = with_language(docs.select("doc_id", "text"), fit_language_model(learn))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op8_language_id": op8_language_id}
 ORACLE_SQL: dict[str, str] = {}
