@@ -25,5 +25,22 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op8_language_id": op8_language_id}
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.common import new_path
+    from tidelog.llm.token_store import read_store, write_store
+
+    path = new_path(spark, "token-store")
+    write_store(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return read_store(spark, path)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+QUERIES = {
+    "op7_token_store": op7_token_store,
+    "op1_url_filter": op1_url_filter, "op8_language_id": op8_language_id}
 ORACLE_SQL: dict[str, str] = {}
