@@ -25,6 +25,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.pii import find_pii, pii_digests
+
+    return pii_digests(find_pii(table(spark, sf_dir, "documents")))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.secrets import find_secrets, secret_digests
+
+    return secret_digests(find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.common import new_path
     from tidelog.llm.token_store import read_store, write_store
@@ -41,6 +53,8 @@ def tokenizer_path() -> str:
 
 
 QUERIES = {
+    "op2_pii": op2_pii,
+    "op5_secrets": op5_secrets,
     "op7_token_store": op7_token_store,
     "op1_url_filter": op1_url_filter, "op8_language_id": op8_language_id}
 ORACLE_SQL: dict[str, str] = {}
