@@ -31,6 +31,19 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digests(find_pii(table(spark, sf_dir, "documents")))
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.mixing import mixed_order
+
+    return mixed_order(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), 10)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.secrets import find_secrets, secret_digests
 
@@ -54,7 +67,18 @@ def tokenizer_path() -> str:
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op3_mix": op3_mix,
+    "op4_topk": op4_topk,
     "op5_secrets": op5_secrets,
     "op7_token_store": op7_token_store,
     "op1_url_filter": op1_url_filter, "op8_language_id": op8_language_id}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_topk": """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
+           from embeddings where embedding is not null and len(embedding) > 0
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) as score
+          from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from pairs)
+select query_id, rank, vec_id, score from ranked where rank <= 10""",
+}
