@@ -27,12 +27,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark then drops an execution's shuffle files as it ends, rather than when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, codec: str = "zstd", by: str | None = None) -> None:
+    """Write Parquet whose shuffle files go once the files stand: nothing reads this execution again."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        out = df.write.option("compression", codec)
+        (out.partitionBy(by) if by else out).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(df.sparkSession, name)
+    write(df, path, codec)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:

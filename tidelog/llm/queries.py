@@ -50,6 +50,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.common import new_path
     from tidelog.llm.token_store import read_store, write_store
@@ -70,6 +76,7 @@ QUERIES = {
     "op3_mix": op3_mix,
     "op4_topk": op4_topk,
     "op5_secrets": op5_secrets,
+    "op6_decontaminate": op6_decontaminate,
     "op7_token_store": op7_token_store,
     "op1_url_filter": op1_url_filter, "op8_language_id": op8_language_id}
 ORACLE_SQL: dict[str, str] = {

@@ -50,11 +50,15 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Separators that leave letters and digits only (of ASCII).
+PUNCTUATION = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of its text), in order."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    inside = ~_IS_SPACE[data]
+    inside = ~separators[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     edges = offsets[1:-1]
@@ -70,6 +74,25 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mixed(np.add.reduceat(value, starts - starts[0])), np.searchsorted(offsets, starts, "right") - 1
 
 
+class HashFilter:
+    """A bitmap of fixed size over hashes: no hash that was added is missed, few others pass."""
+
+    BITS = 26
+
+    def __init__(self, hashes: np.ndarray | None = None):
+        self.words = np.zeros(1 << (self.BITS - 6), np.uint64)
+        if hashes is not None:
+            self.add(hashes)
+
+    def add(self, hashes: np.ndarray) -> None:
+        bit = hashes >> np.uint64(64 - self.BITS)
+        np.bitwise_or.at(self.words, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+
+    def passing(self, hashes: np.ndarray) -> np.ndarray:
+        bit = hashes >> np.uint64(64 - self.BITS)
+        return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
 def ngram_hashes(words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of the text) of every run of n words of one text, in order."""
     m = len(words) - n + 1
