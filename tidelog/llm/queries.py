@@ -71,6 +71,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.jaccard_join import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_pii": op2_pii,
     "op3_mix": op3_mix,
@@ -79,6 +85,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_token_store": op7_token_store,
     "op1_url_filter": op1_url_filter, "op8_language_id": op8_language_id}
+QUERIES["op9_jaccard_join"] = op9_jaccard_join
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
