@@ -4,7 +4,8 @@ Files under the store's path, all Parquet:
 
 * ``chunks/pack=K`` - every distinct chunk once: ``digest`` (blake2b-128 of the id bytes), ``ids`` (uint16 or
   uint32 little-endian), ``n`` ids. A chunk's pack follows from its digest.
-* ``recipes`` - a row per document in output order: ``start``, ``n_tokens``, the chunk digests in order, ``root``.
+* ``recipes`` - a row per document in output order: ``start``, ``n_tokens``, its chunk digests in order, how many
+  ids follow each chunk, Merkle ``root``.
 * ``manifest`` - a row per pack: ``root`` of the Merkle tree over its digests in order, ``n_chunks``, ``n_ids``.
 
 A rolling hash over the last ids cuts the id stream of a document into chunks, so copies share all chunks and
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,86 +30,165 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
-from tidelog.llm.common import stored
+from tidelog.llm import words
+from tidelog.llm.common import stored, write
 
 END_ID = 2
 #: Cut where the rolling hash of the last WINDOW ids has MASK's bits clear: one chunk end in 256 ids.
 WINDOW, MASK, MAX_CHUNK = 16, np.uint64(0xFF00000000), 4096
-#: Words whose ids a worker keeps at most, and the longest such word.
-CACHED_WORDS, CACHED_LENGTH = 1_000_000, 48
+#: Pieces whose ids a worker keeps at most, and the longest such piece.
+CACHED_PIECES, CACHED_LENGTH = 1_000_000, 256
 #: Chunks in one pack, about.
 PACK_CHUNKS = 20_000
 _GEAR = np.random.default_rng(5).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
-_workers: dict[str, WordEncoder] = {}
+_workers: dict[str, PieceEncoder] = {}
 
 
-class WordEncoder:
-    """Ids of whole texts, word by word: the tokenizer drops white space and never joins words across it."""
+class Pool:
+    """Id sequences by name: ``index`` gives a name's number, ``start`` the bounds of its ids."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids, self.start, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, int] = {}
-        self.ids, self.start = np.zeros(1 << 20, np.uint32), np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def learn(self, new: list[str]) -> None:
-        """Encode unseen words together, parted by blanks, and keep the ids of each."""
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words, self.used = {}, 0
-        lengths = np.fromiter(map(len, new), np.int64, len(new))
-        begins = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        done = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids = np.array(done.ids, dtype=np.uint32)
-        at = np.array(done.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-        ends = np.searchsorted(at, begins, "left")
+    def add(self, names: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.words) + len(new) + 1 > len(self.start):
+        first = len(self.index)
+        while first + len(names) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         self.ids[self.used : self.used + len(ids)] = ids
-        first = len(self.words)
-        self.start[first : first + len(new)] = self.used + ends
+        self.start[first + 1 : first + 1 + len(names)] = self.used + ends
         self.used += len(ids)
-        self.start[first + len(new)] = self.used
-        self.words.update(zip(new, range(first, first + len(new)), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, with END_ID after each text; the end of each text in them)."""
-        lists = [t.replace("\n", " ").split(" ") for t in texts]
-        flat = [w for x in lists for w in x]
-        index = list(map(self.words.get, flat))
-        if None in index:
-            new = list(dict.fromkeys(w for w, i in zip(flat, index, strict=True) if i is None))
-            odd = {w for w in new if len(w) > CACHED_LENGTH or not plain(w)}
-            if odd:
-                return self.encode_mixed(texts, [not odd.isdisjoint(x) for x in lists])
-            self.learn(new)
-            index = list(map(self.words.get, flat))
-            if None in index:  # the words were started anew
-                self.learn(list(dict.fromkeys(w for w, i in zip(flat, index, strict=True) if i is None)))
-                index = list(map(self.words.get, flat))
-        at = np.array(index, dtype=np.int64)
-        size = self.start[at + 1] - self.start[at]
-        total = np.concatenate([[0], np.cumsum(size)])
-        of_text = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))])
-        ids = self.ids[np.repeat(self.start[at] - total[:-1], size) + np.arange(total[-1])]
-        ends = total[of_text[1:]]
-        return np.insert(ids, ends, END_ID), ends + np.arange(1, len(texts) + 1)
-
-    def encode_mixed(self, texts: list[str], whole: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-        """Texts with a very long or an odd word are encoded as they are, the others by words."""
-        by_words = [t for t, w in zip(texts, whole, strict=True) if not w]
-        ids, ends = self.encode(by_words) if by_words else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        parts = iter(np.split(ids, ends[:-1]) if by_words else [])
-        own = (np.array([*e.ids, END_ID], np.uint32) for e in self.tokenizer.encode_batch([t for t, w in zip(texts, whole, strict=True) if w], add_special_tokens=False))
-        joined = [next(own) if w else next(parts) for w in whole]
-        return np.concatenate(joined), np.cumsum([len(p) for p in joined])
-
-
-def plain(word: str) -> bool:
-    return word.isprintable() and "<|" not in word
+        self.index.update(zip(names, range(first, first + len(names)), strict=True))
+
+    def numbers(self, names: list[str]) -> np.ndarray:
+        """The number of each name, -1 where it is unknown."""
+        return np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
+
+    def gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all these numbers in turn, the end of each)."""
+        size = self.start[numbers + 1] - self.start[numbers]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.start[numbers] - ends + size, size) + np.arange(total)], ends
+
+
+class PieceEncoder:
+    """Ids of whole texts, piece by piece: the tokenizer splits at white space and where letters, digits and
+    punctuation meet, so such pieces are encoded once and their ids kept.
+
+    A text is encoded as it is, by the tokenizer alone, where that could differ: with a special token's start,
+    a control character, a non-ASCII character that is no letter, or a very long piece. Words with an apostrophe stay
+    whole, for the tokenizer may read it with letters.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.pool = Pool()
+
+    def encode_apart(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of pieces encoded together, parted by blanks; the places of the ids tell them apart."""
+        begins = np.cumsum([0, *(len(x) + 1 for x in names)])
+        done = self.tokenizer.encode(" ".join(names), add_special_tokens=False)
+        at = np.array(done.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+        return np.array(done.ids, dtype=np.uint32), np.searchsorted(at, begins[1:], "left")
+
+    def learn(self, names: list[str]) -> None:
+        """Most pieces end with their only word-end token; where that doesn't hold, places decide."""
+        if len(self.pool.index) + len(names) > CACHED_PIECES:
+            self.pool = Pool()
+        simple = [x for x in names if x.isalpha()]
+        other = [x for x in names if not x.isalpha()]
+        if simple:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(simple) or ends[-1] != len(ids):
+                ids, ends = self.encode_apart(simple)
+            self.pool.add(simple, ids, ends)
+        if other:
+            self.pool.add(other, *self.encode_apart(other))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, with END_ID after each text; the end of each text in them) of texts in one buffer."""
+        n = len(offsets) - 1
+        start, stop, owner, odd = pieces(data, offsets)
+        raw = words._LOWER[data]
+        codes, first = distinct(raw, start, stop)
+        names = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
+        bad = [i for i, x in enumerate(names) if not (x.isascii() or x.isalpha()) or len(x) > CACHED_LENGTH]
+        if bad:
+            odd[np.unique(owner[np.isin(codes, bad)])] = True
+        numbers = self.pool.numbers(names)
+        usable = np.ones(len(names), bool)
+        usable[bad] = False
+        for _ in range(2):  # learning may start the pool anew
+            new = np.flatnonzero((numbers < 0) & usable)
+            if len(new):
+                self.learn([names[i] for i in new.tolist()])
+                numbers = self.pool.numbers(names)
+        keep = ~odd[owner]
+        ids, ends = self.pool.gathered(numbers[codes[keep]])
+        of_text = np.concatenate([[0], ends])[np.searchsorted(owner[keep], np.arange(n), "right")]
+        if not odd.any():
+            return np.insert(ids, of_text, END_ID), of_text + np.arange(1, n + 1)
+        texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in np.flatnonzero(odd)]
+        own = iter(self.tokenizer.encode_batch(texts, add_special_tokens=False))
+        parts = [np.append(np.array(next(own).ids, np.uint32) if odd[i] else ids[(of_text[i - 1] if i else 0) : of_text[i]], np.uint32(END_ID)) for i in range(n)]
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts])
+
+
+#: Byte classes: 0 white space, 1 letters (with all non-ASCII bytes), 2 digits, 3 punctuation, 4 other controls.
+_CLASS = np.array([0 if i in (32, *range(9, 14)) else 4 if i < 32 or i == 127 else 2 if 48 <= i <= 57 else 1 if i >= 128 or chr(i).isalpha() else 3 for i in range(256)], np.uint8)
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, text) of every run of one byte class, and which texts must be encoded as they are."""
+    n = len(offsets) - 1
+    odd = np.zeros(n, bool)
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), odd
+    kind = _CLASS[data]
+    change = np.ones(len(data), bool)
+    change[1:] = kind[1:] != kind[:-1]
+    quotes = np.flatnonzero(data == 39)
+    if len(quotes):  # words with an apostrophe stay whole
+        blank = np.ones(len(data), bool)
+        blank[1:] = (kind[1:] == 0) != (kind[:-1] == 0)
+        word = np.cumsum(blank)
+        inside = np.zeros(int(word[-1]) + 1, bool)
+        inside[word[quotes]] = True
+        change = np.where(inside[word], blank, change)
+    edges = offsets[1:-1]
+    change[edges[edges < len(data)]] = True
+    start = np.flatnonzero(change)
+    stop = np.append(start[1:], len(data))
+    strange = np.flatnonzero((kind == 4) | ((data == 60) & (np.append(data[1:], 0) == 124)))
+    if len(strange):
+        odd[np.unique(np.searchsorted(offsets, strange, "right") - 1)] = True
+    real = kind[start] != 0
+    start, stop = start[real], stop[real]
+    return start, stop, np.searchsorted(offsets, start, "right") - 1, odd
+
+
+def distinct(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each piece among the distinct ones, index of the first of each)."""
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    length = stop - start
+    edges = np.stack([start, stop], axis=1).ravel()
+    within = np.arange(len(data), dtype=np.int64)
+    within[start[0] :] -= np.repeat(start, np.diff(np.append(start, len(data))))
+    value = words._BYTE_VALUE[data] * words.powers(words._RADIX, int(max(np.diff(np.append(start, len(data))).max(), start[0] + 1)))[within]
+    sums = np.add.reduceat(np.append(value, np.uint64(0)), edges)[::2]
+    codes, _ = pd.factorize(words.mixed(sums + length.astype(np.uint64) * words._STEP))
+    most = np.maximum.accumulate(codes)
+    return codes, np.flatnonzero(np.diff(most, prepend=-1) > 0)
 
 
 def cuts(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -146,21 +227,13 @@ def encoded_chunks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _workers:
-            _workers[tokenizer_path] = WordEncoder(tokenizer_path)
+            _workers[tokenizer_path] = PieceEncoder(tokenizer_path)
         encoder, seen = _workers[tokenizer_path], set()
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            first = 0
-            while first < len(texts):
-                last, chars = first, 0
-                while last < len(texts) and (last == first or chars + len(texts[last]) < 1_000_000):
-                    chars += len(texts[last])
-                    last += 1
-                yield block(encoder, seen, batch.slice(first, last - first), texts[first:last])
-                first = last
-
-    def block(encoder: WordEncoder, seen: set, part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        ids, ends = encoder.encode(texts)
+            for part, data, offsets in words.slices(batch, "text"):
+                yield block(*encoder.encode(data, offsets), seen, part)
+
+    def block(ids: np.ndarray, ends: np.ndarray, seen: set, part: pa.RecordBatch) -> pa.RecordBatch:
         wide = int(ids.max()) > 0xFFFF
         raw = ids.astype("<u4" if wide else "<u2").tobytes()
         width = 4 if wide else 2
@@ -178,7 +251,7 @@ def encoded_chunks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         sizes = np.diff(ends, prepend=0)
         return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(sizes), *lists], ["doc_id", "row", "n_tokens", "digests", "sizes", "new"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "row").mapInArrow(rows, CHUNK_SCHEMA)
+    return docs.select("doc_id", "text", "row").mapInArrow(rows, CHUNK_SCHEMA)
 
 
 def _pack(name: Column, packs: int) -> Column:
@@ -196,9 +269,9 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, order: tuple[st
     staged = stored(encoded_chunks(keyed, tokenizer_path), "token-chunks")
     pieces = staged.select(F.explode(F.arrays_zip("digests", "sizes", "new")).alias("c")).filter("c.new is not null").select(F.col("c.digests").alias("digest"), F.col("c.sizes").alias("n"), F.col("c.new").alias("ids"))
     packs = max(1, round(pieces.count() / PACK_CHUNKS))
-    unique = pieces.withColumn("pack", _pack(F.col("digest"), packs)).repartition(max(packs, 12), "digest").dropDuplicates(["digest"])
-    unique.sortWithinPartitions("pack").write.option("compression", "zstd").partitionBy("pack").parquet(f"{path}/chunks")
-    pack_roots(spark, path).write.parquet(f"{path}/manifest")
+    unique = pieces.withColumn("pack", _pack(F.col("digest"), packs)).repartition(packs, "pack").dropDuplicates(["pack", "digest"])
+    write(unique, f"{path}/chunks", by="pack")
+    write(pack_roots(spark, path), f"{path}/manifest")
     recipes = staged.select("doc_id", "row", "n_tokens", "digests", "sizes")
     if ordered:
         keys = stored(keyed.select("row", *[f"_o{i}" for i in range(len(order))]), "token-order")
@@ -207,13 +280,17 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, order: tuple[st
     else:
         by = ["doc_id"]
     starts = with_starts(recipes, [*by, "row"], "n_tokens")
-    rooted = starts.select("doc_id", "start", "n_tokens", "digests", "sizes").mapInPandas(_with_root, "doc_id long, start long, n_tokens long, digests array<binary>, sizes array<int>, root binary")
-    rooted.write.option("compression", "zstd").parquet(f"{path}/recipes")
+    write(starts.select("doc_id", "start", "n_tokens", "digests", "sizes").mapInPandas(_with_root, RECIPE_SCHEMA), f"{path}/recipes")
+
+
+RECIPE_SCHEMA = "doc_id long, start long, n_tokens long, digests array<binary>, after array<long>, root binary"
 
 
 def _with_root(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Replace the chunk sizes by how many ids of the document follow each chunk; add the Merkle root."""
     for pdf in parts:
-        yield pdf.assign(root=[merkle_root(list(x)) for x in pdf["digests"]])
+        after = [n - np.cumsum(x) for n, x in zip(pdf["n_tokens"], pdf["sizes"], strict=True)]
+        yield pdf.drop(columns="sizes").assign(after=after, root=[merkle_root(list(x)) for x in pdf["digests"]])[["doc_id", "start", "n_tokens", "digests", "after", "root"]]
 
 
 def with_starts(rows: DataFrame, by: list[str], size: str) -> DataFrame:
@@ -256,45 +333,40 @@ def verified_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _gf2_times(matrix: list[int], vector: int) -> int:
-    total, k = 0, 0
-    while vector:
-        if vector & 1:
+    total = 0
+    for k in range(32):
+        if vector >> k & 1:
             total ^= matrix[k]
-        vector >>= 1
-        k += 1
     return total
 
 
-class CrcShift:
-    """Advances a crc32 over n further zero bytes, by powers of the one-bit shift; joins crcs of parts."""
+def crc_shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """crc32 values as they count in a text that goes on for n further bytes; such values add up by xor."""
+    matrix = [0xEDB88320, *(1 << k for k in range(31))]  # a shift by one bit
+    out, n = crc.astype(np.uint32), n_bytes.astype(np.int64) << 3
+    while n.any():
+        odd = np.flatnonzero(n & 1)
+        if len(odd):
+            x, y = out[odd], np.zeros(len(odd), np.uint32)
+            for k in range(32):
+                y ^= np.where(x >> np.uint32(k) & np.uint32(1), np.uint32(matrix[k]), np.uint32(0))
+            out[odd] = y
+        n >>= 1
+        matrix = [_gf2_times(matrix, column) for column in matrix]
+    return out
 
-    def __init__(self) -> None:
-        one = [0xEDB88320, *(1 << k for k in range(31))]
-        self.squares = [one]
-        for _ in range(66):
-            m = self.squares[-1]
-            self.squares.append([_gf2_times(m, c) for c in m])
-        self.known: dict[int, list[int]] = {}
-
-    def matrix(self, n_bytes: int) -> list[int]:
-        if n_bytes not in self.known:
-            m, k, n = [1 << i for i in range(32)], 3, n_bytes
-            while n:
-                if n & 1:
-                    m = [_gf2_times(self.squares[k], c) for c in m]
-                n >>= 1
-                k += 1
-            if len(self.known) > 10_000:
-                self.known.clear()
-            self.known[n_bytes] = m
-        return self.known[n_bytes]
-
-    def joined(self, parts: list[tuple[int, int]]) -> int:
-        """crc32 of the concatenation of (crc32, bytes) parts."""
-        total = 0
-        for crc, n in parts:
-            total = _gf2_times(self.matrix(n), total) ^ crc if total else crc
-        return total
+
+def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        crc = crc_shifted(np.asarray(batch.column("crc").fill_null(0)), 4 * np.asarray(batch.column("after")))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens", "n", "missing")), pa.array(crc.astype(np.int64))], ["doc_id", "start", "n_tokens", "n", "missing", "part"])
+
+
+def _rooted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        if any(merkle_root(list(x)) != root for x, root in zip(pdf["digests"], pdf["root"], strict=True)):
+            raise ValueError("a document doesn't match its recipe")
+        yield pdf.drop(columns="root")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -302,25 +374,16 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
     Every chunk is read once; documents join crcs and sizes of their chunks, not the ids themselves.
     """
-    wrong = pack_roots(spark, path).exceptAll(spark.read.schema("pack int, root binary, n_chunks long, n_ids long").parquet(f"{path}/manifest"))
-    if wrong.limit(1).count():
+    manifest = spark.read.schema("pack int, root binary, n_chunks long, n_ids long").parquet(f"{path}/manifest")
+    if pack_roots(spark, path).exceptAll(manifest).limit(1).count():
         raise ValueError("a pack doesn't match the manifest")
-    recipes = spark.read.schema("doc_id long, start long, n_tokens long, digests array<binary>, sizes array<int>, root binary").parquet(f"{path}/recipes")
-    uses = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("k", "digest"))
-    found = uses.join(verified_chunks(spark, path), "digest", "left")
-    parts = found.groupBy("start", "doc_id", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("k", "digest", "crc", "n"))).alias("parts"))
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shift = CrcShift()
-        for pdf in batches:
-            crcs = []
-            for root, n, own in zip(pdf["root"], pdf["n_tokens"], pdf["parts"], strict=True):
-                if any(x["crc"] is None or x["crc"] != x["crc"] for x in own) or merkle_root([bytes(x["digest"]) for x in own]) != bytes(root) or sum(int(x["n"]) for x in own) != n:
-                    raise ValueError("a document doesn't match its recipe")
-                crcs.append(shift.joined([(int(x["crc"]), 4 * int(x["n"])) for x in own]))
-            yield pdf[["doc_id", "start", "n_tokens"]].assign(ids_crc32=crcs)
-
-    return parts.mapInPandas(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    recipes = spark.read.schema(RECIPE_SCHEMA).parquet(f"{path}/recipes").mapInPandas(_rooted, "doc_id long, start long, n_tokens long, digests array<binary>, after array<long>")
+    uses = recipes.select("doc_id", "start", "n_tokens", F.explode(F.arrays_zip("digests", "after")).alias("c")).select("doc_id", "start", "n_tokens", F.col("c.digests").alias("digest"), F.col("c.after").alias("after"))
+    found = uses.join(verified_chunks(spark, path), "digest", "left").select("doc_id", "start", "n_tokens", "after", "crc", "n", F.col("crc").isNull().alias("missing"))
+    parts = found.mapInArrow(_shifted, "doc_id long, start long, n_tokens long, n int, missing boolean, part long")
+    docs = parts.groupBy("start", "doc_id", "n_tokens").agg(F.bit_xor("part").alias("ids_crc32"), (F.max("missing") | (F.sum("n") != F.col("n_tokens"))).alias("wrong"))
+    wrong = F.raise_error(F.lit("a document's chunks are missing or of another length")).cast("long")
+    return docs.select("doc_id", "start", "n_tokens", F.when(F.col("wrong"), wrong).otherwise(F.col("ids_crc32")).alias("ids_crc32"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
