@@ -121,7 +121,7 @@ class PieceEncoder:
         raw = words._LOWER[data]
         codes, first = distinct(raw, start, stop)
         names = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
-        bad = [i for i, x in enumerate(names) if not (x.isascii() or x.isalpha()) or len(x) > CACHED_LENGTH]
+        bad = [i for i, x in enumerate(names) if not (x.isascii() or x.isalpha() and x.lower().isalpha()) or len(x) > CACHED_LENGTH]
         if bad:
             odd[np.unique(owner[np.isin(codes, bad)])] = True
         numbers = self.pool.numbers(names)
