@@ -77,6 +77,12 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.lm_score import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_pii": op2_pii,
     "op3_mix": op3_mix,
@@ -85,7 +91,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_token_store": op7_token_store,
     "op1_url_filter": op1_url_filter, "op8_language_id": op8_language_id}
-QUERIES["op9_jaccard_join"] = op9_jaccard_join
+QUERIES |= {"op9_jaccard_join": op9_jaccard_join, "op10_lm_score": op10_lm_score}
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
