@@ -1,19 +1,81 @@
-"""Corpus pipeline: the stages that turn raw documents into a mixed, tokenised corpus."""
+"""Corpus pipeline: from raw documents to a mixed, tokenised corpus.
+
+Five stages, each over all that the one before kept: language ID drops what has no language; the n-gram Jaccard join
+keeps one document of each class of near copies; decontamination drops documents that hold a test item; mixing puts
+the documents in the order that meets the sources' target weights; the token store writes their ids in that order.
+Every stage is written as Parquet and reread, so a lost executor costs the running stage only.
+"""
 
 from __future__ import annotations
 
+import pyspark.sql.functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tidelog.llm.common import new_path, stored
+from tidelog.llm.decontaminate import contamination
+from tidelog.llm.jaccard_join import one_of_each
+from tidelog.llm.language_id import UND, identify
+from tidelog.llm.mixing import mixed_order
+from tidelog.llm.queries import tokenizer_path
+from tidelog.llm.token_store import read_store, write_store
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language is undetermined: null text or no letters."""
+    kept = identify(docs.drop("lang_pred", "score")).filter(F.col("lang_pred") != UND)
+    return kept.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of smallest id of each class of linked documents."""
+    return one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item or an edited copy of one."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = contamination(rows.select("_row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row")
+    goes = stored(found.filter("contaminated").select("_row"), "contaminated")
+    return rows.join(goes, "_row", "left_anti").drop("_row")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put all documents in the mixed order, which is the order of the files and of the rows in them."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    order = stored(mixed_order(rows.select("_row", "doc_id", "source")).select("_row", "position"), "mixed-order")
+    return rows.join(order, "_row").orderBy("position").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the token store in the order of the files (without files, of the ids) and read it back."""
+    order: tuple[str, ...] = ("doc_id",)
+    try:
+        docs = docs.select("doc_id", "text", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).alias("_part"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+        docs = docs.withColumn("_part", F.expr("try_cast(_part as bigint)"))
+        order = ("_part", "_file", "_index")
+    except AnalysisException:  # not read from Parquet files
+        pass
+    path = new_path(spark, "token-store")
+    write_store(docs, path, tokenizer_path(), order)
+    return read_store(spark, path)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("tokens", tokens),
+]
+#: The language model, the tokenizer and the alignment are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidelog.llm.common import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stored(docs, name)
+            docs = stored(docs, f"stage-{name}")
     return docs

@@ -151,8 +151,26 @@ def classes(edges: DataFrame) -> DataFrame:
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document ``key``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
     rows = docs.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    of_row = row_classes(rows.select("row", "text"))
+    placed = rows.select("row", "_key").join(of_row, "row")
+    smallest = placed.filter("class is not null").groupBy("class").agg(F.min("_key").alias("component_id"))
+    out = placed.join(smallest, "class", "left")
+    return out.select(F.col("_key").alias(key), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("_key")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those linked, directly or not, to one of smaller id (ties: earlier row)."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    of_row = row_classes(rows.select(F.col("_row").alias("row"), F.col(text).alias("text"))).filter("class is not null")
+    placed = stored(rows.select(F.col("_row").alias("row"), F.col(key).alias("_key")).join(of_row, "row"), "placed")
+    stays = placed.groupBy("class").agg(F.min_by("row", F.struct(F.col("_key").isNull(), "_key", "row")).alias("stays"))
+    goes = stored(placed.join(stays, "class").filter("row <> stays").select(F.col("row").alias("_row")), "goes")
+    return rows.join(goes, "_row", "left_anti").drop("_row")
+
+
+def row_classes(rows: DataFrame) -> DataFrame:
+    """``row``, ``n_shingles`` and ``class`` (a row of the class; null without shingles) of ``row``, ``text``."""
     found = stored(shingle_prefixes(rows, shingle_counters(rows)), "prefixes")
-    ids = rows.select("row", "_key")
     # equal sets: one member each, the first row
     full = found.filter("n_shingles > 0")
     same = stored(full.groupBy("k1", "k2", "n_shingles").agg(F.min("row").alias("member")), "members")
@@ -189,7 +207,5 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     more = stored(verified(stored(possible, "pairs"), sets), "links")
     label = classes(links.union(more)) if more.limit(1).count() else label
     # back to all rows of equal sets
-    of_row = stored(member_of.join(label, "member", "left").select("row", F.coalesce("class", "member").alias("class")), "of-row")
-    smallest = of_row.join(ids, "row").groupBy("class").agg(F.min("_key").alias("component_id"))
-    out = ids.join(found.select("row", "n_shingles"), "row").join(of_row.join(smallest, "class").select("row", "component_id"), "row", "left")
-    return out.select(F.col("_key").alias(key), "n_shingles", F.coalesce("component_id", F.when(F.col("n_shingles") == 0, F.col("_key"))).alias("component_id"))
+    of_row = member_of.join(label, "member", "left").select("row", F.coalesce("class", "member").alias("class"))
+    return stored(found.select("row", "n_shingles").join(of_row, "row", "left"), "of-row")
