@@ -48,10 +48,10 @@ class Pool:
     """Id sequences by name: ``index`` gives a name's number, ``start`` the bounds of its ids."""
 
     def __init__(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[bytes, int] = {}
         self.ids, self.start, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
 
-    def add(self, names: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+    def add(self, names: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         first = len(self.index)
@@ -62,7 +62,7 @@ class Pool:
         self.used += len(ids)
         self.index.update(zip(names, range(first, first + len(names)), strict=True))
 
-    def numbers(self, names: list[str]) -> np.ndarray:
+    def numbers(self, names: list[bytes]) -> np.ndarray:
         """The number of each name, -1 where it is unknown."""
         return np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
 
@@ -99,10 +99,11 @@ class PieceEncoder:
         at = np.array(done.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
         return np.array(done.ids, dtype=np.uint32), np.searchsorted(at, begins[1:], "left")
 
-    def learn(self, names: list[str]) -> None:
+    def learn(self, new: list[bytes]) -> None:
         """Most pieces end with their only word-end token; where that doesn't hold, places decide."""
-        if len(self.pool.index) + len(names) > CACHED_PIECES:
+        if len(self.pool.index) + len(new) > CACHED_PIECES:
             self.pool = Pool()
+        names = [x.decode() for x in new]
         simple = [x for x in names if x.isalpha()]
         other = [x for x in names if not x.isalpha()]
         if simple:
@@ -110,9 +111,9 @@ class PieceEncoder:
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(simple) or ends[-1] != len(ids):
                 ids, ends = self.encode_apart(simple)
-            self.pool.add(simple, ids, ends)
+            self.pool.add([x.encode() for x in simple], ids, ends)
         if other:
-            self.pool.add(other, *self.encode_apart(other))
+            self.pool.add([x.encode() for x in other], *self.encode_apart(other))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, with END_ID after each text; the end of each text in them) of texts in one buffer."""
@@ -120,11 +121,16 @@ class PieceEncoder:
         start, stop, owner, odd = pieces(data, offsets)
         raw = words._LOWER[data]
         codes, first = distinct(raw, start, stop)
-        names = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)]
-        bad = [i for i, x in enumerate(names) if not (x.isascii() or x.isalpha() and x.lower().isalpha()) or len(x) > CACHED_LENGTH]
+        blob = raw.tobytes()
+        begin, end = start[first], stop[first]
+        names = [blob[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        long = np.flatnonzero(end - begin > CACHED_LENGTH)
+        top = np.maximum.reduceat(np.append(raw, 0), np.stack([begin, end], axis=1).ravel())[::2] if len(begin) else raw
+        numbers = self.pool.numbers(names)
+        letters = np.flatnonzero((top >= 128) & (numbers < 0))  # what is known was found fit before
+        bad = [*long.tolist(), *(i for i in letters.tolist() if not kept_letters(names[i]))]
         if bad:
             odd[np.unique(owner[np.isin(codes, bad)])] = True
-        numbers = self.pool.numbers(names)
         usable = np.ones(len(names), bool)
         usable[bad] = False
         for _ in range(2):  # learning may start the pool anew
@@ -143,6 +149,12 @@ class PieceEncoder:
         return np.concatenate(parts), np.cumsum([len(x) for x in parts])
 
 
+def kept_letters(name: bytes) -> bool:
+    """Whether a piece with non-ASCII characters is letters only, in lower case too."""
+    text = name.decode("utf-8", "replace")
+    return text.isalpha() and text.lower().isalpha()
+
+
 #: Byte classes: 0 white space, 1 letters (with all non-ASCII bytes), 2 digits, 3 punctuation, 4 other controls.
 _CLASS = np.array([0 if i in (32, *range(9, 14)) else 4 if i < 32 or i == 127 else 2 if 48 <= i <= 57 else 1 if i >= 128 or chr(i).isalpha() else 3 for i in range(256)], np.uint8)
 
@@ -230,7 +242,7 @@ def encoded_chunks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             _workers[tokenizer_path] = PieceEncoder(tokenizer_path)
         encoder, seen = _workers[tokenizer_path], set()
         for batch in batches:
-            for part, data, offsets in words.slices(batch, "text"):
+            for part, data, offsets in words.slices(batch, "text", 2 * words.SLICE_BYTES):
                 yield block(*encoder.encode(data, offsets), seen, part)
 
     def block(ids: np.ndarray, ends: np.ndarray, seen: set, part: pa.RecordBatch) -> pa.RecordBatch:
