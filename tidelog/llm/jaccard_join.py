@@ -32,6 +32,9 @@ from tidelog.llm.common import stored
 SHINGLE, PERCENT = 5, 75
 #: Counters of the shingle order: shingles share them by hash. More only make prefixes rarer, never results other.
 COUNTERS = 1 << 20
+#: First round: the part of a member's prefix that the head of a list must share to be tried. The second round tries
+#: all that is left, so this shifts work only.
+NEAR = 0.25
 _CUT = 1 << 14
 _SALTS = np.array([0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A], np.uint64)
 
@@ -64,41 +67,68 @@ def prefix_length(n: int) -> int:
     return n - (-(-PERCENT * n // 100)) + 1
 
 
-SET_SCHEMA = "row long, n_shingles long, k1 long, k2 long, prefix array<long>"
-
-
-def shingle_prefixes(docs: DataFrame, counters: np.ndarray) -> DataFrame:
-    """``row``, ``n_shingles``, the set's digest ``k1``, ``k2`` and its ``prefix``, of ``row``, ``text``."""
+def set_keys(docs: DataFrame) -> DataFrame:
+    """``row``, ``n_shingles`` and the set's digest ``k1``, ``k2``, of ``row``, ``text``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in words.slices(batch, "text"):
                 sets = words.shingle_sets(data, offsets, SHINGLE)
-                keys = np.zeros((2, len(sets)), np.uint64)
-                prefixes = []
-                for i, s in enumerate(sets):
-                    for k in (0, 1):
-                        keys[k, i] = np.bitwise_xor.reduce(words.mixed(s + _SALTS[k])) if len(s) else 0
-                    order = np.argsort(counters[(s >> np.uint64(44)).astype(np.int64)], kind="stable")  # ties by hash: s is sorted
-                    prefixes.append(s[order[: prefix_length(len(s))]] if len(s) else s)
                 sizes = np.array([len(s) for s in sets], np.int64)
-                ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sizes), *(pa.array(k.view(np.int64)) for k in keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64)))], ["row", "n_shingles", "k1", "k2", "prefix"])
+                keys = [np.array([np.bitwise_xor.reduce(words.mixed(s + salt)) if len(s) else 0 for s in sets], np.uint64) for salt in _SALTS]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sizes), *(pa.array(k.view(np.int64)) for k in keys)], ["row", "n_shingles", "k1", "k2"])
+
+    return docs.select("row", "text").mapInArrow(rows, "row long, n_shingles long, k1 long, k2 long")
 
-    return docs.select("row", "text").mapInArrow(rows, SET_SCHEMA)
 
+def shingle_arrays(docs: DataFrame, counters: np.ndarray | None = None, only: words.HashFilter | None = None) -> DataFrame:
+    """``row``, ``n_shingles`` and shingles ``s``, of ``row``, ``text``; texts without shingles are left out.
 
-def shingle_arrays(docs: DataFrame) -> DataFrame:
-    """``row`` and the whole sorted shingle set ``s`` of ``row``, ``text``."""
+    With ``counters`` the prefix in the global order, else the whole sorted set. ``only`` passes the rows that are
+    wanted, and few others.
+    """
+
+    def prefix(s: np.ndarray) -> np.ndarray:
+        order = np.argsort(counters[(s >> np.uint64(44)).astype(np.int64)], kind="stable")  # ties by hash: s is sorted
+        return s[order[: prefix_length(len(s))]]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if only is not None:
+                batch = batch.filter(pa.array(only.passing(words.mixed(np.asarray(batch.column("row")).view(np.uint64)))))
             for part, data, offsets in words.slices(batch, "text"):
                 sets = words.shingle_sets(data, offsets, SHINGLE)
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["row", "s"])
+                full = np.flatnonzero([len(s) > 0 for s in sets])
+                if not len(full):
+                    continue
+                sizes = np.array([len(sets[i]) for i in full], np.int64)
+                taken = [prefix(sets[i]) if counters is not None else sets[i] for i in full]
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in taken])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(full)), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(taken).view(np.int64)))], ["row", "n_shingles", "s"])
+
+    return docs.select("row", "text").mapInArrow(rows, "row long, n_shingles long, s array<long>")
+
+
+def row_filter(rows: DataFrame) -> words.HashFilter:
+    """A filter of fixed size for the ``row``s of a table."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = words.HashFilter()
+        for batch in batches:
+            mine.add(words.mixed(np.asarray(batch.column("row")).view(np.uint64)))
+        at = np.flatnonzero(mine.words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mine.words[at].view(np.int64))], ["at", "bits"])
+
+    found = words.HashFilter()
+    table = rows.select("row").coalesce(8).mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2^20 words
+    found.words[np.asarray(table.column("at"))] = np.asarray(table.column("bits")).view(np.uint64)
+    return found
+
 
-    return docs.select("row", "text").mapInArrow(rows, "row long, s array<long>")
+def sets_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The whole sets of the members of ``pairs``."""
+    wanted = row_filter(pairs.select(F.col("a").alias("row")).union(pairs.select("b")))
+    return stored(shingle_arrays(rows, only=wanted).select("row", "s"), "sets", "lz4")
 
 
 def fits(a: Column, b: Column) -> Column:
@@ -170,41 +200,44 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def row_classes(rows: DataFrame) -> DataFrame:
     """``row``, ``n_shingles`` and ``class`` (a row of the class; null without shingles) of ``row``, ``text``."""
-    found = stored(shingle_prefixes(rows, shingle_counters(rows)), "prefixes")
+    found = stored(set_keys(rows), "set-keys")
     # equal sets: one member each, the first row
     full = found.filter("n_shingles > 0")
     same = stored(full.groupBy("k1", "k2", "n_shingles").agg(F.min("row").alias("member")), "members")
     member_of = full.select("row", "k1", "k2", "n_shingles").join(same, ["k1", "k2", "n_shingles"]).select("row", "member")
-    grouped = full.join(same.select(F.col("member").alias("row")), "row", "left_semi").select(F.col("row").alias("member"), "n_shingles", "prefix", F.xxhash64("prefix", "n_shingles").alias("g"))
-    # a prefix shingle that one member alone has joins nothing
+    prefixes = shingle_arrays(rows, shingle_counters(rows)).join(same.select(F.col("member").alias("row")), "row", "left_semi")
+    # a prefix shingle that one member alone has joins nothing; low heads the list of each other one
     list_of = Window.partitionBy("t")
-    postings = grouped.select("member", "g", "n_shingles", F.posexplode("prefix").alias("at", "t"))
-    shared = postings.withColumns({"low": F.min("member").over(list_of), "high": F.max("member").over(list_of), "first_g": F.min("g").over(list_of)}).filter("low <> high").drop("low", "high")
-    shared = stored(shared, "postings")
-    groups = shared.groupBy("g").agg(F.min("member").alias("first"), F.max("n_shingles").alias("g_size"))
-    groups = stored(groups, "groups")
-    # first round: group against the first group of each list, members against the first of their group
-    with_group = groups.select(F.col("g").alias("first_g"), F.col("first").alias("b"), F.col("g_size").alias("b_size"))
-    near = shared.select("g", "first_g").distinct().filter("g <> first_g").join(groups, "g").join(with_group, "first_g").filter(fits(F.col("g_size"), F.col("b_size"))).select(F.col("first").alias("a"), "b")
-    inner = shared.select("member", "g").distinct().join(groups, "g").filter("member <> first").select(F.col("member").alias("a"), F.col("first").alias("b"))
-    first_pairs = stored(near.union(inner).distinct(), "pairs")
-    touched = shared.select(F.col("member").alias("row")).distinct()
-    sets = stored(shingle_arrays(rows.join(touched, "row", "left_semi")), "sets")
-    links = stored(verified(first_pairs, sets), "links")
+    postings = prefixes.select(F.col("row").alias("member"), F.col("n_shingles").alias("n"), F.xxhash64("s", "n_shingles").alias("g"), F.posexplode("s").alias("at", "t"))
+    shared = postings.select("t", "member", "g", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("at").cast("bigint")).alias("place"))
+    shared = shared.withColumns({"low": F.min("member").over(list_of), "high": F.max("member").over(list_of)}).filter("low <> high").drop("high")
+    shared = stored(shared.select("t", "member", "g", "low", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at")), "postings")
+    # groups: members of one prefix and size
+    members = stored(shared.groupBy("member").agg(F.min("g").alias("g"), F.min("n").alias("n")), "members")
+    first_of = members.groupBy("g").agg(F.min("member").alias("first"))
+    members = stored(members.join(first_of, "g").select("member", "first", "n"), "grouped")
+    # first round: group firsts against the heads of their lists, members against the first of their group
+    near = shared.filter("member <> low").groupBy("member", "low").agg(F.count("*").alias("common"))
+    near = near.join(members, "member").filter(F.col("common") >= NEAR * (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1))
+    head = members.select(F.col("member").alias("low"), F.col("first").alias("b"), F.col("n").alias("nb"))
+    near = near.join(head, "low").filter(fits(F.col("n"), F.col("nb")) & (F.col("first") != F.col("b"))).select(F.col("first").alias("a"), "b")
+    inner = members.filter("member <> first").select(F.col("member").alias("a"), F.col("first").alias("b"))
+    pairs = stored(near.union(inner).distinct(), "pairs")
+    links = stored(verified(pairs, sets_of(pairs, rows)), "links")
     label = classes(links)
-    # second round: different classes on a common shingle
-    placed = shared.join(label, "member", "left").withColumn("class", F.coalesce("class", "member")).select("t", "member", "g", "n_shingles", "at", "class")
-    mixed = placed.withColumns({"lo": F.min("class").over(list_of), "hi": F.max("class").over(list_of)}).filter("lo <> hi").drop("lo", "hi", "g")
+    # second round: what is left, different classes on a common shingle
+    placed = shared.join(label, "member", "left").select("t", "member", "n", "at", F.coalesce("class", "member").alias("class"))
+    mixed = placed.withColumns({"lo": F.min("class").over(list_of), "hi": F.max("class").over(list_of)}).filter("lo <> hi").drop("lo", "hi")
     mixed = stored(mixed, "mixed")
     per_class = mixed.select("t", "class").distinct()
     met = per_class.join(per_class.withColumnRenamed("class", "other"), "t").filter(F.col("class") < F.col("other"))
-    left = met.join(mixed.withColumnRenamed("member", "a").withColumnRenamed("n_shingles", "na").withColumnRenamed("at", "pa"), ["t", "class"])
-    both = left.join(mixed.select("t", F.col("class").alias("other"), F.col("member").alias("b"), F.col("n_shingles").alias("nb"), F.col("at").alias("pb")), ["t", "other"]).filter(fits(F.col("na"), F.col("nb")))
+    left = met.join(mixed.select("t", "class", F.col("member").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa")), ["t", "class"])
+    both = left.join(mixed.select("t", F.col("class").alias("other"), F.col("member").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb")), ["t", "other"]).filter(fits(F.col("na"), F.col("nb")))
     pair = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     # what follows the last common prefix shingle bounds the rest of the overlap
     most = F.col("common") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    possible = pair.filter((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b")
-    more = stored(verified(stored(possible, "pairs"), sets), "links")
+    possible = stored(pair.filter((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
+    more = stored(verified(possible, sets_of(possible, rows)), "links")
     label = classes(links.union(more)) if more.limit(1).count() else label
     # back to all rows of equal sets
     of_row = member_of.join(label, "member", "left").select("row", F.coalesce("class", "member").alias("class"))
