@@ -103,9 +103,17 @@ def message_column(df: DataFrame) -> str:
     return found[0] if found else df.columns[-1]
 
 
+COMMON = ("file_id", "path", "line_no", "byte_offset", "raw", "format", "ok", "severity", "ts_text", "ts_ms")
+
+
+def shown(name: str) -> str:
+    """A field's column: its name, with ``_`` after it where a common column has the name already."""
+    return name + "_" * (name.lower() in COMMON)
+
+
 def _typed(value: Column, f: Field) -> Column:
     out = F.trim(value).try_cast("bigint") if f.type == "integer" else value
-    return out.alias(f.name, metadata={"hint": f.hint, "type": f.type, "timeFormat": f.time_format})
+    return out.alias(shown(f.name), metadata={"hint": f.hint, "type": f.type, "timeFormat": f.time_format})
 
 
 def events(lines: DataFrame, fmt: str, fields: Sequence[Field], values: dict[str, Column], ok: Column, severity: Column | None = None,
@@ -115,7 +123,8 @@ def events(lines: DataFrame, fmt: str, fields: Sequence[Field], values: dict[str
     ok = F.coalesce(ok, F.lit(False))
     filled = {f.name: F.when(F.col("_ok"), F.coalesce(values[f.name], F.lit(""))).otherwise(F.col("raw") if f.name == message else F.lit("")) for f in fields}
     time = next((f for f in fields if f.hint == "timestamp"), next((f for f in fields if f.type == "datetime"), None))
-    keys = [c for c in lines.columns if c not in {"format", "ok", "severity", "ts_text", "ts_ms", "_ok", *(f.name for f in fields)}]
+    made = {"format", "ok", "severity", "ts_text", "ts_ms", "_ok", *(shown(f.name).lower() for f in fields)}
+    keys = [c for c in lines.columns if c.lower() not in made]
     rows = lines.withColumn("_ok", ok)
     rows = rows.select(*[F.col(k) for k in keys], "_ok", (F.when(F.col("_ok"), severity).otherwise(F.lit(0)) if severity is not None else F.lit(0)).cast("tinyint").alias("severity"), *[v.alias(f"_v{i}") for i, v in enumerate(filled.values())])
     place = {f.name: F.col(f"_v{i}") for i, f in enumerate(fields)}

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidelog.plans import rendered as R
+
+QUERIES: dict = {f"parse_{R.plain(f)}": R.parse_query(f) for f in R.FORMATS}
+ORACLE_SQL: dict = {f"parse_{R.plain(f)}": R.parse_oracle(f) for f in R.FORMATS}
