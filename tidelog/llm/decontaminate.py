@@ -58,7 +58,7 @@ def seed_filter(grams: DataFrame) -> words.HashFilter:
 
     parts = grams.select("gram").coalesce(8).mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
     found = words.HashFilter()
-    table = parts.toArrow()  # at most 2^20 words
+    table = parts.toArrow()  # at most 2^21 words
     found.words[np.asarray(table.column("at"))] = np.asarray(table.column("bits")).view(np.uint64)
     return found
 

@@ -120,7 +120,7 @@ def row_filter(rows: DataFrame) -> words.HashFilter:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mine.words[at].view(np.int64))], ["at", "bits"])
 
     found = words.HashFilter()
-    table = rows.select("row").coalesce(8).mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2^20 words
+    table = rows.select("row").coalesce(8).mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2^21 words
     found.words[np.asarray(table.column("at"))] = np.asarray(table.column("bits")).view(np.uint64)
     return found
 

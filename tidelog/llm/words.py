@@ -77,7 +77,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
 class HashFilter:
     """A bitmap of fixed size over hashes: no hash that was added is missed, few others pass."""
 
-    BITS = 26
+    BITS = 27
 
     def __init__(self, hashes: np.ndarray | None = None):
         self.words = np.zeros(1 << (self.BITS - 6), np.uint64)
