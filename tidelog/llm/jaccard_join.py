@@ -7,8 +7,9 @@ and their members are expanded and verified on the whole sets.
 
 Links are wanted for the classes they form, so no class is compared with itself more than needed: in a first round
 each group meets the smallest group of every prefix shingle's list, and each member the first of its group; the links
-found form classes. A second round joins what is left, the pairs of different classes on a common shingle (or in
-one group), with the full overlap bound, so that no link between classes is lost. Hot shingles, copies and near
+found form classes. Some further rounds take another head for each list that still holds several classes. The last
+round joins what is left, the pairs of different classes on a common shingle, with the full overlap bound, so
+that no link between classes is lost. Hot shingles, copies and near
 copies therefore cost a row per member, not one per pair.
 
 Defined results: A-Z lower-cased words; with one to four words the whole sequence is the one shingle; without words
@@ -32,8 +33,10 @@ from tidelog.llm.common import stored
 SHINGLE, PERCENT = 5, 75
 #: Counters of the shingle order: shingles share them by hash. More only make prefixes rarer, never results other.
 COUNTERS = 1 << 20
-#: First round: the part of a member's prefix that the head of a list must share to be tried. The second round tries
-#: all that is left, so this shifts work only.
+#: Rounds against heads of lists before the last, complete round.
+HEADS = 4
+#: In those, the part of a member's prefix that the head of a list must share to be tried. The last round tries
+#: all that is left, so both shift work only.
 NEAR = 0.25
 _CUT = 1 << 14
 _SALTS = np.array([0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A], np.uint64)
@@ -198,6 +201,13 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return rows.join(goes, "_row", "left_anti").drop("_row")
 
 
+def several_classes(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """Postings of the lists that members of more than one class are in, with their ``class``."""
+    list_of = Window.partitionBy("t")
+    placed = shared.join(label, "member", "left").select("t", "member", "n", "at", F.coalesce("class", "member").alias("class"))
+    return placed.withColumns({"lo": F.min("class").over(list_of), "hi": F.max("class").over(list_of)}).filter("lo <> hi").drop("lo", "hi")
+
+
 def row_classes(rows: DataFrame) -> DataFrame:
     """``row``, ``n_shingles`` and ``class`` (a row of the class; null without shingles) of ``row``, ``text``."""
     found = stored(set_keys(rows), "set-keys")
@@ -225,10 +235,20 @@ def row_classes(rows: DataFrame) -> DataFrame:
     pairs = stored(near.union(inner).distinct(), "pairs")
     links = stored(verified(pairs, sets_of(pairs, rows)), "links")
     label = classes(links)
-    # second round: what is left, different classes on a common shingle
-    placed = shared.join(label, "member", "left").select("t", "member", "n", "at", F.coalesce("class", "member").alias("class"))
-    mixed = placed.withColumns({"lo": F.min("class").over(list_of), "hi": F.max("class").over(list_of)}).filter("lo <> hi").drop("lo", "hi")
-    mixed = stored(mixed, "mixed")
+    # further rounds: members of other classes against one more head of each list, by another order of members
+    for turn in range(1, HEADS):
+        mixed = stored(several_classes(shared, label), "mixed")
+        top = F.min(F.struct(F.xxhash64("member", F.lit(turn)).alias("o"), "member", "class", "n")).over(list_of)
+        other = mixed.withColumn("top", top).filter("class <> top.class").groupBy("member", "n", F.col("top.member").alias("b"), F.col("top.n").alias("nb")).agg(F.count("*").alias("common"))
+        near = other.filter(fits(F.col("n"), F.col("nb")) & (F.col("common") >= NEAR * (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)))
+        pairs = stored(near.select(F.col("member").alias("a"), "b"), "pairs")
+        new = stored(verified(pairs, sets_of(pairs, rows)), "links")
+        if not new.limit(1).count():
+            break
+        links = links.union(new)
+        label = classes(links)
+    # last round: what is left, different classes on a common shingle
+    mixed = stored(several_classes(shared, label), "mixed")
     per_class = mixed.select("t", "class").distinct()
     met = per_class.join(per_class.withColumnRenamed("class", "other"), "t").filter(F.col("class") < F.col("other"))
     left = met.join(mixed.select("t", "class", F.col("member").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa")), ["t", "class"])
