@@ -29,6 +29,31 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def unmixed(h: np.ndarray) -> np.ndarray:
+    """What ``mixed`` was given."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(pow(0xC4CEB9FE1A85EC53, -1, 1 << 64))
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(pow(0xFF51AFD7ED558CCD, -1, 1 << 64))
+    return h ^ (h >> np.uint64(33))
+
+
+def inner_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the first n - 1, last n - 1 and middle n - 2 words, of n-gram hashes and their outer words.
+
+    An n-gram's hash is a number in base _STEP with the words as digits and n before them, mixed; for n = 2 the
+    last word follows from the first.
+    """
+    step = [np.uint64(pow(int(_STEP), k, 1 << 64)) for k in range(n + 1)]
+    under = np.uint64(pow(int(_STEP), -1, 1 << 64))
+    count = [np.uint64(m * int(step[m]) % (1 << 64)) for m in range(n + 1)]
+    digits = unmixed(h) - count[n]
+    if last is None:
+        last = digits - first * step[1]
+    head = (digits - last) * under
+    tail = digits - first * step[n - 1]
+    middle = head - first * step[n - 2]
+    return tuple(mixed(x + count[m]) for x, m in ((head, n - 1), (tail, n - 1), (middle, n - 2)))
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(max(n, 1), base, dtype=np.uint64)
     out[0] = 1
