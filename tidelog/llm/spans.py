@@ -32,7 +32,7 @@ def folded(name: str, item: Callable[[Column, Column, Column], Column], keep: Ca
         start = state["at"] + F.length(g[i])
         stop = start + F.length(m[i])
         out = F.when(keep(m[i]), F.concat(state["out"], F.array(item(start, stop, i)))).otherwise(state["out"])
-        return F.struct(stop.cast("bigint").alias("at"), out.cast(kind).alias("out"))
+        return F.struct(stop.cast("bigint").alias("at"), out.alias("out"))
 
     none = F.array().cast(kind)
     first = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
