@@ -6,7 +6,7 @@ members with identical prefix and size to one group. Groups that share a prefix
 and their members are expanded and verified on the whole sets.
 
 Links are wanted for the classes they form, so no class is compared with itself more than needed: in a first round
-each group meets the smallest group of every prefix shingle's list, and each member the first of its group; the links
+each group meets the head's group of every prefix shingle's list, and each member the first of its group; the links
 found form classes. Some further rounds take another head for each list that still holds several classes. The last
 round joins what is left, the pairs of different classes on a common shingle, with the full overlap bound, so
 that no link between classes is lost. Hot shingles, copies and near
@@ -216,12 +216,15 @@ def row_classes(rows: DataFrame) -> DataFrame:
     same = stored(full.groupBy("k1", "k2", "n_shingles").agg(F.min("row").alias("member")), "members")
     member_of = full.select("row", "k1", "k2", "n_shingles").join(same, ["k1", "k2", "n_shingles"]).select("row", "member")
     prefixes = shingle_arrays(rows, shingle_counters(rows)).join(same.select(F.col("member").alias("row")), "row", "left_semi")
-    # a prefix shingle that one member alone has joins nothing; low heads the list of each other one
+    # a prefix shingle that one member alone has joins nothing; the member with the fewest rarer shingles, the least
+    # edited of a group of near copies, heads the list of each other one
     list_of = Window.partitionBy("t")
     postings = prefixes.select(F.col("row").alias("member"), F.col("n_shingles").alias("n"), F.xxhash64("s", "n_shingles").alias("g"), F.posexplode("s").alias("at", "t"))
     shared = postings.select("t", "member", "g", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("at").cast("bigint")).alias("place"))
-    shared = shared.withColumns({"low": F.min("member").over(list_of), "high": F.max("member").over(list_of)}).filter("low <> high").drop("high")
-    shared = stored(shared.select("t", "member", "g", "low", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at")), "postings")
+    at = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    head = F.min_by("member", F.struct(at, "member")).over(list_of)
+    shared = shared.withColumns({"low": head, "first": F.min("member").over(list_of), "last": F.max("member").over(list_of)}).filter("first <> last")
+    shared = stored(shared.select("t", "member", "g", "low", F.shiftright("place", 32).alias("n"), at.alias("at")), "postings")
     # groups: members of one prefix and size
     members = stored(shared.groupBy("member").agg(F.min("g").alias("g"), F.min("n").alias("n")), "members")
     first_of = members.groupBy("g").agg(F.min("member").alias("first"))
@@ -238,7 +241,8 @@ def row_classes(rows: DataFrame) -> DataFrame:
     # further rounds: members of other classes against one more head of each list, by another order of members
     for turn in range(1, HEADS):
         mixed = stored(several_classes(shared, label), "mixed")
-        top = F.min(F.struct(F.xxhash64("member", F.lit(turn)).alias("o"), "member", "class", "n")).over(list_of)
+        by = F.struct(F.col("at") + F.pmod(F.xxhash64("member", F.lit(turn)), F.lit(8)), "member")
+        top = F.min_by(F.struct("member", "class", "n"), by).over(list_of)
         other = mixed.withColumn("top", top).filter("class <> top.class").groupBy("member", "n", F.col("top.member").alias("b"), F.col("top.n").alias("nb")).agg(F.count("*").alias("common"))
         near = other.filter(fits(F.col("n"), F.col("nb")) & (F.col("common") >= NEAR * (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)))
         pairs = stored(near.select(F.col("member").alias("a"), "b"), "pairs")
@@ -252,7 +256,10 @@ def row_classes(rows: DataFrame) -> DataFrame:
     per_class = mixed.select("t", "class").distinct()
     met = per_class.join(per_class.withColumnRenamed("class", "other"), "t").filter(F.col("class") < F.col("other"))
     left = met.join(mixed.select("t", "class", F.col("member").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa")), ["t", "class"])
-    both = left.join(mixed.select("t", F.col("class").alias("other"), F.col("member").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb")), ["t", "other"]).filter(fits(F.col("na"), F.col("nb")))
+    both = left.join(mixed.select("t", F.col("class").alias("other"), F.col("member").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb")), ["t", "other"])
+    # sets of these sizes that link share a shingle within the first n - overlap + 1 of both
+    overlap = F.ceil(PERCENT * (F.col("na") + F.col("nb")) / (100 + PERCENT))
+    both = both.filter(fits(F.col("na"), F.col("nb")) & (F.col("pa") <= F.col("na") - overlap) & (F.col("pb") <= F.col("nb") - overlap))
     pair = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     # what follows the last common prefix shingle bounds the rest of the overlap
     most = F.col("common") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
