@@ -12,7 +12,7 @@ import pyspark.sql.functions as F
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm.common import new_path, stored
+from tidelog.llm.common import new_path, numbered, stored
 from tidelog.llm.decontaminate import contamination
 from tidelog.llm.jaccard_join import one_of_each
 from tidelog.llm.language_id import UND, identify
@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item or an edited copy of one."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(docs, "_row")
     found = contamination(rows.select("_row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row")
     goes = stored(found.filter("contaminated").select("_row"), "contaminated")
     return rows.join(goes, "_row", "left_anti").drop("_row")
@@ -42,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put all documents in the mixed order, which is the order of the files and of the rows in them."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(docs, "_row")
     order = stored(mixed_order(rows.select("_row", "doc_id", "source")).select("_row", "position"), "mixed-order")
     return rows.join(order, "_row").orderBy("position").select(*docs.columns)
 

@@ -50,6 +50,18 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, column: str = "row") -> DataFrame:
+    """Add a row number that is the same whenever the table is read.
+
+    Rows of files keep their order, whichever columns are read. What comes out of a shuffle does not, so such a
+    table is written first.
+    """
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan:
+        docs = stored(docs, "rows")
+    return docs.withColumn(column, F.monotonically_increasing_id())
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -21,7 +21,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from tidelog.llm import words
-from tidelog.llm.common import stored
+from tidelog.llm.common import numbered, stored
 
 SEED_WORDS = 3
 #: Alignment: what a pair of equal words adds, what others and gaps cost; share of an item's own score to report.
@@ -135,7 +135,7 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """``key``, ``item_id``, ``score`` and ``contaminated`` of every document."""
-    rows = docs.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    rows = numbered(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")))
     items = stored(item_words(benchmark), "items")
     seeds = stored(rare_seeds(items, rows), "seeds")
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0

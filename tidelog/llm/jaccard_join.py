@@ -28,7 +28,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 from tidelog.llm import words
-from tidelog.llm.common import stored
+from tidelog.llm.common import numbered, stored
 
 SHINGLE, PERCENT = 5, 75
 #: Counters of the shingle order: shingles share them by hash. More only make prefixes rarer, never results other.
@@ -183,7 +183,7 @@ def classes(edges: DataFrame) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document ``key``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
-    rows = docs.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    rows = numbered(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")))
     of_row = row_classes(rows.select("row", "text"))
     placed = rows.select("row", "_key").join(of_row, "row")
     smallest = placed.filter("class is not null").groupBy("class").agg(F.min("_key").alias("component_id"))
@@ -193,7 +193,7 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without those linked, directly or not, to one of smaller id (ties: earlier row)."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered(docs, "_row")
     of_row = row_classes(rows.select(F.col("_row").alias("row"), F.col(text).alias("text"))).filter("class is not null")
     placed = stored(rows.select(F.col("_row").alias("row"), F.col(key).alias("_key")).join(of_row, "row"), "placed")
     stays = placed.groupBy("class").agg(F.min_by("row", F.struct(F.col("_key").isNull(), "_key", "row")).alias("stays"))

@@ -31,7 +31,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
 from tidelog.llm import words
-from tidelog.llm.common import stored, write
+from tidelog.llm.common import numbered, stored, write
 
 END_ID = 2
 #: Cut where the rolling hash of the last WINDOW ids has MASK's bits clear: one chunk end in 256 ids.
@@ -207,7 +207,7 @@ def cuts(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The sorted chunk ends of texts that end at ``ends``."""
     h = np.zeros(len(ids), np.uint64)
     gear = _GEAR[ids & 0xFFFF]
-    for k in range(WINDOW):
+    for k in range(min(WINDOW, len(ids))):
         h[k:] += gear[: len(ids) - k] << np.uint64(k * 2)
     found = np.flatnonzero((h & MASK) == 0) + 1
     starts = np.concatenate([[0], ends[:-1]])
@@ -276,7 +276,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, order: tuple[st
     The output order is that of the ``order`` columns, ascending. Tokens pass a shuffle once, for the chunks.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.monotonically_increasing_id().alias("row"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    keyed = numbered(docs.select(F.col("doc_id").cast("long"), F.col("text"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]))
     ordered = order != ("doc_id",)
     staged = stored(encoded_chunks(keyed, tokenizer_path), "token-chunks")
     pieces = staged.select(F.explode(F.arrays_zip("digests", "sizes", "new")).alias("c")).filter("c.new is not null").select(F.col("c.digests").alias("digest"), F.col("c.sizes").alias("n"), F.col("c.new").alias("ids"))
