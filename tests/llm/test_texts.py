@@ -97,6 +97,27 @@ def test_contamination(spark, make_docs):
     assert contamination(make_docs(rows[:3]), bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_contamination_of_edited_copies(spark, make_docs):
+    rng = random.Random(15)
+    items = [prose(rng, 40, 5000) for _ in range(12)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, prose(rng, 200, 5000)) for i in range(10)]
+    for i, item in enumerate(items):
+        w = item.split()
+        gone = range(4, 40, 5) if i < 3 else rng.sample(range(40), (8, 10, 12)[i % 3])  # 20 to 30 % replaced
+        for j in gone:
+            w[j] = f"other{j}"
+        rows.append((100 + i, f"{prose(rng, 30, 5000)} {' '.join(w)} {prose(rng, 30, 5000)}"))
+    w = items[0].split()[:28]
+    w[9], w[19] = "other", "words"
+    rows.append((200, " ".join(w)))  # a part of an item, edited
+    want = {d: max(smith_waterman(x.split(), t.split()) / 40 for x in items) for d, t in rows if d >= 100}
+    got = {r["doc_id"]: r for r in contamination(make_docs(rows), bench).collect()}
+    assert want[100] > 0.6 and {d: got[d]["score"] for d in want} == pytest.approx(want)
+    assert all(got[d]["contaminated"] == (want[d] >= 0.5) for d in want) and all(got[100 + i]["item_id"] == i for i in range(12))
+    assert not any(got[i]["contaminated"] for i in range(10))
+
+
 # token store
 
 def tokenizer():

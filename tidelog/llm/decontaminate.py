@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman scores them.
 
-Words are lower-cased (A-Z) runs of letters and digits. The n-grams of a test item that are rare in the corpus, for
-that item, are its seeds: those counted no more often than the item's median n-gram. A filter of fixed size finds
-the places of documents that may hold a seed; an equi-join on the n-gram confirms them. Around the seeds, as far as an
-item can reach, the words of the document are aligned with those of the item; the score is the best local
-alignment's, as a share of the item's own.
+Words are lower-cased (A-Z) runs of letters and digits. All n-grams of a test item are its seeds, however frequent:
+which of them an edited copy keeps is not known before. A filter of fixed size finds the places of documents that
+may hold a seed; an equi-join on the n-gram confirms them. Around the seeds, as far as an item can reach, the
+words of the document are aligned with those of the item; the score is the best local alignment's, as a share of the
+item's own.
 
 Defined results: null and empty texts score 0; items with fewer than SEED_WORDS words hold no seed and match nothing;
 repeated items count once each; repeated documents each get a row. ``item_id`` is the best item, ties to the
@@ -63,25 +63,9 @@ def seed_filter(grams: DataFrame) -> words.HashFilter:
     return found
 
 
-def gram_counts(docs: DataFrame, keep: words.HashFilter) -> DataFrame:
-    """``gram``, ``n``: how often the n-grams that pass the filter occur in all documents."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, data, offsets in words.slices(batch, "text"):
-                grams, _ = words.ngram_hashes(*words.word_hashes(data, offsets, words.PUNCTUATION), SEED_WORDS)
-                value, n = np.unique(grams[keep.passing(grams)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["gram", "n"])
-
-    return docs.select("text").mapInArrow(rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def rare_seeds(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """``item``, ``gram``: per item its n-grams that are no more frequent in ``docs`` than its median n-gram."""
-    grams = items.select("item", F.explode(F.array_distinct("grams")).alias("gram"))
-    counted = grams.join(gram_counts(docs, seed_filter(grams)), "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    median = counted.groupBy("item").agg(F.percentile_approx("n", 0.5, 1000).alias("median"))
-    return counted.join(median, "item").filter(F.col("n") <= F.col("median")).select("item", "gram")
+def item_seeds(items: DataFrame) -> DataFrame:
+    """``item``, ``gram``: every distinct n-gram of each item."""
+    return items.select("item", F.explode(F.array_distinct("grams")).alias("gram"))
 
 
 def passages(docs: DataFrame, keep: words.HashFilter, reach: int) -> DataFrame:
@@ -137,7 +121,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """``key``, ``item_id``, ``score`` and ``contaminated`` of every document."""
     rows = numbered(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")))
     items = stored(item_words(benchmark), "items")
-    seeds = stored(rare_seeds(items, rows), "seeds")
+    seeds = stored(item_seeds(items), "seeds")
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
     found = stored(passages(rows, seed_filter(seeds), int(REACH * longest)), "passages")
     hits = found.select("row", "part", F.explode("grams").alias("gram")).join(seeds, "gram").select("row", "part", "item").distinct()
