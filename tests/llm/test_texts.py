@@ -17,6 +17,7 @@ from tidelog.llm.decontaminate import contamination, local_alignment
 from tidelog.llm.jaccard_join import jaccard_classes, one_of_each
 from tidelog.llm.language_id import fit_language_model, with_language
 from tidelog.llm.lm_score import lm_scores
+from tidelog.llm.queries import op10_lm_score
 from tidelog.llm.token_store import PieceEncoder, crc_shifted, read_ids, read_store, write_store
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -289,3 +290,27 @@ def test_lm_scores(make_docs, order):
     assert len(found) == len(want) and all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-2 for a, b in zip(found, want, strict=True))
     assert all((r["per_word"] is None) == (r["n_words"] == 0) for r in got)
     assert lm_scores(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_scores_of_all_ngrams(spark, make_docs, tmp_path, order):
+    rng = random.Random(16)
+    rows = [(i, prose(rng, rng.randint(0, 60), 30)) for i in range(60)] + [(100 + i, t) for i, t in enumerate(ODD)] + [(1, "w1 w2"), (None, "W1 w2 w3")]
+    lists = [word_list(t) for _, t in rows]
+    count = Counter(tuple(w[i : i + n]) for w in lists for n in (1, 2, 3, 4) for i in range(len(w) - n + 1))
+    total = sum(len(w) for w in lists)
+
+    def score(g):
+        return math.log(count[g] / (count[g[:-1]] if len(g) > 1 else total))
+
+    want = sorted((doc is None, doc or 0, len(w), sum(score(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w)))) for (doc, _), w in zip(rows, lists, strict=True))
+    docs = make_docs(rows).withColumnRenamed("lang", "h")
+    for corpus in (None, docs) if order == 3 else (None,):  # the documents themselves, and the same as another table
+        got = lm_scores(docs, order=order, min_count=1, corpus=corpus).collect()
+        found = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["log_prob"]) for r in got)
+        assert len(found) == len(want) and all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-2 for a, b in zip(found, want, strict=True))
+    if order == 3:  # as the query is registered
+        docs.write.parquet(str(tmp_path / "documents.parquet"))
+        got = op10_lm_score(spark, str(tmp_path)).collect()
+        found = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["log_prob"]) for r in got)
+        assert all(abs(a[3] - b[3]) < 1e-2 for a, b in zip(found, want, strict=True))

@@ -6,6 +6,11 @@ score of a place by a value of its own: v = log c(1..n) - log c(1..n-1) - log AL
 So a document's score is the sum of its words' values and of the values of its kept n-grams: count tables by n-gram
 hash give a value table, the documents' exploded n-grams join it on the hash and are summed per document.
 
+Where the documents are the corpus themselves and all n-grams are kept, no place backs off. A document's logarithms
+then telescope to those of its n-grams' counts, less those of the (n-1)-grams within it (neither first nor last) and
+log N; with fewer than n words, to the count of its words as one, less log N. N-grams seen once add log 1 = 0, so
+only the others are joined, and the scores are exact.
+
 Tables are partitioned by hash. Counts are summed within a task before they are shuffled, so a very common n-gram is
 a row per task; documents send each distinct n-gram once with its number, only those that a filter of fixed size
 takes for kept, and not the HEAD most frequent, whose values all tasks hold. Orders run one after another.
@@ -24,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from tidelog.llm import words
 from tidelog.llm.common import numbered, stored
@@ -143,11 +148,22 @@ class Head:
         return known, np.where(known, self.v[at], 0.0)
 
 
-def document_sums(docs: DataFrame, n: int, keep: words.HashFilter | None, values: DataFrame) -> DataFrame:
+def place_signs(owner: np.ndarray, n_words: np.ndarray, n: int, order: int) -> np.ndarray:
+    """How often the logarithm of an n-gram's count adds to its text's score, by place, when no place backs off."""
+    if n == order or not len(owner):
+        return np.ones(len(owner), np.int64)
+    signs = (n_words[owner] == n).astype(np.int64)  # the text as one
+    if n == order - 1:
+        edge = owner[1:] != owner[:-1]
+        signs -= ~(np.append(True, edge) | np.append(edge, True))
+    return signs
+
+
+def document_sums(docs: DataFrame, n: int, keep: words.HashFilter | None, values: DataFrame, order: int | None = None) -> DataFrame:
     """``row``, ``v`` (the values of a document's n-grams, summed) and ``n_words``, of ``values`` (``h``, ``c``, ``v``).
 
     A document's distinct n-grams go to the value table by hash, each with its number; those of the head are added
-    up where the document is read, in a row of its own.
+    up where the document is read, in a row of its own. With ``order``, places count by ``place_signs``.
     """
     head = Head(values)
 
@@ -157,15 +173,17 @@ def document_sums(docs: DataFrame, n: int, keep: words.HashFilter | None, values
                 w, own = words.word_hashes(data, offsets)
                 n_words = np.bincount(own, minlength=part.num_rows)
                 h, owner = words.ngram_hashes(w, own, n)
+                signs = place_signs(owner, n_words, n, order or n)
+                some = signs != 0
                 if keep is not None:
-                    some = keep.passing(h)
-                    h, owner = h[some], owner[some]
+                    some &= keep.passing(h)
+                h, owner, signs = h[some], owner[some], signs[some]
                 known, v = head.find(h)
-                summed = np.bincount(owner, weights=v, minlength=part.num_rows)
-                h, owner = h[~known], owner[~known]
+                summed = np.bincount(owner, weights=v * signs, minlength=part.num_rows)
+                h, owner, signs = h[~known], owner[~known], signs[~known]
                 codes, _ = pd.factorize(words.mixed(h + owner.astype(np.uint64) * words._RADIX))
                 first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1) > 0) if len(codes) else codes
-                k = np.bincount(codes, minlength=len(first))
+                k = np.bincount(codes, weights=signs, minlength=len(first))
                 ids = part.column("row")
                 every = np.arange(part.num_rows)
                 yield pa.RecordBatch.from_arrays([
@@ -179,14 +197,31 @@ def document_sums(docs: DataFrame, n: int, keep: words.HashFilter | None, values
     return joined.groupBy("row").agg(F.sum(F.col("own") + F.coalesce(F.col("k") * F.col("w"), F.lit(0.0))).alias("v"), F.sum("n_words").alias("n_words"))
 
 
+def whole_model_sums(rows: DataFrame, order: int) -> DataFrame:
+    """``row``, ``v`` (log_prob) and ``n_words`` under the model of all n-grams of the rows themselves."""
+    every = stored(ngram_counts(rows, 1), "counts-1")
+    total = every.agg(F.sum("c")).first()[0] or 1
+    added = None
+    for n in range(1, order + 1):
+        counts = every.filter("c > 1") if n == 1 else stored(ngram_counts(rows, n, 2), f"counts-{n}")
+        values = counts.withColumn("v", F.log(F.col("c").cast("double")))
+        found = stored(document_sums(rows, n, None if n == 1 else kept_filter(counts), values, order), f"sums-{n}")
+        found = found.withColumn("n_words", F.col("n_words") if n == 1 else F.lit(0).cast("bigint"))
+        added = found if added is None else added.unionByName(found)
+    both = added.groupBy("row").agg(F.sum("v").alias("v"), F.sum("n_words").alias("n_words"))
+    return both.withColumn("v", F.when(F.col("n_words") > 0, F.col("v") - math.log(total)).otherwise(0.0))
+
+
 def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", corpus: DataFrame | None = None,
               order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
     """``key``, ``n_words``, ``log_prob`` (natural), ``per_word`` and ``perplexity`` of every document.
 
     Counts come from all of ``corpus`` (``text``; by default the documents themselves). A word that the corpus
-    lacks counts as if seen once.
+    lacks counts as if seen once. With ``min_count`` 1 every n-gram of the corpus is kept.
     """
     rows = numbered(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")))
+    if corpus is None and min_count <= 1 and order > 1:
+        return scored(rows.join(whole_model_sums(rows, order), "row"), F.col("v"), key)
     source = rows if corpus is None else corpus.select(F.col(text).alias("text"))
     counts = {1: stored(ngram_counts(source, 1), "counts-1")}
     total = counts[1].agg(F.sum("c")).first()[0] or 1
@@ -212,6 +247,9 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", corpus:
     out = rows.select("_key", "row").join(added.groupBy("row").agg(F.sum("v").alias("v"), F.sum("n_words").alias("n_words")), "row")
     # each place backs off from the longest context it has: min(place, order - 1) words
     backoffs = sum((F.greatest(F.col("n_words") - k, F.lit(0)) for k in range(1, order)), F.lit(0))
-    log_prob = F.col("v") + F.col("n_words") * unseen + backoffs * math.log(alpha)
+    return scored(out, F.col("v") + F.col("n_words") * unseen + backoffs * math.log(alpha), key)
+
+
+def scored(out: DataFrame, log_prob: Column, key: str) -> DataFrame:
     per_word = F.when(F.col("n_words") > 0, log_prob / F.col("n_words"))
     return out.select(F.col("_key").alias(key), "n_words", log_prob.alias("log_prob"), per_word.alias("per_word"), F.exp(-per_word).alias("perplexity"))
