@@ -143,6 +143,15 @@ def test_pieces_encode_as_the_tokenizer():
     assert i == len(texts)
 
 
+def test_slice_of_more_pieces_than_are_kept(monkeypatch):
+    monkeypatch.setattr("tidelog.llm.token_store.CACHED_PIECES", 3)
+    path, plain = tokenizer()
+    encoder = PieceEncoder(path)
+    for text in ("aa bb", "aa bb cc dd ee 11 22", "cc", "bb ff 11 gg hh ii"):
+        ids, _ = encoder.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_shifted_crcs_add_up():
     a, b, c = b"abc" * 40, b"\0\0xyz", b"q" * 1001
     parts = crc_shifted(np.array([zlib.crc32(a), zlib.crc32(b), zlib.crc32(c)]), np.array([len(b + c), len(c), 0]))

@@ -36,7 +36,7 @@ from tidelog.llm.common import numbered, stored, write
 END_ID = 2
 #: Cut where the rolling hash of the last WINDOW ids has MASK's bits clear: one chunk end in 256 ids.
 WINDOW, MASK, MAX_CHUNK = 16, np.uint64(0xFF00000000), 4096
-#: Pieces whose ids a worker keeps at most, and the longest such piece.
+#: Pieces beyond which a worker starts its pool anew before the next slice, and the longest such piece.
 CACHED_PIECES, CACHED_LENGTH = 1_000_000, 256
 #: Chunks in one pack, about.
 PACK_CHUNKS = 20_000
@@ -101,8 +101,6 @@ class PieceEncoder:
 
     def learn(self, new: list[bytes]) -> None:
         """Most pieces end with their only word-end token; where that doesn't hold, places decide."""
-        if len(self.pool.index) + len(new) > CACHED_PIECES:
-            self.pool = Pool()
         names = [x.decode() for x in new]
         simple = [x for x in names if x.isalpha()]
         other = [x for x in names if not x.isalpha()]
@@ -118,6 +116,8 @@ class PieceEncoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, with END_ID after each text; the end of each text in them) of texts in one buffer."""
         n = len(offsets) - 1
+        if len(self.pool.index) > CACHED_PIECES:  # between slices only: what a slice needs stays until it is encoded
+            self.pool = Pool()
         start, stop, owner, odd = pieces(data, offsets)
         raw = words._LOWER[data]
         codes, first = distinct(raw, start, stop)
@@ -133,11 +133,12 @@ class PieceEncoder:
             odd[np.unique(owner[np.isin(codes, bad)])] = True
         usable = np.ones(len(names), bool)
         usable[bad] = False
-        for _ in range(2):  # learning may start the pool anew
-            new = np.flatnonzero((numbers < 0) & usable)
-            if len(new):
-                self.learn([names[i] for i in new.tolist()])
-                numbers = self.pool.numbers(names)
+        new = np.flatnonzero((numbers < 0) & usable)
+        if len(new):
+            self.learn([names[i] for i in new.tolist()])
+            numbers = self.pool.numbers(names)
+        if (numbers[usable] < 0).any():
+            raise ValueError("a piece of a text has no ids")
         keep = ~odd[owner]
         ids, ends = self.pool.gathered(numbers[codes[keep]])
         of_text = np.concatenate([[0], ends])[np.searchsorted(owner[keep], np.arange(n), "right")]
