@@ -193,3 +193,26 @@ def test_notes_at_lines(spark, make):
     at = notes.annotations_at_lines(n, make(["x"] * 110), block=4).collect()
     found = lambda k: sorted(r["id"] for r in at if r["line_no"] == k)
     assert (found(101), found(4), found(5), found(103)) == (["a", "c"], [], ["b"], ["c"])
+
+
+def test_a_failing_export_leaves_no_finished_file(spark, tmp_path):
+    from tidelog.operators.sinks import export_text
+
+    lines = spark.range(100).select(F.when(F.col("id") < 99, "line").otherwise(F.raise_error(F.lit("broken source"))).alias("raw"), F.col("id").alias("line_no"), F.lit(1).alias("file_id"))
+    with pytest.raises(Exception, match="broken source"):
+        export_text(lines, str(tmp_path / "out"))
+    assert not (tmp_path / "out" / "_SUCCESS").exists() and not list((tmp_path / "out").glob("part-*"))
+
+
+def test_a_line_is_parsed_by_few_patterns(make):
+    df = P.parse(make(["x"]), "logcat", reference=F.current_timestamp()).filter(F.col("ts_ms").isNotNull()).select("ts_ms", "severity", "Message")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract") + plan.count("regexp_replace") + plan.count("RLIKE") < 30
+
+
+def test_patterns_of_the_engine(spark):
+    from tidelog.functions.predicates import filter_regex, pattern_error
+
+    df = spark.createDataFrame([("Ärger",), ("arg",)], "raw string")
+    assert [r["raw"] for r in df.filter(filter_regex(F.col("raw"), r"^\p{Lu}++", case_sensitive=True)).collect()] == ["Ärger"]
+    assert df.filter(filter_regex(F.col("raw"), "(")).count() == 0 and pattern_error("(") and pattern_error(r"\p{Lu}") is None

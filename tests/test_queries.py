@@ -15,7 +15,7 @@ CHECKED = [
     "parse_keyvalue", "parse_logcat", "parse_clf", "parse_jsonlines", "parse_gelf", "parse_docker", "parse_csv", "parse_w3c", "parse_netlog", "parse_cef", "parse_snort",
     "normalize_time", "assume_zone", "detect_time_format", "detect_format", "filter_text", "bool_combine", "time_cmp", "context_lines", "sort_desc", "histogram_auto",
     "histogram_range", "timeline_merge", "first_rows_at_times", "grep_truncated", "geo_points", "reanchor", "merge_annotations", "annotation_report", "line_numbers",
-    "read_gzip", "write_annotations", "stream_histogram", "stream_timeline",
+    "parse_spec", "spec_rules", "parse_pattern", "grep", "grep_errors", "make_anchor", "file_identity", "sort_int", "histogram_multi", "timeline_view", "read_gzip", "write_annotations", "stream_histogram", "stream_timeline",
 ]
 
 

@@ -9,7 +9,8 @@ import re
 from datetime import date, datetime, timedelta, timezone
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from tidelog.functions.severity import number
 
@@ -36,11 +37,19 @@ def filter_text(raw: Column, needle: str, case_sensitive: bool = False) -> Colum
     return sure(F.contains(folded(raw), F.lit(needle.lower())))
 
 
+def pattern_error(pattern: str) -> str | None:
+    """Why a pattern doesn't compile in the engine's own dialect; None where it does."""
+    session = SparkSession.active()
+    try:
+        session._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as e:
+        return str(e).splitlines()[0]
+    return None
+
+
 def filter_regex(raw: Column, pattern: str, case_sensitive: bool = False) -> Column:
     """The line matches somewhere; a pattern that doesn't compile matches nothing."""
-    try:
-        re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern))
-    except re.error:
+    if pattern_error(pattern) is not None:
         return F.lit(False)
     return sure(F.rlike(raw, F.lit(("(?d)" if case_sensitive else "(?di)") + pattern)))
 

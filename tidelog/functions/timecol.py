@@ -8,6 +8,7 @@ later than the reference's. In a daylight-saving gap the result is Spark's ``to_
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pyspark.sql.functions as F
@@ -79,9 +80,30 @@ def _offset_ms(text: Column) -> Column:
     return F.when(F.upper(text) == "Z", F.lit(0)).otherwise(F.when(F.startswith(text, F.lit("-")), -minutes).otherwise(minutes)) * 60000
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def groups(text: Column, pattern: str, numbers: Sequence[int]) -> Column:
+    """Where a pattern is found in a text without line feeds, an array of an empty text and these groups (0: always
+    empty; a group that takes no part is empty), by one run of the pattern. Else another array, or null."""
+    template = "".join("\n" + (f"${n}" if n else "") for n in numbers)
+    whole = f"(?d)(?s:^.*?)(?:{pattern})(?s:.*)\\z"
+    return F.when(~F.contains(text, F.lit("\n")), F.split(F.regexp_replace(text, F.lit(whole), F.lit(template)), "\n", -1))
+
+
+def found(parts: Column, n: int) -> Column:
+    """Whether ``groups`` found its pattern, of n groups."""
+    return F.coalesce(F.size(parts) == n + 1, F.lit(False))
+
+
 def _calendar(text: Column, shape: Shape, zone: str, reference: Column) -> Column:
-    pattern = "(?d)" + shape.pattern
-    part = {name: F.regexp_extract(text, pattern, i + 1) for i, name in enumerate(shape.parts)}
+    return let(groups(text, shape.pattern, range(1, len(shape.parts) + 1)), lambda parts: _instant(parts, shape, zone, reference))
+
+
+def _instant(parts: Column, shape: Shape, zone: str, reference: Column) -> Column:
+    part = {name: F.get(parts, F.lit(i + 1)) for i, name in enumerate(shape.parts)}
     number = lambda name, default: F.coalesce(part[name].try_cast("int"), F.lit(default)) if name in part else F.lit(default)
     place = F.instr(F.lit(_MONTHS), F.lower(part["mon"])) if "mon" in part else None
     month = F.when((place % 3) == 1, ((place + 2) / 3).cast("int")) if place is not None else number("mo", 1)
@@ -92,7 +114,7 @@ def _calendar(text: Column, shape: Shape, zone: str, reference: Column) -> Colum
     more = F.coalesce(ms, F.lit(0)) + F.when(second == 60, 1000).otherwise(0)
     offset = part.get("off", F.lit(""))
     instant = F.when(offset != "", F.unix_millis(naive) - _offset_ms(offset)).otherwise(F.unix_millis(assume_zone(naive, zone)))
-    return F.when(F.rlike(text, F.lit(pattern)) & (second <= 60), (instant + more).cast("bigint"))
+    return F.when(found(parts, len(shape.parts)) & (second <= 60), (instant + more).cast("bigint"))
 
 
 def _scaled(text: Column, kind: str) -> Column:
@@ -112,7 +134,7 @@ def normalize_time(text: Column, fmt: str, zone: str = "UTC", reference: Column
     text = F.trim(text)
     reference = F.current_timestamp() if reference is None else reference
     if not fmt:
-        return F.coalesce(*[normalize_time(text, kind, zone, reference) for kind in LADDER if kind != "uptime"])
+        return let(text, lambda t: F.coalesce(*[normalize_time(t, kind, zone, reference) for kind in LADDER if kind != "uptime"]))
     if fmt in EPOCH or fmt == "uptime":
         return _scaled(text, fmt)
     return _calendar(text, SHAPES.get(fmt) or custom_shape(fmt), zone, reference)

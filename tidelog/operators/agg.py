@@ -8,14 +8,18 @@ from pyspark.sql import Column, DataFrame
 BUCKETS = 512
 
 
-def _binned(df: DataFrame, bounds: DataFrame, n: int, ms: str, severity: str | None) -> DataFrame:
-    """Counts per bucket and severity, zeroes included; ``bounds`` is one row (from_ms, to_ms, width)."""
+def _counted(df: DataFrame, ms: str, severity: str | None) -> DataFrame:
+    """Rows per instant and severity: what bounds and buckets are both made of, so that the source is read once."""
     lane = F.col(severity).cast("int") if severity else F.lit(0)
+    return df.filter(F.col(ms).isNotNull()).groupBy(F.col(ms).alias("ms"), lane.alias("severity")).agg(F.count("*").alias("n")).filter("n > 0")
+
+
+def _binned(counts: DataFrame, bounds: DataFrame, n: int, lanes: int) -> DataFrame:
+    """Counts per bucket and severity, zeroes included; ``bounds`` is one row (from_ms, to_ms, width)."""
     span = F.broadcast(bounds)  # one row
-    placed = df.filter(F.col(ms).isNotNull()).join(span, F.col(ms).between(F.col("from_ms"), F.col("to_ms")))
-    counted = placed.groupBy(F.floor((F.col(ms) - F.col("from_ms")) / F.col("width")).cast("int").alias("bucket"), lane.alias("severity")).agg(F.count("*").alias("n"))
-    lanes = 7 if severity else 1
-    every = df.sparkSession.range(n * lanes).select(F.floor(F.col("id") / lanes).cast("int").alias("bucket"), (F.col("id") % lanes).cast("int").alias("severity"))
+    placed = counts.join(span, F.col("ms").between(F.col("from_ms"), F.col("to_ms")))
+    counted = placed.groupBy(F.floor((F.col("ms") - F.col("from_ms")) / F.col("width")).cast("int").alias("bucket"), "severity").agg(F.sum("n").alias("n"))
+    every = counts.sparkSession.range(n * lanes).select(F.floor(F.col("id") / lanes).cast("int").alias("bucket"), (F.col("id") % lanes).cast("int").alias("severity"))
     grid = every.join(span, F.col("from_ms") <= F.col("to_ms"))
     start = F.col("from_ms") + F.col("bucket") * F.col("width")
     return grid.join(counted, ["bucket", "severity"], "left").select("bucket", start.cast("bigint").alias("bucket_from_ms"), F.col("severity").cast("tinyint").alias("severity"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -27,8 +31,9 @@ def _width(low: Column, high: Column, n: int) -> Column:
 
 def histogram_auto(df: DataFrame, n: int = BUCKETS, ms: str = "ts_ms", severity: str | None = "severity") -> DataFrame:
     """From the first to the last instant, in ``n`` buckets by severity; without any instant there are no rows."""
-    bounds = df.agg(F.min(ms).alias("from_ms"), F.max(ms).alias("to_ms")).withColumn("width", _width(F.col("from_ms"), F.col("to_ms"), n))
-    return _binned(df, bounds, n, ms, severity)
+    counts = _counted(df, ms, severity)
+    bounds = counts.agg(F.min("ms").alias("from_ms"), F.max("ms").alias("to_ms")).withColumn("width", _width(F.col("from_ms"), F.col("to_ms"), n))
+    return _binned(counts, bounds, n, 7 if severity else 1)
 
 
 def histogram_range(df: DataFrame, from_ms: int, to_ms: int, n: int = BUCKETS, ms: str = "ts_ms", severity: str | None = "severity") -> DataFrame:
@@ -36,7 +41,7 @@ def histogram_range(df: DataFrame, from_ms: int, to_ms: int, n: int = BUCKETS, m
     if from_ms == to_ms == 0:
         return histogram_auto(df, n, ms, severity)
     bounds = df.sparkSession.range(1).select(F.lit(from_ms).alias("from_ms"), F.lit(to_ms).alias("to_ms")).withColumn("width", _width(F.col("from_ms"), F.col("to_ms"), n))
-    return _binned(df.filter(F.col(ms).between(from_ms, to_ms)), bounds, n, ms, severity)
+    return _binned(_counted(df.filter(F.col(ms).between(from_ms, to_ms)), ms, severity), bounds, n, 7 if severity else 1)
 
 
 def histogram_multi(tables: list[DataFrame], n: int = BUCKETS) -> DataFrame:

@@ -15,7 +15,8 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from tidelog.functions import severity as sev
-from tidelog.functions.timecol import normalize_time
+from tidelog.functions.predicates import pattern_error
+from tidelog.functions.timecol import found, groups, let, normalize_time
 from tidelog.operators.formats import SPECS
 
 KEYS = ("file_id", "path", "line_no", "raw")
@@ -57,10 +58,8 @@ def spec_rules(spec: Spec) -> None:
     for wrong, what in problems:
         if wrong:
             raise ValueError(f"format {spec.id or '?'}: {what}")
-    try:
-        re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", spec.pattern))
-    except re.error as e:
-        raise ValueError(f"format {spec.id}: the pattern doesn't compile: {e}") from e
+    if (why := pattern_error(spec.pattern)) is not None:
+        raise ValueError(f"format {spec.id}: the pattern doesn't compile: {why}")
 
 
 def group_numbers(pattern: str) -> dict[str, int]:
@@ -125,23 +124,39 @@ def events(lines: DataFrame, fmt: str, fields: Sequence[Field], values: dict[str
     time = next((f for f in fields if f.hint == "timestamp"), next((f for f in fields if f.type == "datetime"), None))
     made = {"format", "ok", "severity", "ts_text", "ts_ms", "_ok", *(shown(f.name).lower() for f in fields)}
     keys = [c for c in lines.columns if c.lower() not in made]
-    rows = lines.withColumn("_ok", ok)
-    rows = rows.select(*[F.col(k) for k in keys], "_ok", (F.when(F.col("_ok"), severity).otherwise(F.lit(0)) if severity is not None else F.lit(0)).cast("tinyint").alias("severity"), *[v.alias(f"_v{i}") for i, v in enumerate(filled.values())])
+    level = (F.when(F.col("_ok"), severity).otherwise(F.lit(0)) if severity is not None else F.lit(0)).cast("tinyint")
+    ms = normalize_time(filled[time.name], time.time_format, zone, reference) if time else F.lit(None).cast("bigint")
+    made = {"_ok": F.col("_ok"), "severity": level, "ts_ms": ms} | {f"_v{i}": v for i, v in enumerate(filled.values())}
+    rows = once(lines.withColumn("_ok", ok), keys, made)
     place = {f.name: F.col(f"_v{i}") for i, f in enumerate(fields)}
     text = place[time.name] if time else F.lit("")
-    ms = normalize_time(text, time.time_format, zone, reference) if time else F.lit(None).cast("bigint")
-    return rows.select(*keys, F.lit(fmt).alias("format"), F.col("_ok").alias("ok"), "severity", text.alias("ts_text"), ms.alias("ts_ms"), *[_typed(place[f.name], f) for f in fields])
+    return rows.select(*keys, F.lit(fmt).alias("format"), F.col("_ok").alias("ok"), "severity", text.alias("ts_text"), "ts_ms", *[_typed(place[f.name], f) for f in fields])
+
+
+def once(df: DataFrame, keep: Sequence[str], made: dict[str, Column]) -> DataFrame:
+    """Columns ``keep`` and what is ``made`` of a row, computed there and only there.
+
+    A filter on such a column doesn't reach below (it would compute the column again for every mention).
+    """
+    return df.select(*[F.col(f"`{k}`") for k in keep], F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
+
+
+def captured(lines: DataFrame, pattern: str, numbers: Sequence[int]) -> DataFrame:
+    """Add ``_parts``, what ``groups`` finds in ``raw``."""
+    return once(lines, lines.columns, {"_parts": groups(F.col("raw"), pattern, numbers)})
 
 
 def parse_spec(lines: DataFrame, spec: Spec, zone: str = "UTC", reference: Column | None = None) -> DataFrame:
     """Run a declared format."""
-    pattern, groups = "(?d)" + spec.pattern, group_numbers(spec.pattern)
-    capture = lambda name: F.regexp_extract("raw", pattern, groups[name])
+    numbers = group_numbers(spec.pattern)
+    wanted = list(dict.fromkeys([*(f.capture for f in spec.fields), *([spec.severity[0]] if spec.severity else [])]))
+    lines = captured(lines, spec.pattern, [numbers[n] for n in wanted])
+    capture = lambda name: F.get("_parts", F.lit(wanted.index(name) + 1))
     severity = None
     if spec.severity:
         source, names, default = spec.severity
         severity = sev.lookup(F.lower(capture(source)), {k: sev.NAMES.index(v) for k, v in names.items()}, sev.NAMES.index(default))
-    return events(lines, spec.id, spec.fields, {f.name: capture(f.capture) for f in spec.fields}, F.rlike("raw", F.lit(pattern)), severity, zone, reference)
+    return events(lines, spec.id, spec.fields, {f.name: capture(f.capture) for f in spec.fields}, found(F.col("_parts"), len(wanted)), severity, zone, reference).drop("_parts")
 
 
 def pattern_spec(pattern: str, name: str = "pattern") -> Spec:
@@ -200,30 +215,26 @@ def parse_plaintext(lines: DataFrame) -> DataFrame:
 
 def parse_logcat(lines: DataFrame, zone: str = "UTC", reference: Column | None = None) -> DataFrame:
     """The seven variants, first match first; tags are trimmed."""
-    names = [f.name for f in LOGCAT_FIELDS]
-
-    def found(i: int) -> Column:
-        pattern, groups = LOGCAT[i]
-        return F.struct(*[(F.regexp_extract("raw", "(?d)" + pattern, g) if g else F.lit("")).alias(f"c{k}") for k, g in enumerate(groups)])
-
-    pick = F.coalesce(*[F.when(F.rlike("raw", F.lit("(?d)" + p)), found(i)) for i, (p, _) in enumerate(LOGCAT)])
-    lines = lines.withColumn("_hit", pick)
-    hit = F.col("_hit")
-    level = sev.lookup(hit["c3"], {"V": 1, "D": 2, "I": 3, "W": 4, "E": 5, "F": 6}, 0)
-    values = {n: hit[f"c{k}"] for k, n in enumerate(names)} | {"Level": sev.display_name(level), "Tag": F.trim(hit["c4"])}
-    return events(lines, "logcat", LOGCAT_FIELDS, values, hit.isNotNull(), level, zone, reference).drop("_hit")
+    names, n = [f.name for f in LOGCAT_FIELDS], len(LOGCAT_FIELDS)
+    tries = [let(groups(F.col("raw"), pattern, numbers), lambda p: F.when(found(p, n), p)) for pattern, numbers in LOGCAT]
+    lines = once(lines, lines.columns, {"_parts": F.coalesce(*tries)})
+    hit = lambda k: F.get("_parts", F.lit(k + 1))
+    level = sev.lookup(hit(3), {"V": 1, "D": 2, "I": 3, "W": 4, "E": 5, "F": 6}, 0)
+    values = {name: hit(k) for k, name in enumerate(names)} | {"Level": sev.display_name(level), "Tag": F.trim(hit(4))}
+    return events(lines, "logcat", LOGCAT_FIELDS, values, F.col("_parts").isNotNull(), level, zone, reference).drop("_parts")
 
 
 def parse_clf(lines: DataFrame) -> DataFrame:
     """Common and combined access logs; the time's offset is honoured, ``-`` bytes count 0."""
-    group = lambda i: F.regexp_extract("raw", "(?d)" + CLF, i)
+    lines = captured(lines, CLF, range(1, 8))
+    group = lambda i: F.get("_parts", F.lit(i))
     parts = F.split(group(5), " ", -1)
     request = lambda i: F.when(F.size(parts) >= 3, parts[i]).otherwise("")
     values = {
         "Remote Host": group(1), "Identity": group(2), "User ID": group(3), "Timestamp": group(4), "Method": request(0), "Path": request(1),
         "Protocol": request(2), "Status": group(6), "Bytes": F.when(group(7) == "-", "0").otherwise(group(7)),
     }
-    return events(lines, "clf", CLF_FIELDS, values, F.rlike("raw", F.lit("(?d)" + CLF)))
+    return events(lines, "clf", CLF_FIELDS, values, found(F.col("_parts"), 7)).drop("_parts")
 
 
 def json_text(value: Column) -> Column:
@@ -292,17 +303,15 @@ def parse_gelf(lines: DataFrame) -> DataFrame:
     return events(rows, "gelf", fields, values, has("version") & has("host") & _is_string("short_message"), level).drop("_keys")
 
 
-def unique_names(names: Sequence[str]) -> list[str]:
+def unique_names(names: Column) -> Column:
     """Column names of a header: empty ones numbered, repeated ones (case apart) told apart."""
-    out, seen = [], set()
-    for i, name in enumerate(names):
-        name = name or f"Column {i + 1}"
-        pick, n = name, 2
-        while pick.lower() in seen:
-            pick, n = f"{name} ({n})", n + 1
-        seen.add(pick.lower())
-        out.append(pick)
-    return out
+    def add(done: Column, i: Column) -> Column:
+        name = F.when(names[i] == "", F.concat(F.lit("Column "), (i + 1).cast("string"))).otherwise(names[i])
+        free = lambda n: ~F.exists(done, lambda x: F.lower(x) == F.lower(n))
+        tries = lambda n: F.concat(F.array(n), F.transform(F.sequence(F.lit(2), F.size(names) + 1), lambda k: F.concat(n, F.lit(" ("), k.cast("string"), F.lit(")"))))
+        return F.concat(done, F.slice(F.filter(let(name, tries), free), 1, 1))
+
+    return F.when(F.size(names) > 0, F.aggregate(F.sequence(F.lit(0), F.size(names) - 1), F.array().cast("array<string>"), add))
 
 
 def csv_fields(raw: Column) -> Column:
@@ -314,70 +323,109 @@ def csv_fields(raw: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(quoted(t), inner(body(t))).otherwise(F.trim(body(t))))
 
 
-def csv_schema(lines: DataFrame) -> list[Field]:
-    """Fields of a CSV file from its header and first 64 records (65 rows are read on the driver)."""
-    head = [r["f"] for r in lines.filter(F.col("line_no") < 65).orderBy("line_no").select(csv_fields(F.col("raw")).alias("f")).collect()]
-    if not head or head[0] in ([], [""]):
+#: Records that tell a CSV column's type, lines among which a W3C file declares its fields.
+CSV_RECORDS, W3C_LINES = 64, 32
+
+
+def csv_headers(lines: DataFrame) -> DataFrame:
+    """Per file ``names`` and ``kinds`` (types) of its columns, from its header and first records."""
+    near = lines.filter((F.col("line_no") <= CSV_RECORDS) & F.col("raw").isNotNull()).select("file_id", "line_no", csv_fields(F.col("raw")).alias("f"))
+    files = near.groupBy("file_id").agg(F.max(F.when(F.col("line_no") == 0, F.col("f"))).alias("head"), F.collect_list(F.when(F.col("line_no") > 0, F.col("f"))).alias("records"))
+    integer = lambda v: F.rlike(v, F.lit(r"^[+-]?[0-9]+$")) & v.try_cast("bigint").isNotNull()
+    values = lambda i: F.filter(F.transform("records", lambda r: F.get(r, i)), lambda v: v.isNotNull() & (v != ""))
+    kinds = F.transform("names", lambda _, i: let(values(i), lambda v: F.when((F.size(v) > 0) & F.forall(v, integer), "integer").otherwise("string")))
+    return files.filter((F.size("head") > 1) | (F.get("head", F.lit(0)) != "")).select("file_id", unique_names(F.col("head")).alias("names"), "records").select("file_id", "names", kinds.alias("kinds"))
+
+
+def table_columns(headers: DataFrame) -> list[tuple[str, bool]]:
+    """(name, whether it is an integer in all files) of the columns of all files, by place, then name.
+
+    What comes to the driver are the columns of the result, not the files. Names that differ in case are one column.
+    """
+    each = headers.select(F.posexplode(F.arrays_zip("names", "kinds")).alias("at", "c")).select("at", F.col("c.names").alias("name"), (F.col("c.kinds") == "integer").alias("whole"))
+    found = each.groupBy(F.lower("name").alias("key")).agg(F.min("at").alias("at"), F.min("name").alias("name"), F.every("whole").alias("whole"))
+    return [(r["name"], r["whole"]) for r in found.orderBy("at", "name").collect()]
+
+
+def csv_fields_of(columns: Sequence[tuple[str, bool]]) -> list[Field]:
+    message = next((i for i, (n, _) in enumerate(columns) if n.lower() == "message"), len(columns) - 1)
+    return [Field(n, "", "integer" if whole else "string", "message" if i == message else "numeric" if whole else "") for i, (n, whole) in enumerate(columns)]
+
+
+def parse_csv(lines: DataFrame) -> DataFrame:
+    """Records of one line, by the header of their own file; columns that a file lacks are empty.
+
+    Extra fields fold into a file's last column; ok where the count is the header's. A file without a header
+    gives no values and is not ok; a table without any raises ValueError.
+    """
+    headers = csv_headers(lines)
+    fields = csv_fields_of(table_columns(headers))
+    if not fields:
         raise ValueError("no CSV header")
-    names = unique_names(head[0])
-    integer = lambda x: re.fullmatch(r"[+-]?\d+", x) is not None and -(2**63) <= int(x) < 2**63
-    message = next((i for i, n in enumerate(names) if n.lower() == "message"), len(names) - 1)
-    fields = []
-    for i, name in enumerate(names):
-        values = [r[i] for r in head[1:] if i < len(r) and r[i] != ""]
-        kind = "integer" if values and all(map(integer, values)) else "string"
-        fields.append(Field(name, "", kind, "message" if i == message else "numeric" if kind == "integer" else ""))
-    return fields
-
-
-def parse_csv(lines: DataFrame, fields: Sequence[Field] | None = None) -> DataFrame:
-    """Records of one line; extra fields fold into the last column; ok where the count is the header's."""
-    fields = list(fields or csv_schema(lines))
-    n = len(fields)
-    rows = lines.withColumn("_f", csv_fields(F.col("raw")))
-    at = lambda i: F.get("_f", F.lit(i))
+    own = headers.select("file_id", F.transform("names", F.lower).alias("_names"))
+    rows = once(lines.join(own, "file_id", "left"), [*lines.columns, "_names"], {"_f": csv_fields(F.col("raw"))})
+    n = F.size("_names")
     last = F.concat_ws(",", F.slice("_f", n, F.greatest(F.size("_f") - n + 1, F.lit(0))))
-    values = {f.name: at(i) if i < n - 1 else last for i, f in enumerate(fields)}
-    out = events(rows, "csv", fields, values, F.size("_f") > 0)
-    return out.withColumn("ok", F.size("_f") == n).drop("_f")
-
-
-def w3c_schema(lines: DataFrame) -> list[str]:
-    """Names of the ``#Fields:`` directive among the first 32 lines (read on the driver)."""
-    for r in lines.filter(F.col("line_no") < 32).orderBy("line_no").select("raw").collect():
-        text = r["raw"].strip()
-        if text and not text.startswith("#"):
-            break
-        if text.lower().startswith("#fields:"):
-            names = text[8:].split()
-            if len(names) >= 2:
-                return names
-            break
-    raise ValueError("no #Fields directive")
-
-
-def parse_w3c(lines: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """W3C extended logs: white-space tokens, ``date time`` merged, overflow in the last column."""
-    names = list(names or w3c_schema(lines))
+
+    def value(name: str) -> Column:
+        return let(F.array_position("_names", F.lit(name.lower())).cast("int"), lambda at: F.when((at > 0) & (at == n), last).when(at > 0, F.get("_f", at - 1)))
+
+    out = events(rows, "csv", fields, {f.name: value(f.name) for f in fields}, F.size("_f") > 0)
+    return out.withColumn("ok", F.coalesce(F.size("_f") == F.size("_names"), F.lit(False))).drop("_f", "_names")
+
+
+def w3c_headers(lines: DataFrame) -> DataFrame:
+    """Per file with a ``#Fields:`` directive before its data: ``tokens``, its lower-case names, and ``names``, those of
+    the columns (``date time`` merged to Time)."""
+    near = lines.filter(F.col("line_no") < W3C_LINES).select("file_id", "line_no", F.trim("raw").alias("t"))
+    data, declared = (F.col("t") != "") & ~F.startswith("t", F.lit("#")), F.startswith(F.lower("t"), F.lit("#fields:"))
+    first = near.groupBy("file_id").agg(F.min(F.when(data, F.col("line_no"))).alias("data"), F.min(F.when(declared, F.struct("line_no", "t"))).alias("d"))
+    first = first.filter(F.col("d").isNotNull() & (F.col("data").isNull() | (F.col("d.line_no") < F.col("data"))))
+    tokens = first.select("file_id", F.filter(F.split(F.substring(F.col("d.t"), F.lit(9), F.length("d.t")), r"\s+"), lambda x: x != "").alias("own")).filter(F.size("own") >= 2)
+    tokens = tokens.withColumn("tokens", F.transform("own", F.lower)).withColumn("date", date_place(F.col("tokens")))
+    shown = F.when(F.col("date").isNull(), F.col("own")).otherwise(F.concat(F.slice("own", F.lit(1), F.col("date")), F.array(F.lit("Time")), F.slice("own", F.col("date") + 3, F.size("own"))))
+    return tokens.select("file_id", "tokens", unique_names(shown).alias("names"))
+
+
+def date_place(tokens: Column) -> Column:
+    """Index of the first ``date`` that ``time`` follows; else null."""
+    at = F.filter(F.sequence(F.lit(0), F.size(tokens) - 2), lambda i: (tokens[i] == "date") & (tokens[i + 1] == "time"))
+    return F.get(at, F.lit(0))
+
+
+def w3c_fields_of(names: Sequence[str]) -> list[Field]:
     lower = [n.lower() for n in names]
-    date = next((i for i in range(len(names) - 1) if lower[i : i + 2] == ["date", "time"]), None)
-    shown = [(("Time", "") if i == date else (n, lower[i])) for i, n in enumerate(names) if date is None or i != date + 1]
-    keys = [k for _, k in shown]
-    message = next((keys.index(k) for k in ("cs-uri-stem", "cs-uri") if k in keys), len(shown) - 1 - (date == len(shown) - 1 and len(shown) > 1))
-    fields = [Field(n, "", "datetime" if not k and i == date else "integer" if k in W3C_INTEGERS else "string", "message" if i == message else "timestamp" if i == date else "numeric" if k in W3C_INTEGERS else "identifier" if k in W3C_IDENTIFIERS else "", "iso8601" if i == date else "")
-              for i, (n, (_, k)) in enumerate(zip(unique_names([n for n, _ in shown]), shown, strict=True))]
-    rows = lines.withColumn("_t", F.split(F.trim(F.regexp_replace("raw", r"\s+", " ")), " "))
-    token = lambda i: F.coalesce(F.get("_t", F.lit(i)), F.lit(""))
-    values = {}
-    for i, f in enumerate(fields):
-        t = i if date is None or i <= date else i + 1
-        values[f.name] = F.concat_ws(" ", token(t), token(t + 1)) if i == date else token(t)
-        if i == len(fields) - 1:
-            values[f.name] = F.concat_ws(" ", values[f.name], F.slice("_t", len(names) + 1, F.greatest(F.size("_t") - len(names), F.lit(0))))
-            values[f.name] = F.when(F.size("_t") > len(names), values[f.name]).otherwise(F.concat_ws(" ", token(t), token(t + 1)) if i == date else token(t))
-    data = (F.trim("raw") != "") & ~F.startswith(F.ltrim("raw"), F.lit("#"))
-    out = events(rows, "w3c", fields, values, data)
-    return out.withColumn("ok", F.col("ok") & (F.size("_t") == len(names))).drop("_t")
+    last = len(names) - 1 - (lower[-1] == "time" and len(names) > 1) if names else 0
+    message = next((lower.index(k) for k in ("cs-uri-stem", "cs-uri") if k in lower), last)
+    kind = lambda k: "datetime" if k == "time" else "integer" if k in W3C_INTEGERS else "string"
+    hint = lambda i, k: "message" if i == message else "timestamp" if k == "time" else "numeric" if k in W3C_INTEGERS else "identifier" if k in W3C_IDENTIFIERS else ""
+    return [Field(n, "", kind(k), hint(i, k), "iso8601" if k == "time" else "") for i, (n, k) in enumerate(zip(names, lower, strict=True))]
+
+
+def parse_w3c(lines: DataFrame) -> DataFrame:
+    """W3C extended logs: white-space tokens by the directive of their own file, ``date time`` merged, overflow in the
+    last column; columns that a file lacks are empty. Files without a directive are not ok; a table without any
+    raises ValueError."""
+    headers = w3c_headers(lines)
+    fields = w3c_fields_of([n for n, _ in table_columns(headers.withColumn("kinds", F.transform("names", lambda _: F.lit(""))))])
+    if not fields:
+        raise ValueError("no #Fields directive")
+    own = headers.select("file_id", F.size("tokens").alias("_n"), F.transform("names", F.lower).alias("_names"), date_place(F.col("tokens")).alias("_date"))
+    rows = once(lines.join(own, "file_id", "left"), [*lines.columns, "_n", "_names", "_date"], {"_t": F.split(F.trim(F.regexp_replace("raw", r"\s+", " ")), " ")})
+    date = F.coalesce("_date", F.lit(-1))
+
+    def value(name: str) -> Column:
+        def at_place(at: Column) -> Column:
+            first = F.when((date < 0) | (at <= date), at).otherwise(at + 1)  # the token it starts with
+            width = F.when(at == date, 2).otherwise(1)
+            end = F.when(at == F.size("_names") - 1, F.size("_t")).otherwise(first + width)
+            return F.when(at >= 0, F.concat_ws(" ", F.slice("_t", first + 1, F.greatest(end - first, F.lit(0)))))
+
+        return let(F.array_position("_names", F.lit(name.lower())).cast("int") - 1, at_place)
+
+    data = (F.trim("raw") != "") & ~F.startswith(F.ltrim("raw"), F.lit("#")) & F.col("_n").isNotNull()
+    out = events(rows, "w3c", fields, {f.name: value(f.name) for f in fields}, data)
+    return out.withColumn("ok", F.col("ok") & (F.size("_t") == F.col("_n"))).drop("_t", "_n", "_names", "_date")
 
 
 def netlog_constants(lines: DataFrame) -> DataFrame:

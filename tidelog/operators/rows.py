@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
+
+from tidelog.sources.scratch import stored
 
 KEY = ["file_id", "line_no"]
 
@@ -49,3 +51,15 @@ def sort_line_no(df: DataFrame, descending: bool = False) -> DataFrame:
 
 def first_n_points(points: DataFrame, n: int = 5000) -> DataFrame:
     return points.orderBy(*KEY).limit(n)
+
+
+def with_place(ordered: DataFrame, column: str = "place") -> DataFrame:
+    """Number the rows of a sorted table from 1, in its order.
+
+    Sorted partitions are written with a number within each; a row per partition is summed along them.
+    """
+    rows = stored(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("_part")).agg((F.max(inside) + 1).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per partition
+    return rows.withColumn("_part", part).join(before, "_part").withColumn(column, F.col("_before") + inside + 1).drop("_at", "_part", "_before")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date, datetime
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.functions import predicates as X
 from tidelog.functions import severity as sev
@@ -124,25 +124,29 @@ _CSV = "eid || ',\"' || event_type || ', \"\"' || uid || '\"\"\", ' || cents ||
 
 
 def csv_lines(spark, d):
-    """Five CSV files with the same header."""
-    body = R.events(spark, d).select("file_id", (F.col("line_no") + 1).alias("line_no"), F.expr(_CSV).alias("raw"))
-    head = spark.range(5).select(F.col("id").alias("file_id"), F.lit(0).cast("bigint").alias("line_no"), F.lit("id,what,cents,ID").alias("raw"))
-    return body.unionByName(head).withColumn("path", F.lit("csv"))
+    """Five CSV files; the odd ones have another header, with other columns and another order."""
+    e = R.events(spark, d)
+    body = e.select("file_id", (F.col("line_no") + 1).alias("line_no"), F.when(F.col("file_id") % 2 == 0, F.expr(_CSV)).otherwise(F.expr("cents || ',' || event_type || ',x' || eid")).alias("raw"))
+    head = F.when(F.col("id") % 2 == 0, F.lit("id,what,cents,ID")).otherwise(F.lit("cents,what,note"))
+    return body.unionByName(spark.range(5).select(F.col("id").alias("file_id"), F.lit(0).cast("bigint").alias("line_no"), head.alias("raw"))).withColumn("path", F.lit("csv"))
 
 
-@query("parse_csv", f"with {E} select file_id, cast(line_no + 1 as bigint) as line_no, event_id % 3 <> 0 as ok, event_id as id, event_type || ', \"' || uid || '\"' as what, cast(cents as bigint) as cents, case when event_id % 3 = 0 then 'x,y' else 'x' end as id_2 from e")
+@query("parse_csv", f"with {E} select file_id, cast(line_no + 1 as bigint) as line_no, file_id % 2 = 1 or event_id % 3 <> 0 as ok, case when file_id % 2 = 0 then event_id end as id, case when file_id % 2 = 0 then event_type || ', \"' || uid || '\"' else event_type end as what, cast(cents as bigint) as cents, case when file_id % 2 = 1 then '' when event_id % 3 = 0 then 'x,y' else 'x' end as id_2, case when file_id % 2 = 1 then 'x' || eid else '' end as note from e")
 def _(spark, d):
-    lines = csv_lines(spark, d)
-    df = P.data_lines_only(P.parse_csv(lines, P.csv_schema(lines.filter("file_id = 0"))), "csv")
-    return df.select("file_id", "line_no", "ok", "id", "what", "cents", F.col("`ID (2)`").alias("id_2"))
+    df = P.data_lines_only(P.parse_csv(csv_lines(spark, d)), "csv")
+    return df.select("file_id", "line_no", "ok", "id", "what", "cents", F.col("`ID (2)`").alias("id_2"), "note")
 
 
-@query("parse_w3c", f"with {E} select file_id, cast(line_no + 1 as bigint) as line_no, event_id % 3 <> 0 as ok, ts_text, case when ok_ms then secs * 1000 end as ts_ms, '/' || event_type as stem, case when event_id % 3 = 0 then '200 more' else '200' end as status_text, uid as ip from (select *, d || ' ' || t as ts_text, true as ok_ms from e)")
+@query("parse_w3c", f"with {E} select file_id, cast(line_no + 1 as bigint) as line_no, event_id % 3 <> 0 as ok, d || ' ' || t as ts_text, secs * 1000 as ts_ms, '/' || event_type as stem, case when file_id % 2 = 1 then '' when event_id % 3 = 0 then '200 more' else '200' end as note, case when file_id % 2 = 1 then '' else uid end as ip, case when file_id % 2 = 0 then '' when event_id % 3 = 0 then 'GET more' else 'GET' end as method from e")
 def _(spark, d):
-    body = R.events(spark, d).select("file_id", (F.col("line_no") + 1).alias("line_no"), F.expr("d || ' ' || t || '  ' || uid || ' /' || event_type || ' 200' || case when event_id % 3 = 0 then ' more' else '' end").alias("raw"))
-    head = spark.range(5).select(F.col("id").alias("file_id"), F.lit(0).cast("bigint").alias("line_no"), F.lit("#Fields: date time c-ip cs-uri-stem note").alias("raw"))
-    df = P.parse_w3c(body.unionByName(head).withColumn("path", F.lit("w3c")), "date time c-ip cs-uri-stem note".split())
-    return P.data_lines_only(df, "w3c").select("file_id", "line_no", "ok", "ts_text", "ts_ms", F.col("`cs-uri-stem`").alias("stem"), F.col("note").alias("status_text"), F.col("`c-ip`").alias("ip"))
+    """Five files with two kinds of ``#Fields``."""
+    more = " || case when event_id % 3 = 0 then ' more' else '' end"
+    even, odd = f"d || ' ' || t || '  ' || uid || ' /' || event_type || ' 200'{more}", f"'/' || event_type || ' ' || d || ' ' || t || ' GET'{more}"
+    body = R.events(spark, d).select("file_id", (F.col("line_no") + 1).alias("line_no"), F.when(F.col("file_id") % 2 == 0, F.expr(even)).otherwise(F.expr(odd)).alias("raw"))
+    fields = F.when(F.col("id") % 2 == 0, F.lit("#Fields: date time c-ip cs-uri-stem note")).otherwise(F.lit("#Fields: cs-uri-stem date time cs-method"))
+    head = spark.range(5).select(F.col("id").alias("file_id"), F.lit(0).cast("bigint").alias("line_no"), fields.alias("raw"))
+    df = P.data_lines_only(P.parse_w3c(body.unionByName(head).withColumn("path", F.lit("w3c"))), "w3c")
+    return df.select("file_id", "line_no", "ok", "ts_text", "ts_ms", F.col("`cs-uri-stem`").alias("stem"), "note", F.col("`c-ip`").alias("ip"), F.col("`cs-method`").alias("method"))
 
 
 @query("parse_netlog", f"with {E} select file_id, cast(line_no + 1 as bigint) as line_no, true as ok, cast(1521580000000 + event_id as bigint) as ts_ms, 'SOCKET ' || uid as source, case when event_id % 3 = 1 then '+' when event_id % 3 = 2 then '-' else '' end as phase, case when event_id % 2 = 0 then 'REQUEST' else '9' end as event, '{{\"k\":' || eid || '}}' as params from e".replace("{{", "{").replace("}}", "}"))
@@ -167,6 +171,45 @@ def _(spark, d):
     return df.select("file_id", "line_no", "ok", "severity", F.col("Who").alias("who"), F.col("Msg").alias("msg"))
 
 
+_SHOP = P.Spec("shop", r"^(?<when>\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})\|(?<lvl>[A-Z]+)\|(?<n>\d+)(?:\|(?<who>\p{L}+\d*))?\|(?<text>.*)$", (
+    P.Field("When", "when", "datetime", "timestamp", "yyyy/MM/dd HH:mm:ss"), P.Field("Level", "lvl", "string", "severityname"), P.Field("Count", "n", "integer", "numeric"),
+    P.Field("Who", "who", "string", "identifier"), P.Field("Text", "text", "string", "message")), ("lvl", {"err": "error", "wrn": "warning", "inf": "info"}, "verbose"), 0.8)
+
+
+@query("parse_spec", f"with {E} select file_id, line_no, good as ok, cast(case when not good then 0 when event_type = 'error' then 5 when event_type = 'purchase' then 4 when event_type = 'signup' then 3 else 1 end as tinyint) as severity, case when good then secs * 1000 end as ts_ms, case when good then cast(cents as bigint) end as n, case when good and event_id % 2 = 0 then 'u' || uid else '' end as who, case when good then event_type else {R.BAD} end as message from e")
+def _(spark, d):
+    """A format of the caller's own, with an optional group."""
+    line = f"replace(d, '-', '/') || ' ' || t || '|' || {R.level('ERR', 'WRN', 'INF', 'DBG', 'XYZ')} || '|' || cents || case when event_id % 2 = 0 then '|u' || uid else '' end || '|' || event_type"
+    df = P.parse_spec(R.lines(spark, d, line), P.registry([_SHOP])["shop"])
+    return df.select("file_id", "line_no", "ok", "severity", "ts_ms", F.col("Count").alias("n"), F.col("Who").alias("who"), F.col("Text").alias("message"))
+
+
+#: Specs that break one rule each, and the rule; ``spec_rules`` has to name it.
+_BROKEN = {
+    "no id": {"id": ""}, "no fields": {"fields": ()}, "field names repeat": {"fields": (*_SHOP.fields, P.Field("text", "text"))},
+    "a field's capture is not in the pattern": {"fields": (*_SHOP.fields, P.Field("More", "more"))}, "unknown type": {"fields": (*_SHOP.fields, P.Field("More", "n", "float"))},
+    "unknown hint": {"fields": (*_SHOP.fields, P.Field("More", "n", "string", "colour"))}, "a time format on a field that is no datetime": {"fields": (*_SHOP.fields, P.Field("More", "n", "string", "", "clf"))},
+    "not exactly one message field": {"fields": _SHOP.fields[:-1]}, "specificity out of (0, 1]": {"specificity": 0.0}, "bad severity": {"severity": ("lvl", {"err": "dire"}, "none")},
+    "the pattern doesn't compile": {"pattern": _SHOP.pattern + "(?<open>"}, "": {"pattern": _SHOP.pattern.replace("[A-Z]+", r"\p{Lu}++")},
+}
+
+
+@query("spec_rules", f"with {E} select event_id, case cast(event_id % {len(_BROKEN)} as int) " + " ".join(f"when {i} then '{k.replace(chr(39), chr(39) * 2)}'" for i, k in enumerate(_BROKEN)) + " end as problem from e")
+def _(spark, d):
+    """An event's number picks a spec; what is wrong with it."""
+    import dataclasses
+
+    def problem(change: dict) -> str:
+        try:
+            P.spec_rules(dataclasses.replace(_SHOP, **change))
+        except ValueError as e:
+            return str(e).split(": ")[1]
+        return ""
+
+    said = F.array(*[F.lit(problem(c)) for c in _BROKEN.values()])
+    return R.events(spark, d).select("event_id", said[(F.col("event_id") % len(_BROKEN)).cast("int")].alias("problem"))
+
+
 # 2.4 predicates
 selection("filter_text", "contains(lower(raw), 'the')", lambda df: X.filter_text(F.col("raw"), "THE"), doc_lines, "docs")
 selection("filter_regex", "regexp_matches(raw, '[a-z]+@[a-z0-9]+', 'i')", lambda df: X.filter_regex(F.col("raw"), "[a-z]+@[a-z0-9]+"), doc_lines, "docs")
@@ -242,9 +285,7 @@ def ranked(name: str, order: str, run) -> None:
     sql = f"select file_id, line_no, cast(row_number() over (order by {order}) as bigint) as place from kv"
 
     def placed(spark, d):
-        # the place of a row in the sorted table: partitions of a global sort are in order
-        out = run(kv(spark, d)).select("file_id", "line_no").withColumn("_p", F.monotonically_increasing_id())
-        return out.withColumn("place", F.row_number().over(Window.orderBy("_p")).cast("bigint")).drop("_p")
+        return rows.with_place(run(kv(spark, d)).select("file_id", "line_no"))
 
     query(name, sql)(placed)
 
@@ -328,14 +369,12 @@ _TL = f"tl as (select file_id, line_no, case when good then ms end as ts_ms, cas
 
 @query("timeline_merge", f"with {E}, {_TL} select *, cast(row_number() over (order by ts_ms, file_id, line_no) as bigint) as place from tl where ts_ms is not null")
 def _(spark, d):
-    out = timeline.timeline_merge(two_tables(spark, d)).drop("path").withColumn("_p", F.monotonically_increasing_id())
-    return out.withColumn("place", F.row_number().over(Window.orderBy("_p")).cast("bigint")).drop("_p")
+    return rows.with_place(timeline.timeline_merge(two_tables(spark, d)).drop("path"))
 
 
 @query("timeline_desc", f"with {E}, {_TL} select *, cast(row_number() over (order by ts_ms desc, file_id desc, line_no desc) as bigint) as place from tl where ts_ms is not null")
 def _(spark, d):
-    out = timeline.timeline_merge(two_tables(spark, d), descending=True).drop("path").withColumn("_p", F.monotonically_increasing_id())
-    return out.withColumn("place", F.row_number().over(Window.orderBy("_p")).cast("bigint")).drop("_p")
+    return rows.with_place(timeline.timeline_merge(two_tables(spark, d), descending=True).drop("path"))
 
 
 @query("timeline_dropped", f"with {E} select file_id, count(*) filter (not good) as dropped from e group by file_id")
@@ -381,10 +420,13 @@ def _(spark, d):
 
 
 # 2.8 search
-@query("grep", "select file_id, line_no, left(raw, 400) as excerpt from (select *, row_number() over (partition by file_id order by line_no) as n from docs where contains(raw, 'the') and octet_length(encode(raw)) = length(raw)) where n <= 3")
+#: The whole characters within 400 bytes, and one replacement character for what is left of a character cut in two.
+_EXCERPT = "case when octet_length(encode(raw)) <= 400 then raw else left(raw, k) || case when octet_length(encode(left(raw, k))) < 400 then chr(65533) else '' end end"
+
+
+@query("grep", f"select file_id, line_no, {_EXCERPT} as excerpt from (select *, case when octet_length(encode(raw)) > 400 then list_max(list_filter(range(0, 401), lambda i: octet_length(encode(left(raw, cast(i as int)))) <= 400)) end as k from (select *, row_number() over (partition by file_id order by line_no) as n from docs where contains(raw, 'the')) where n <= 3)")
 def _(spark, d):
-    match = X.filter_text(F.col("raw"), "the", case_sensitive=True) & (F.octet_length("raw") == F.length("raw"))
-    return search.grep(doc_lines(spark, d), match, 3)[0].select("file_id", "line_no", "excerpt")
+    return search.grep(doc_lines(spark, d), X.filter_text(F.col("raw"), "the", case_sensitive=True), 3)[0].select("file_id", "line_no", "excerpt")
 
 
 _GREP_FILES = "f as (select file_id, least(count(*) filter (contains(raw, 'the')), 3) as matches, count(*) filter (contains(raw, 'the')) > 3 as truncated, false as skipped_binary from docs group by file_id)"
@@ -400,6 +442,13 @@ def _(spark, d):
     return search.grep_counts(search.grep(doc_lines(spark, d), X.filter_text(F.col("raw"), "the", case_sensitive=True), 3)[1])
 
 
+@query("grep_errors", "select 'documents/' || cast(doc_id as string) as path, 'unreadable' as error from documents where text <> '' and text <> chr(10) and doc_id % 11 = 0")
+def _(spark, d):
+    """Every eleventh document's lines can't be read."""
+    listed = spark.read.parquet(f"{d}/documents.parquet").filter(F.col("text") != "\n").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").alias("size"))
+    return search.grep_errors(listed, doc_lines(spark, d).filter("file_id % 11 <> 0"))
+
+
 @query("grep_skip_binary", "select file_id from docs where line_no = 0 and file_id % 7 = 0")
 def _(spark, d):
     lines = doc_lines(spark, d).withColumn("raw", F.when((F.col("file_id") % 7 == 0) & (F.col("line_no") == 0), F.concat("raw", F.lit("\0"))).otherwise(F.col("raw")))
@@ -474,9 +523,9 @@ def noted(name: str, sql: str) -> object:
     return query(name, f"with {DOCS}, {_NOTES} {sql}")
 
 
-@noted("make_anchor", "select file_id, line_no, sha256(raw) as anchor_hash, left(raw, 80) as snippet from docs where octet_length(encode(raw)) <= 256")
+@noted("make_anchor", "select file_id, line_no, sha256(encode(raw)[1:256]) as anchor_hash, left(raw, 80) as snippet from docs")
 def _(spark, d):
-    return notes.with_anchor(doc_lines(spark, d)).filter(F.octet_length("raw") <= 256).select("file_id", "line_no", "anchor_hash", "snippet")
+    return notes.with_anchor(doc_lines(spark, d)).select("file_id", "line_no", "anchor_hash", "snippet")
 
 
 @noted("annotate_runs", "select file_id, min(line_no) as start_line, max(line_no) as end_line from (select *, line_no - row_number() over (partition by file_id order by line_no) as i from docs where contains(raw, 'a')) group by file_id, i")
@@ -511,15 +560,26 @@ def moved_notes(spark, d):
     return a.withColumn("anchor_hash", gone), lines
 
 
-_MOVED = "select id, case when file_id % 4 = 0 then 'orphaned' when file_id % 3 = 0 and not same then 'reanchored' else 'verified' end as status from (select nt.*, exists (select 1 from docs d where d.file_id = nt.file_id and d.line_no + 2 = nt.start_line and d.raw = nt.raw) as same from nt)"
+#: Every line a note could move to, then the shift: none, the file's commonest where it fits, or the nearest.
+_MOVED = """moved as (select file_id, line_no + case when file_id % 3 = 0 then 2 else 0 end as line_no, encode(raw)[1:256] as a from docs),
+hit as (select n.file_id, n.id, m.line_no - n.start_line as shift from (select *, encode(raw)[1:256] as a from nt where file_id % 4 <> 0) n join moved m on m.file_id = n.file_id and m.a = n.a),
+near as (select file_id, id, arg_min(shift, 2 * abs(shift) + cast(shift > 0 as int)) as nearest from hit group by 1, 2),
+most as (select file_id, arg_max(shift, (v, -abs(shift), -shift)) as common from (select file_id, shift, count(*) as v from hit where shift <> 0 group by 1, 2) group by 1),
+placed as (select nt.*, case when nearest = 0 then 0 when exists (select 1 from hit where hit.file_id = nt.file_id and hit.id = nt.id and hit.shift = most.common) then most.common else nearest end as shift,
+                  (select max(line_no) from moved where moved.file_id = nt.file_id) as last from nt left join near using (file_id, id) left join most using (file_id)),
+res as (select id, start_line + coalesce(shift, 0) as new_start, case when shift is null then end_line else least(end_line + shift, last) end as new_end, case when shift is null then 'orphaned' when shift = 0 then 'verified' else 'reanchored' end as status from placed)"""
+
+
+def moving(name: str, sql: str) -> object:
+    return query(name, f"with {DOCS}, {_NOTES}, {_MOVED} {sql}")
 
 
-@noted("reanchor", _MOVED)
+@moving("reanchor", "select * from res")
 def _(spark, d):
-    return notes.reanchor(*moved_notes(spark, d)).select("id", "status")
+    return notes.reanchor(*moved_notes(spark, d)).select("id", "new_start", "new_end", "status")
 
 
-@noted("reanchor_stats", f"select status, count(*) as n from ({_MOVED}) group by status")
+@moving("reanchor_stats", "select status, count(*) as n from res group by status")
 def _(spark, d):
     return notes.reanchor_stats(notes.reanchor(*moved_notes(spark, d)))
 
@@ -618,10 +678,10 @@ def contents(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").filter("doc_id is not null").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
 
 
-@query("file_identity", f"with {DOCS}, {_FILES} select cast(sum(octet_length(encode(raw)) + 1) as bigint) as size, cast(least(sum(octet_length(encode(raw)) + 1), 65536) as int) as prefix_length from fl group by file_no")
+@query("file_identity", f"with {DOCS}, {_FILES}, whole as (select string_agg(raw || chr(10), '' order by line_no) as content from fl group by file_no) select octet_length(encode(content)) as size, cast(least(octet_length(encode(content)), 65536) as int) as prefix_length, sha256(encode(content)[1:65536]) as prefix_sha256 from whole")
 def _(spark, d):
     path, _ = written_lines(spark, d)
-    return L.file_identity(spark, path, recursiveFileLookup="true", pathGlobFilter="*.txt").select("size", "prefix_length")
+    return L.file_identity(spark, path, recursiveFileLookup="true", pathGlobFilter="*.txt").select("size", "prefix_length", "prefix_sha256")
 
 
 @query("match_identity", "select cast(doc_id as string) as path, case when text = '' or text is null then case doc_id % 3 when 1 then 'Grown' else 'Identical' end else case doc_id % 3 when 0 then 'Identical' when 1 then 'Grown' else 'Mismatch' end end as match from documents where doc_id is not null")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -15,5 +16,20 @@ def _own() -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir`` (unset, as in tests: under an own folder)."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or _own()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path under ``spark.checkpoint.dir``.
+
+    Where that is unset, as in tests, a session on one machine gets an own folder; on a cluster that is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = _own()
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to a scratch folder and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
