@@ -21,7 +21,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from tidelog.llm import words
-from tidelog.llm.common import numbered, stored
+from tidelog.llm.common import fresh, placed, stored
 
 SEED_WORDS = 3
 #: Alignment: what a pair of equal words adds, what others and gaps cost; share of an item's own score to report.
@@ -117,9 +117,8 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("item_id"), pa.array(score, pa.float64())], ["row", "item_id", "score"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """``key``, ``item_id``, ``score`` and ``contaminated`` of every document."""
-    rows = numbered(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")))
+def best_items(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``row``, ``item_id`` and ``score`` of the rows (``row``, ``text``) that share a seed with an item."""
     items = stored(item_words(benchmark), "items")
     seeds = stored(item_seeds(items), "seeds")
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
@@ -128,6 +127,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     # the words of a passage and of an item meet once per pair that shares a seed
     pairs = hits.join(found.select("row", "part", "words"), ["row", "part"]).join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
     scored = pairs.select("row", "item_id", "item_words", "words").mapInArrow(_scores, "row long, item_id long, score double")
-    best = scored.groupBy("row").agg(F.min_by("item_id", F.struct(-F.col("score"), F.col("item_id"))).alias("item_id"), F.max("score").alias("score"))
+    return scored.groupBy("row").agg(F.min_by("item_id", F.struct(-F.col("score"), F.col("item_id"))).alias("item_id"), F.max("score").alias("score"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """``key``, ``item_id``, ``score`` and ``contaminated`` of every document."""
+    at = fresh(docs, "row")
+    rows = placed(docs, at).select(F.col(at).alias("row"), F.col(key).alias("_key"), F.col(text).alias("text"))
+    best = best_items(rows.select("row", "text"), benchmark)
     out = rows.select("_key", "row").join(best, "row", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return out.select(F.col("_key").alias(key), "item_id", "score", (F.col("score") >= min_score).alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` that hold no test item or edited copy of one."""
+    at = fresh(docs, "_at")
+    rows = placed(docs, at)
+    best = best_items(rows.select(F.col(at).alias("row"), F.col(text).alias("text")), benchmark)
+    goes = stored(best.filter(F.col("score") >= min_score).select(F.col("row").alias(at)), "contaminated")
+    return rows.join(goes, at, "left_anti").drop(at)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tidelog.llm import words
-from tidelog.llm.common import bounded_share
+from tidelog.llm.common import bounded_share, fresh
 
 #: Language families (fixed values). A language that is not listed forms the family ``other``.
 FAMILIES = {
@@ -181,11 +181,12 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text") ->
         for batch in batches:
             for part, data, offsets in words.slices(batch, text):
                 lang, score = model.predict(data, offsets)
-                letters = np.asarray(part.column("_letters"))
+                letters = np.asarray(part.column(has))
                 lang = [x if ok else UND for x, ok in zip(lang, letters, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0))], schema.names)
 
-    return docs.withColumn("_letters", has_letter(F.col(text))).mapInArrow(rows, schema)
+    has = fresh(docs, "_letters")
+    return docs.withColumn(has, has_letter(F.col(text))).mapInArrow(rows, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -193,7 +194,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """Learn from the documents that are not held out and predict all."""
-    learn = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    return with_language(docs, fit_language_model(learn))
+def with_determined_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that get a language when those not held out are learned from; where nothing can be learned, those with letters."""
+    model = fit_language_model(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
+    if not model.languages:
+        return docs.filter(has_letter(F.col("text")))
+    return with_language(docs, model).filter(F.col("lang_pred") != UND).select(*docs.columns)

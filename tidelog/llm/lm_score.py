@@ -32,7 +32,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from tidelog.llm import words
-from tidelog.llm.common import numbered, stored
+from tidelog.llm.common import fresh, placed, stored
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
 #: Distinct n-grams that a task adds up before it passes their counts on.
@@ -219,7 +219,8 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", corpus:
     Counts come from all of ``corpus`` (``text``; by default the documents themselves). A word that the corpus
     lacks counts as if seen once. With ``min_count`` 1 every n-gram of the corpus is kept.
     """
-    rows = numbered(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")))
+    at = fresh(docs, "row")
+    rows = placed(docs, at).select(F.col(at).alias("row"), F.col(key).alias("_key"), F.col(text).alias("text"))
     if corpus is None and min_count <= 1 and order > 1:
         return scored(rows.join(whole_model_sums(rows, order), "row"), F.col("v"), key)
     source = rows if corpus is None else corpus.select(F.col(text).alias("text"))
