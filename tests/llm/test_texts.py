@@ -12,9 +12,9 @@ import pyarrow as pa
 import pytest
 
 from tidelog.llm import words
-from tidelog.llm.common import new_path
+from tidelog.llm.common import new_path, placed
 from tidelog.llm.decontaminate import contamination, local_alignment
-from tidelog.llm.jaccard_join import jaccard_classes, one_of_each
+from tidelog.llm.jaccard_join import jaccard_classes, one_of_each, shingle_order
 from tidelog.llm.language_id import fit_language_model, with_language
 from tidelog.llm.lm_score import lm_scores
 from tidelog.llm.queries import op10_lm_score
@@ -271,6 +271,42 @@ def test_jaccard_classes(make_docs):
     assert jaccard_classes(make_docs([])).count() == 0
 
 
+def test_large_groups_that_overlap_without_linking(make_docs):
+    rng = random.Random(19)
+    base = [f"a{i}" for i in range(200)]
+    other = base[:110] + [f"b{i}" for i in range(90)]  # shares about half of its shingles with the first
+    rows = [(i, edited(rng, " ".join(base), rng.randint(0, 4))) for i in range(150)] + [(500 + i, edited(rng, " ".join(other), rng.randint(0, 4))) for i in range(150)]
+    rows += [(900 + i, edited(rng, " ".join(base), rng.randint(6, 20))) for i in range(60)]  # too far from the rest, mostly
+    got = jaccard_classes(make_docs(rows))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == components(rows)
+
+
+def test_every_link_of_small_sets(make_docs):
+    rng = random.Random(20)
+    rows = [(i, prose(rng, rng.randint(1, 14), 3)) for i in range(250)]
+    got = jaccard_classes(make_docs(rows))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == components(rows)
+
+
+def test_shingle_levels(make_docs):
+    texts = ["a b c d e f"] * 3 + ["a b c d e x", "q r s t u v w"] + ["h i j k l"] * 20
+    order = shingle_order(make_docs(list(enumerate(texts))))
+    level = lambda t: order.levels(words.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5)[0]).tolist()
+    assert (level("a b c d e"), level("b c d e f"), level("r s t u v"), level("h i j k l"), level("not in any of them")) == ([2], [1], [0], [3], [0])
+
+
+def test_rows_keep_their_numbers_however_files_are_split(spark, make_docs, tmp_path):
+    make_docs([(i, "t") for i in range(4000)]).repartition(4).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "docs"))
+    seen = []
+    for least in ("1", "16"):
+        spark.conf.set("spark.sql.files.minPartitionNum", least)
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+        seen.append({(r["at"], r["doc_id"]) for r in placed(docs, "at").collect()})
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert seen[0] == seen[1] and len({a for a, _ in seen[0]}) == 4000
+    assert len({r["at"] for r in placed(make_docs([(1, "x")] * 50), "at").collect()}) == 50
+
+
 def test_one_of_each(make_docs):
     rng = random.Random(10)
     base = prose(rng, 100)

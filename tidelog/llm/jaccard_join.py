@@ -1,16 +1,22 @@
 """N-gram Jaccard join by grouped prefixes: documents link when their shingle sets are similar enough.
 
-Shingles are the distinct runs of five words (64-bit hashes). A global order puts frequent shingles last; a set's
-prefix is the shortest start of it that two linked sets must share a shingle in. Equal sets collapse to one member,
-members with identical prefix and size to one group. Groups that share a prefix shingle and fit in size meet,
-and their members are expanded and verified on the whole sets.
+Shingles are the distinct runs of five words (64-bit hashes). A global order puts frequent shingles last: all are
+counted, by hash, in a partitioned table, and what goes to every task is the order of magnitude of a count, in bitmaps
+of fixed size. A set's prefix is the shortest start of it, in that order, that two linked sets must share a shingle
+in. A shingle that one document alone has can be in no overlap, so a set whose prefix holds only such ones is done;
+the others are written once, without them.
+
+Equal sets collapse to one member, members with the same size and the same shared part of the prefix to one group. The
+list of a shingle holds the groups whose prefix has it. Two members of a list can link only where the shingle comes
+early enough in both for what follows to reach the overlap that their sizes ask for; an entry that fails this against
+the smallest size in its list leaves the list, before any join.
 
 Links are wanted for the classes they form, so no class is compared with itself more than needed: in a first round
-each group meets the head's group of every prefix shingle's list, and each member the first of its group; the links
-found form classes. Some further rounds take another head for each list that still holds several classes. The last
-round joins what is left, the pairs of different classes on a common shingle, with the full overlap bound, so
-that no link between classes is lost. Hot shingles, copies and near
-copies therefore cost a row per member, not one per pair.
+each group meets the head of every list of its (the group with the fewest rarer shingles), and each member the first
+of its group; the links found form classes. In a second, complete round the groups of different classes that a list
+still holds meet, under the size and position bounds; pairs whose common and remaining shingles can't reach the overlap
+fall out, the rest are expanded to their members and verified. No link between classes is lost, and copies,
+near copies and hot shingles cost a row per entry, not one per pair.
 
 Defined results: A-Z lower-cased words; with one to four words the whole sequence is the one shingle; without words
 or text a document is empty and linked with nothing (n_shingles 0, its own id). Rows with equal or null ids are
@@ -25,135 +31,171 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 
 from tidelog.llm import words
-from tidelog.llm.common import numbered, stored
+from tidelog.llm.common import WHILE_WRITING, fresh, placed, settings, stored
 
 SHINGLE, PERCENT = 5, 75
-#: Counters of the shingle order: shingles share them by hash. More only make prefixes rarer, never results other.
-COUNTERS = 1 << 20
-#: Rounds against heads of lists before the last, complete round.
-HEADS = 4
-#: In those, the part of a member's prefix that the head of a list must share to be tried. The last round tries
-#: all that is left, so both shift work only.
-NEAR = 0.25
-_CUT = 1 << 14
+#: Counts from which a shingle is of the next level of the order. Level 0 is what one document alone has.
+LEVELS = (2, *(4**k for k in range(1, 12)))
+#: Bits of the bitmaps of the first level and of the others. In bitmaps that fill up shingles take a higher level than
+#: theirs, which shifts work but no result.
+BITS, HIGH_BITS = 27, 24
+#: Shingles that a task sorts at once, and those that one cell of the count table shall hold, about.
+HELD, CELL = 1_500_000, 1 << 20
 _SALTS = np.array([0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A], np.uint64)
 
 
-def shingle_counters(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """How many documents' shingles fall on each of COUNTERS counters; of fixed size, whatever the input."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for _, data, offsets in words.slices(batch, "text"):
-                grams, _ = words.ngram_hashes(*words.word_hashes(data, offsets), SHINGLE)
-                total += np.bincount((grams >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
-        parts = total.astype(np.uint32).reshape(-1, _CUT)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["cut", "counts"])
+class Order:
+    """The level of every shingle, from one bitmap per level over the top bits of the hash."""
 
-    def add(part: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, np.uint32) for x in part.column("counts").to_pylist()], axis=0, dtype=np.uint64)
-        return pa.table([part.column("cut").slice(0, 1), pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], names=["cut", "counts"])
+    def __init__(self) -> None:
+        self.bits = [np.zeros((1 << (HIGH_BITS if k else BITS)) // 8, np.uint8) for k in range(len(LEVELS))]
 
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(count, "cut int, counts binary").groupBy("cut").applyInArrow(add, "cut int, counts binary")
-    out = np.zeros((COUNTERS // _CUT, _CUT), np.uint32)
-    for r in parts.collect():  # COUNTERS numbers in all
-        out[r["cut"]] = np.frombuffer(r["counts"], np.uint32)
-    return out.ravel()
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), np.uint8)
+        left = np.arange(len(h))
+        for k, bits in enumerate(self.bits):
+            at = (h[left] >> np.uint64(64 - (HIGH_BITS if k else BITS))).astype(np.int64)
+            left = left[(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+            if not len(left):
+                break
+            out[left] = k + 1
+        return out
 
 
-def prefix_length(n: int) -> int:
-    """Sets of n that link share one of the first this many: n less the least overlap, plus one."""
-    return n - (-(-PERCENT * n // 100)) + 1
+def shingle_order(docs: DataFrame, text: str = "text") -> Order:
+    """Count all shingles of all documents and keep their levels.
 
+    A cell of the count table holds the hashes that start with the same bits, as many cells as the input needs;
+    within a cell 32 further bits tell hashes apart. Tasks add up what they read before it is shuffled, so a very
+    frequent shingle is an entry per HELD shingles.
+    """
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    top = int(np.clip(np.ceil(np.log2(max(size, 1) / 6 / CELL)), 8, 20))
 
-def set_keys(docs: DataFrame) -> DataFrame:
-    """``row``, ``n_shingles`` and the set's digest ``k1``, ``k2``, of ``row``, ``text``."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            for part, data, offsets in words.slices(batch, "text"):
-                sets = words.shingle_sets(data, offsets, SHINGLE)
-                sizes = np.array([len(s) for s in sets], np.int64)
-                keys = [np.array([np.bitwise_xor.reduce(words.mixed(s + salt)) if len(s) else 0 for s in sets], np.uint64) for salt in _SALTS]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sizes), *(pa.array(k.view(np.int64)) for k in keys)], ["row", "n_shingles", "k1", "k2"])
-
-    return docs.select("row", "text").mapInArrow(rows, "row long, n_shingles long, k1 long, k2 long")
-
+            for _, data, offsets in words.slices(batch, "text"):
+                held += words.shingle_sets(data, offsets, SHINGLE)
+                n += sum(len(s) for s in held[-(len(offsets) - 1) :])
+                if n >= HELD:
+                    yield cells(np.concatenate(held))
+                    held, n = [], 0
+        if n:
+            yield cells(np.concatenate(held))
+
+    def cells(h: np.ndarray) -> pa.RecordBatch:
+        h = np.sort(h >> np.uint64(32 - top))
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        times = np.diff(np.append(first, len(h))).astype(np.uint32)
+        h = h[first]
+        cell, begin = np.unique(h >> np.uint64(32), return_index=True)
+        ends = np.append(begin[1:], len(h))
+        low = h.astype(np.uint32)
+        parts = {"once": [], "more": [], "times": []}
+        for a, b in zip(begin.tolist(), ends.tolist(), strict=True):
+            several = times[a:b] > 1
+            for name, x in (("once", low[a:b][~several]), ("more", low[a:b][several]), ("times", times[a:b][several])):
+                parts[name].append(x.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *(pa.array(x, pa.binary()) for x in parts.values())], ["cell", *parts])
 
-def shingle_arrays(docs: DataFrame, counters: np.ndarray | None = None, only: words.HashFilter | None = None) -> DataFrame:
-    """``row``, ``n_shingles`` and shingles ``s``, of ``row``, ``text``; texts without shingles are left out.
+    def add(part: pa.Table) -> pa.Table:
+        once, more, times = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32) for c in ("once", "more", "times"))
+        h, c = np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), times.astype(np.int64)])
+        order = np.argsort(h, kind="stable")
+        h, c = h[order], c[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        h, c = h[first], np.add.reduceat(c, first)
+        low = np.zeros(1 << (BITS - top), bool)
+        low[h[c >= LEVELS[0]] >> np.uint32(5 + top)] = True
+        high = [np.unique(h[c >= n] >> np.uint32(8 + top)).tobytes() for n in LEVELS[1:]]
+        return pa.table([part.column("cell").slice(0, 1), pa.array([np.packbits(low).tobytes()], pa.binary()), pa.array([high], pa.list_(pa.binary()))], names=["cell", "low", "high"])
+
+    table = docs.select(F.col(text).alias("text")).mapInArrow(count, "cell int, once binary, more binary, times binary").groupBy("cell").applyInArrow(add, "cell int, low binary, high array<binary>")
+    out = Order()
+    low = out.bits[0].reshape(1 << top, -1)
+    high = [np.zeros(1 << HIGH_BITS, bool) for _ in LEVELS[1:]]
+    with settings(docs.sparkSession, WHILE_WRITING):
+        found = table.toArrow()  # bits of the bitmaps: of fixed size in all
+    for batch in found.to_batches():
+        for cell, own, more in zip(*(batch.column(c).to_pylist() for c in ("cell", "low", "high")), strict=True):
+            low[cell] = np.frombuffer(own, np.uint8)
+            for bits, x in zip(high, more, strict=True):
+                bits[(cell << (HIGH_BITS - top)) + np.frombuffer(x, np.uint32).astype(np.int64)] = True
+    out.bits[1:] = [np.packbits(x) for x in high]
+    return out
+
+
+def prefix_length(n):
+    """Sets of n that link share one of the first this many: n less the least overlap, plus one."""
+    return n * (100 - PERCENT) // 100 + 1
 
-    With ``counters`` the prefix in the global order, else the whole sorted set. ``only`` passes the rows that are
-    wanted, and few others.
-    """
 
-    def prefix(s: np.ndarray) -> np.ndarray:
-        order = np.argsort(counters[(s >> np.uint64(44)).astype(np.int64)], kind="stable")  # ties by hash: s is sorted
-        return s[order[: prefix_length(len(s))]]
+def shared_sets(docs: DataFrame, order: Order) -> DataFrame:
+    """``carry``, ``n_shingles``, the set's digest ``k1``, ``k2`` and its shingles ``s`` that other documents may
+    have, in the global order, of ``carry``, ``text``; ``s`` is empty where its prefix has none of them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if only is not None:
-                batch = batch.filter(pa.array(only.passing(words.mixed(np.asarray(batch.column("row")).view(np.uint64)))))
             for part, data, offsets in words.slices(batch, "text"):
                 sets = words.shingle_sets(data, offsets, SHINGLE)
-                full = np.flatnonzero([len(s) > 0 for s in sets])
-                if not len(full):
-                    continue
-                sizes = np.array([len(sets[i]) for i in full], np.int64)
-                taken = [prefix(sets[i]) if counters is not None else sets[i] for i in full]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in taken])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(full)), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(taken).view(np.int64)))], ["row", "n_shingles", "s"])
-
-    return docs.select("row", "text").mapInArrow(rows, "row long, n_shingles long, s array<long>")
-
+                sizes = np.array([len(s) for s in sets], np.int64)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                h = np.concatenate(sets)
+                full = np.flatnonzero(sizes)
+                keys = np.zeros((2, len(sets)), np.uint64)
+                for k, salt in zip(keys, _SALTS, strict=True):
+                    if len(full):
+                        k[full] = np.bitwise_xor.reduceat(words.mixed(h + salt), ends[full])
+                level = order.levels(h)
+                several = np.concatenate([[0], np.cumsum(level > 0)])
+                common = several[ends[1:]] - several[ends[:-1]]
+                owner = np.repeat(np.arange(len(sets)), sizes)
+                some = np.flatnonzero((level > 0) & (sizes - common < prefix_length(sizes))[owner])
+                some = some[np.lexsort((h[some], level[some], owner[some]))]
+                bounds = np.searchsorted(owner[some], np.arange(len(sets) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("carry"), pa.array(sizes), *(pa.array(k.view(np.int64)) for k in keys),
+                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(h[some].view(np.int64)))], ["carry", "n_shingles", "k1", "k2", "s"])
 
-def row_filter(rows: DataFrame) -> words.HashFilter:
-    """A filter of fixed size for the ``row``s of a table."""
+    kind = docs.schema["carry"].dataType.simpleString()
+    return docs.select("carry", "text").mapInArrow(rows, f"carry {kind}, n_shingles long, k1 long, k2 long, s array<long>")
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = words.HashFilter()
-        for batch in batches:
-            mine.add(words.mixed(np.asarray(batch.column("row")).view(np.uint64)))
-        at = np.flatnonzero(mine.words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(mine.words[at].view(np.int64))], ["at", "bits"])
 
-    found = words.HashFilter()
-    table = rows.select("row").coalesce(8).mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2^21 words
-    found.words[np.asarray(table.column("at"))] = np.asarray(table.column("bits")).view(np.uint64)
-    return found
+def overlap(a: Column, b: Column) -> Column:
+    """The least overlap of linked sets of these sizes."""
+    return F.ceil(PERCENT * (a + b) / (100 + PERCENT))
 
 
-def sets_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The whole sets of the members of ``pairs``."""
-    wanted = row_filter(pairs.select(F.col("a").alias("row")).union(pairs.select("b")))
-    return stored(shingle_arrays(rows, only=wanted).select("row", "s"), "sets", "lz4")
+def can_link(n: Column, at: Column, m: Column, mt: Column) -> Column:
+    """Whether sets of n and m may link on a common shingle, their first, at places at and mt."""
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (at <= n - overlap(n, m)) & (mt <= m - overlap(n, m))
 
 
-def fits(a: Column, b: Column) -> Column:
-    """Sizes that can link: the smaller over the larger reaches the threshold."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def in_reach(n: Column, at: Column, least: Column) -> Column:
+    """Whether a set may link on a shingle at this place with any other of its list, whose least size is given."""
+    return at <= n - overlap(n, F.greatest(least, F.ceil(PERCENT * n / 100)))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``a``, ``b`` of ``pairs`` of members that link, by whole sets (``row``, ``s``)."""
+    """The ``a``, ``b`` of ``pairs`` of members that link, by their sets (``row``, ``n``, ``s``)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for s, t in zip(batch.column("s"), batch.column("t"), strict=True):
-                x, y = np.asarray(s.values), np.asarray(t.values)
-                both = np.sort(np.concatenate([x, y]))
+            for s, t, n in zip(batch.column("s"), batch.column("t"), batch.column("n").to_pylist(), strict=True):
+                both = np.sort(np.concatenate([np.asarray(s.values), np.asarray(t.values)]))
                 common = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+                linked.append(100 * common >= PERCENT * (n - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    met = pairs.join(sets.select(F.col("row").alias("a"), "s"), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("t")), "b")
-    return met.select("a", "b", "s", "t").mapInArrow(check, "a long, b long, linked boolean").filter("linked").select("a", "b")
+    a = sets.select(F.col("row").alias("a"), F.col("n").alias("na"), "s")
+    b = sets.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("s").alias("t"))
+    met = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "s", "t")
+    return met.mapInArrow(check, "a long, b long, linked boolean").filter("linked").select("a", "b")
 
 
 def classes(edges: DataFrame) -> DataFrame:
@@ -183,89 +225,79 @@ def classes(edges: DataFrame) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document ``key``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
-    rows = numbered(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")))
-    of_row = row_classes(rows.select("row", "text"))
-    placed = rows.select("row", "_key").join(of_row, "row")
-    smallest = placed.filter("class is not null").groupBy("class").agg(F.min("_key").alias("component_id"))
-    out = placed.join(smallest, "class", "left")
+    found = row_classes(docs.select(F.struct(F.col(key).alias("key")).alias("carry"), F.col(text).alias("text")))
+    found = found.select(F.col("carry.key").alias("_key"), "n_shingles", "class")
+    smallest = found.filter("class is not null").groupBy("class").agg(F.min("_key").alias("component_id"))
+    out = found.join(smallest, "class", "left")
     return out.select(F.col("_key").alias(key), "n_shingles", F.when(F.col("n_shingles") == 0, F.col("_key")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those linked, directly or not, to one of smaller id (ties: earlier row)."""
-    rows = numbered(docs, "_row")
-    of_row = row_classes(rows.select(F.col("_row").alias("row"), F.col(text).alias("text"))).filter("class is not null")
-    placed = stored(rows.select(F.col("_row").alias("row"), F.col(key).alias("_key")).join(of_row, "row"), "placed")
-    stays = placed.groupBy("class").agg(F.min_by("row", F.struct(F.col("_key").isNull(), "_key", "row")).alias("stays"))
-    goes = stored(placed.join(stays, "class").filter("row <> stays").select(F.col("row").alias("_row")), "goes")
-    return rows.join(goes, "_row", "left_anti").drop("_row")
-
+    """The rows of ``docs`` without those linked, directly or not, to one of smaller id (ties: one of them stays)."""
+    at = fresh(docs, "_at")
+    rows = placed(docs, at)
+    found = row_classes(rows.select(F.struct(F.col(key).alias("key"), F.col(at).alias("at")).alias("carry"), F.col(text).alias("text")))
+    found = found.filter("class is not null").select("carry.*", "class")
+    stays = found.groupBy("class").agg(F.min_by("at", F.struct(F.col("key").isNull(), "key", "at")).alias("stays"))
+    goes = stored(found.join(stays, "class").filter("at <> stays").select(F.col("at").alias(at)), "goes")
+    return rows.join(goes, at, "left_anti").drop(at)
 
-def several_classes(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """Postings of the lists that members of more than one class are in, with their ``class``."""
-    list_of = Window.partitionBy("t")
-    placed = shared.join(label, "member", "left").select("t", "member", "n", "at", F.coalesce("class", "member").alias("class"))
-    return placed.withColumns({"lo": F.min("class").over(list_of), "hi": F.max("class").over(list_of)}).filter("lo <> hi").drop("lo", "hi")
 
+def row_classes(docs: DataFrame) -> DataFrame:
+    """``carry``, ``n_shingles`` and ``class`` (a number; null without shingles) of each row of ``carry``, ``text``.
 
-def row_classes(rows: DataFrame) -> DataFrame:
-    """``row``, ``n_shingles`` and ``class`` (a row of the class; null without shingles) of ``row``, ``text``."""
-    found = stored(set_keys(rows), "set-keys")
+    Rows are numbered as they are written with their sets; nothing relies on the order that the input is read in.
+    """
+    found = stored(shared_sets(docs, shingle_order(docs)).withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
     # equal sets: one member each, the first row
-    full = found.filter("n_shingles > 0")
-    same = stored(full.groupBy("k1", "k2", "n_shingles").agg(F.min("row").alias("member")), "members")
-    member_of = full.select("row", "k1", "k2", "n_shingles").join(same, ["k1", "k2", "n_shingles"]).select("row", "member")
-    prefixes = shingle_arrays(rows, shingle_counters(rows)).join(same.select(F.col("member").alias("row")), "row", "left_semi")
-    # a prefix shingle that one member alone has joins nothing; the member with the fewest rarer shingles, the least
-    # edited of a group of near copies, heads the list of each other one
-    list_of = Window.partitionBy("t")
-    postings = prefixes.select(F.col("row").alias("member"), F.col("n_shingles").alias("n"), F.xxhash64("s", "n_shingles").alias("g"), F.posexplode("s").alias("at", "t"))
-    shared = postings.select("t", "member", "g", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("at").cast("bigint")).alias("place"))
-    at = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
-    head = F.min_by("member", F.struct(at, "member")).over(list_of)
-    shared = shared.withColumns({"low": head, "first": F.min("member").over(list_of), "last": F.max("member").over(list_of)}).filter("first <> last")
-    shared = stored(shared.select("t", "member", "g", "low", F.shiftright("place", 32).alias("n"), at.alias("at")), "postings")
-    # groups: members of one prefix and size
-    members = stored(shared.groupBy("member").agg(F.min("g").alias("g"), F.min("n").alias("n")), "members")
-    first_of = members.groupBy("g").agg(F.min("member").alias("first"))
-    members = stored(members.join(first_of, "g").select("member", "first", "n"), "grouped")
-    # first round: group firsts against the heads of their lists, members against the first of their group
-    near = shared.filter("member <> low").groupBy("member", "low").agg(F.count("*").alias("common"))
-    near = near.join(members, "member").filter(F.col("common") >= NEAR * (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1))
-    head = members.select(F.col("member").alias("low"), F.col("first").alias("b"), F.col("n").alias("nb"))
-    near = near.join(head, "low").filter(fits(F.col("n"), F.col("nb")) & (F.col("first") != F.col("b"))).select(F.col("first").alias("a"), "b")
-    inner = members.filter("member <> first").select(F.col("member").alias("a"), F.col("first").alias("b"))
-    pairs = stored(near.union(inner).distinct(), "pairs")
-    links = stored(verified(pairs, sets_of(pairs, rows)), "links")
+    full = found.filter("n_shingles > 0").select("row", "k1", "k2", "n_shingles")
+    same = full.groupBy("k1", "k2", "n_shingles").agg(F.min("row").alias("member"))
+    member_of = stored(full.join(same, ["k1", "k2", "n_shingles"]).select("row", "member"), "member-of")
+    n, unique = F.col("n_shingles"), F.col("n_shingles") - F.size("s")
+    prefix = F.slice("s", F.lit(1), (F.floor(n * (100 - PERCENT) / 100) + 1 - unique).cast("int"))
+    sets = found.filter(F.size("s") > 0).join(member_of.filter("row = member").select("row"), "row", "left_semi")
+    sets = stored(sets.select("row", n.alias("n"), "s", prefix.alias("prefix"), F.xxhash64(prefix, n).alias("g")), "sets")
+    # groups by size and shared prefix, named by their first member
+    first_of = sets.groupBy("g").agg(F.min("row").alias("grp"))
+    members = stored(sets.select("row", "n", "g").join(first_of, "g").select("row", "n", "grp"), "grouped")
+    firsts = sets.join(members.filter("row = grp").select("row"), "row", "left_semi")
+    entries = firsts.select(F.col("row").alias("grp"), "n", (F.col("n") - F.size("s")).alias("u"), F.posexplode("prefix").alias("k", "t"))
+    entries = entries.select("t", "grp", "n", (F.col("u") + F.col("k")).alias("at"))
+    lists = entries.groupBy("t").agg(F.min("n").alias("least"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    entries = stored(entries.join(lists, "t").filter(in_reach(F.col("n"), F.col("at"), F.col("least"))).drop("least"), "entries")
+    # first round: groups against the heads of their lists, members against the first of their group
+    heads = entries.groupBy("t").agg(F.min(F.struct("at", "grp", "n")).alias("h"))
+    near = entries.join(heads, "t").filter((F.col("grp") != F.col("h.grp")) & can_link(F.col("n"), F.col("at"), F.col("h.n"), F.col("h.at")))
+    pairs = near.select(F.col("grp").alias("a"), F.col("h.grp").alias("b")).distinct()
+    pairs = pairs.union(members.filter("row <> grp").select(F.col("row").alias("a"), F.col("grp").alias("b")))
+    links = stored(verified(pairs, sets.select("row", "n", "s")), "links")
     label = classes(links)
-    # further rounds: members of other classes against one more head of each list, by another order of members
-    for turn in range(1, HEADS):
-        mixed = stored(several_classes(shared, label), "mixed")
-        by = F.struct(F.col("at") + F.pmod(F.xxhash64("member", F.lit(turn)), F.lit(8)), "member")
-        top = F.min_by(F.struct("member", "class", "n"), by).over(list_of)
-        other = mixed.withColumn("top", top).filter("class <> top.class").groupBy("member", "n", F.col("top.member").alias("b"), F.col("top.n").alias("nb")).agg(F.count("*").alias("common"))
-        near = other.filter(fits(F.col("n"), F.col("nb")) & (F.col("common") >= NEAR * (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)))
-        pairs = stored(near.select(F.col("member").alias("a"), "b"), "pairs")
-        new = stored(verified(pairs, sets_of(pairs, rows)), "links")
-        if not new.limit(1).count():
-            break
-        links = links.union(new)
-        label = classes(links)
-    # last round: what is left, different classes on a common shingle
-    mixed = stored(several_classes(shared, label), "mixed")
-    per_class = mixed.select("t", "class").distinct()
-    met = per_class.join(per_class.withColumnRenamed("class", "other"), "t").filter(F.col("class") < F.col("other"))
-    left = met.join(mixed.select("t", "class", F.col("member").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa")), ["t", "class"])
-    both = left.join(mixed.select("t", F.col("class").alias("other"), F.col("member").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb")), ["t", "other"])
-    # sets of these sizes that link share a shingle within the first n - overlap + 1 of both
-    overlap = F.ceil(PERCENT * (F.col("na") + F.col("nb")) / (100 + PERCENT))
-    both = both.filter(fits(F.col("na"), F.col("nb")) & (F.col("pa") <= F.col("na") - overlap) & (F.col("pb") <= F.col("nb") - overlap))
-    pair = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    # second round: what is left, groups of different classes on a common shingle
+    of_class = stored(members.join(label.withColumnRenamed("member", "row"), "row", "left").withColumn("class", F.coalesce("class", "row")), "of-class")
+    span = of_class.groupBy("grp").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    left = several_classes(entries.join(span, "grp"))
+    left = stored(several_classes(left.filter(in_reach(F.col("n"), F.col("at"), F.col("least"))).drop("least")).drop("least"), "entries")
+    x, y = (left.select("t", *[F.col(c).alias(f"{side}_{c}") for c in ("grp", "n", "at", "lo", "hi")]) for side in "ab")
+    same_class = (F.col("a_lo") == F.col("b_hi")) & (F.col("a_hi") == F.col("b_lo"))
+    both = x.join(y, (x["t"] == y["t"]) & (F.col("a_grp") < F.col("b_grp")) & ~same_class & can_link(F.col("a_n"), F.col("a_at"), F.col("b_n"), F.col("b_at")))
+    met = both.groupBy("a_grp", "b_grp", "a_n", "b_n").agg(F.count("*").alias("common"), F.max("a_at").alias("pa"), F.max("b_at").alias("pb"))
     # what follows the last common prefix shingle bounds the rest of the overlap
-    most = F.col("common") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    possible = stored(pair.filter((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
-    more = stored(verified(possible, sets_of(possible, rows)), "links")
+    most = F.col("common") + F.least(F.col("a_n") - F.col("pa"), F.col("b_n") - F.col("pb")) - 1
+    met = met.filter(most >= overlap(F.col("a_n"), F.col("b_n"))).select("a_grp", "b_grp")
+    # members last: those of two such groups, or of one group, that are of different classes
+    a, b = (of_class.select(F.col("row").alias(s), F.col("grp").alias(f"{s}_grp"), F.col("class").alias(f"{s}_class")) for s in "ab")
+    across = met.join(a, "a_grp").join(b, "b_grp").filter("a_class <> b_class").select("a", "b")
+    split = of_class.join(span.filter("lo <> hi").select("grp"), "grp", "left_semi")
+    a, b = (split.select(F.col("row").alias(s), "grp", F.col("class").alias(f"{s}_class")) for s in "ab")
+    within = a.join(b, "grp").filter("a < b and a_class <> b_class").select("a", "b")
+    more = stored(verified(across.union(within), sets.select("row", "n", "s")), "links")
     label = classes(links.union(more)) if more.limit(1).count() else label
     # back to all rows of equal sets
     of_row = member_of.join(label, "member", "left").select("row", F.coalesce("class", "member").alias("class"))
-    return stored(found.select("row", "n_shingles").join(of_row, "row", "left"), "of-row")
+    return stored(found.select("carry", "n_shingles", "row").join(of_row, "row", "left").drop("row"), "of-row")
+
+
+def several_classes(entries: DataFrame) -> DataFrame:
+    """The ``entries`` of lists with groups of more than one class, and the ``least`` size in the list."""
+    lists = entries.groupBy("t").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.min("n").alias("least")).filter("_lo <> _hi")
+    return entries.join(lists.select("t", "least"), "t")
