@@ -22,49 +22,58 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
 from tidelog.llm import words
-from tidelog.llm.common import numbered, stored, write
+from tidelog.llm.common import stored, write
 
 END_ID = 2
 #: Cut where the rolling hash of the last WINDOW ids has MASK's bits clear: one chunk end in 256 ids.
 WINDOW, MASK, MAX_CHUNK = 16, np.uint64(0xFF00000000), 4096
-#: Pieces beyond which a worker starts its pool anew before the next slice, and the longest such piece.
-CACHED_PIECES, CACHED_LENGTH = 1_000_000, 256
+#: Pieces beyond which a worker starts its pool anew before the next slice, the longest such piece, and how many the
+#: tokenizer gets at once.
+CACHED_PIECES, CACHED_LENGTH, LEARNED = 1_500_000, 256, 50_000
 #: Chunks in one pack, about.
 PACK_CHUNKS = 20_000
+_OTHER_VALUE = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _GEAR = np.random.default_rng(5).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 _workers: dict[str, PieceEncoder] = {}
 
 
 class Pool:
-    """Id sequences by name: ``index`` gives a name's number, ``start`` the bounds of its ids."""
+    """Id sequences by the 128-bit hash of a piece: ``keys`` are sorted, ``start`` has the bounds of a number's ids."""
 
     def __init__(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ids, self.start, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+        self.keys, self.checks, self.number = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.start, self.used, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0, 0
 
-    def add(self, names: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+    def add(self, hashes: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces (``hashes`` has two rows), whose ids end at ``ends``."""
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        first = len(self.index)
-        while first + len(names) + 1 > len(self.start):
+        while self.size + len(ends) + 1 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
         self.ids[self.used : self.used + len(ids)] = ids
-        self.start[first + 1 : first + 1 + len(names)] = self.used + ends
-        self.used += len(ids)
-        self.index.update(zip(names, range(first, first + len(names)), strict=True))
-
-    def numbers(self, names: list[bytes]) -> np.ndarray:
-        """The number of each name, -1 where it is unknown."""
-        return np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
+        self.start[self.size + 1 : self.size + 1 + len(ends)] = self.used + ends
+        numbers = np.arange(self.size, self.size + len(ends), dtype=np.int32)
+        self.used, self.size = self.used + len(ids), self.size + len(ends)
+        order = np.argsort(hashes[0])
+        at = np.searchsorted(self.keys, hashes[0][order])
+        self.keys, self.checks, self.number = (np.insert(old, at, new[order]) for old, new in ((self.keys, hashes[0]), (self.checks, hashes[1]), (self.number, numbers)))
+        return numbers
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each piece, -1 where it is unknown."""
+        if not len(self.keys):
+            return np.full(hashes.shape[1], -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes[0]), len(self.keys) - 1)
+        return np.where((self.keys[at] == hashes[0]) & (self.checks[at] == hashes[1]), self.number[at].astype(np.int64), -1)
 
     def gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all these numbers in turn, the end of each)."""
@@ -74,6 +83,19 @@ class Pool:
         return self.ids[np.repeat(self.start[numbers] - ends + size, size) + np.arange(total)], ends
 
 
+def piece_hashes(found: pa.LargeBinaryArray) -> np.ndarray:
+    """Two hashes of each of some non-empty pieces."""
+    bounds = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1]
+    if not len(found):
+        return np.zeros((2, 0), np.uint64)
+    data = np.frombuffer(found.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    length = np.diff(bounds)
+    within = np.arange(len(data)) - np.repeat(bounds[:-1] - bounds[0], length)
+    power = words.powers(words._RADIX, int(length.max()))[within]
+    starts = bounds[:-1] - bounds[0]
+    return np.stack([words.mixed(np.add.reduceat(value[data] * power, starts) + length.astype(np.uint64) * words._STEP) for value in (words._BYTE_VALUE, _OTHER_VALUE)])
+
+
 class PieceEncoder:
     """Ids of whole texts, piece by piece: the tokenizer splits at white space and where letters, digits and
     punctuation meet, so such pieces are encoded once and their ids kept.
@@ -99,49 +121,49 @@ class PieceEncoder:
         at = np.array(done.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
         return np.array(done.ids, dtype=np.uint32), np.searchsorted(at, begins[1:], "left")
 
-    def learn(self, new: list[bytes]) -> None:
-        """Most pieces end with their only word-end token; where that doesn't hold, places decide."""
-        names = [x.decode() for x in new]
-        simple = [x for x in names if x.isalpha()]
-        other = [x for x in names if not x.isalpha()]
-        if simple:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(simple)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+    def learn(self, new: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        """Take pieces into the pool and give their numbers.
+
+        Most end with their only word-end token; where that doesn't hold, places decide.
+        """
+        names = b" ".join([x.strip() for x in new]).decode().split(" ")
+        alpha = np.fromiter(map(str.isalpha, names), bool, len(names))
+        blank = np.fromiter(map(len, names), np.int64, len(names)) == 0
+        numbers = np.zeros(len(new), np.int64)
+        simple, other, blank = (np.flatnonzero(x) for x in (alpha, ~alpha & ~blank, blank))
+        if len(simple):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([names[i] for i in simple])], add_special_tokens=False)[0].ids, dtype=np.uint32)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(simple) or ends[-1] != len(ids):
-                ids, ends = self.encode_apart(simple)
-            self.pool.add([x.encode() for x in simple], ids, ends)
-        if other:
-            self.pool.add([x.encode() for x in other], *self.encode_apart(other))
+                ids, ends = self.encode_apart([names[i] for i in simple])
+            numbers[simple] = self.pool.add(hashes[:, simple], ids, ends)
+        if len(other):
+            numbers[other] = self.pool.add(hashes[:, other], *self.encode_apart([names[i] for i in other]))
+        if len(blank):
+            numbers[blank] = self.pool.add(hashes[:, blank], np.zeros(0, np.uint32), np.zeros(len(blank), np.int64))
+        return numbers
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, with END_ID after each text; the end of each text in them) of texts in one buffer."""
         n = len(offsets) - 1
-        if len(self.pool.index) > CACHED_PIECES:  # between slices only: what a slice needs stays until it is encoded
+        if self.pool.size > CACHED_PIECES:  # between slices only: what a slice needs stays until it is encoded
             self.pool = Pool()
-        start, stop, owner, odd = pieces(data, offsets)
-        raw = words._LOWER[data]
-        codes, first = distinct(raw, start, stop)
-        blob = raw.tobytes()
-        begin, end = start[first], stop[first]
-        names = [blob[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        long = np.flatnonzero(end - begin > CACHED_LENGTH)
-        top = np.maximum.reduceat(np.append(raw, 0), np.stack([begin, end], axis=1).ravel())[::2] if len(begin) else raw
-        numbers = self.pool.numbers(names)
-        letters = np.flatnonzero((top >= 128) & (numbers < 0))  # what is known was found fit before
-        bad = [*long.tolist(), *(i for i in letters.tolist() if not kept_letters(names[i]))]
-        if bad:
-            odd[np.unique(owner[np.isin(codes, bad)])] = True
-        usable = np.ones(len(names), bool)
-        usable[bad] = False
-        new = np.flatnonzero((numbers < 0) & usable)
-        if len(new):
-            self.learn([names[i] for i in new.tolist()])
-            numbers = self.pool.numbers(names)
-        if (numbers[usable] < 0).any():
-            raise ValueError("a piece of a text has no ids")
-        keep = ~odd[owner]
-        ids, ends = self.pool.gathered(numbers[codes[keep]])
-        of_text = np.concatenate([[0], ends])[np.searchsorted(owner[keep], np.arange(n), "right")]
+        codes, owner, found, odd = pieces(data, offsets)
+        hashes = piece_hashes(found)
+        numbers = self.pool.numbers(hashes)
+        new = np.flatnonzero(numbers < 0)  # what is known was found fit before
+        names = found.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist()
+        fit = np.array([len(x) <= CACHED_LENGTH and (x.isascii() or kept_letters(x)) for x in names], bool)
+        if not fit.all():
+            odd[np.unique(owner[np.isin(codes, new[~fit])])] = True
+        new, names = new[fit], [x for x, ok in zip(names, fit.tolist(), strict=True) if ok]
+        for k in range(0, len(names), LEARNED):
+            numbers[new[k : k + LEARNED]] = self.learn(names[k : k + LEARNED], hashes[:, new[k : k + LEARNED]])
+        if odd.any():
+            keep = ~odd[owner]
+            codes, owner = codes[keep], owner[keep]
+        ids, ends = self.pool.gathered(numbers[codes])
+        of_text = np.concatenate([[0], ends])[np.searchsorted(owner, np.arange(n), "right")]
         if not odd.any():
             return np.insert(ids, of_text, END_ID), of_text + np.arange(1, n + 1)
         texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in np.flatnonzero(odd)]
@@ -152,7 +174,7 @@ class PieceEncoder:
 
 def kept_letters(name: bytes) -> bool:
     """Whether a piece with non-ASCII characters is letters only, in lower case too."""
-    text = name.decode("utf-8", "replace")
+    text = name.strip().decode("utf-8", "replace")
     return text.isalpha() and text.lower().isalpha()
 
 
@@ -160,56 +182,42 @@ def kept_letters(name: bytes) -> bool:
 _CLASS = np.array([0 if i in (32, *range(9, 14)) else 4 if i < 32 or i == 127 else 2 if 48 <= i <= 57 else 1 if i >= 128 or chr(i).isalpha() else 3 for i in range(256)], np.uint8)
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, stop, text) of every run of one byte class, and which texts must be encoded as they are."""
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.LargeBinaryArray, np.ndarray]:
+    """The runs of one byte class of the texts, A-Z lower-cased, each with the white space before it: (number among the
+    distinct ones, its text), the distinct ones, and which texts must be encoded as they are."""
     n = len(offsets) - 1
     odd = np.zeros(n, bool)
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), odd
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.large_binary()), odd
     kind = _CLASS[data]
     change = np.ones(len(data), bool)
-    change[1:] = kind[1:] != kind[:-1]
+    change[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
     quotes = np.flatnonzero(data == 39)
     if len(quotes):  # words with an apostrophe stay whole
-        blank = np.ones(len(data), bool)
-        blank[1:] = (kind[1:] == 0) != (kind[:-1] == 0)
-        word = np.cumsum(blank)
-        inside = np.zeros(int(word[-1]) + 1, bool)
-        inside[word[quotes]] = True
-        change = np.where(inside[word], blank, change)
+        blanks = np.flatnonzero(kind == 0)
+        first = np.append(0, blanks + 1)[np.searchsorted(blanks, quotes)]
+        last = np.append(blanks, len(data))[np.searchsorted(blanks, quotes)]
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[np.unique(first) + 1] = 1
+        inside[np.unique(last)] -= 1
+        change &= np.cumsum(inside[:-1], dtype=np.int8) == 0
     edges = offsets[1:-1]
     change[edges[edges < len(data)]] = True
     start = np.flatnonzero(change)
-    stop = np.append(start[1:], len(data))
     strange = np.flatnonzero((kind == 4) | ((data == 60) & (np.append(data[1:], 0) == 124)))
     if len(strange):
         odd[np.unique(np.searchsorted(offsets, strange, "right") - 1)] = True
-    real = kind[start] != 0
-    start, stop = start[real], stop[real]
-    return start, stop, np.searchsorted(offsets, start, "right") - 1, odd
-
-
-def distinct(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of each piece among the distinct ones, index of the first of each)."""
-    if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    length = stop - start
-    edges = np.stack([start, stop], axis=1).ravel()
-    within = np.arange(len(data), dtype=np.int64)
-    within[start[0] :] -= np.repeat(start, np.diff(np.append(start, len(data))))
-    value = words._BYTE_VALUE[data] * words.powers(words._RADIX, int(max(np.diff(np.append(start, len(data))).max(), start[0] + 1)))[within]
-    sums = np.add.reduceat(np.append(value, np.uint64(0)), edges)[::2]
-    codes, _ = pd.factorize(words.mixed(sums + length.astype(np.uint64) * words._STEP))
-    most = np.maximum.accumulate(codes)
-    return codes, np.flatnonzero(np.diff(most, prepend=-1) > 0)
+    tiles = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(data))), pa.py_buffer(words._LOWER[data])])
+    told = tiles.dictionary_encode()
+    return np.asarray(told.indices), np.searchsorted(offsets, start, "right") - 1, told.dictionary, odd
 
 
 def cuts(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The sorted chunk ends of texts that end at ``ends``."""
-    h = np.zeros(len(ids), np.uint64)
-    gear = _GEAR[ids & 0xFFFF]
-    for k in range(min(WINDOW, len(ids))):
-        h[k:] += gear[: len(ids) - k] << np.uint64(k * 2)
+    h, k = _GEAR[ids & 0xFFFF], 1
+    while k < WINDOW:  # of the last k ids, then of the last 2 k
+        h[k:] += h[:-k] << np.uint64(2 * k)
+        k *= 2
     found = np.flatnonzero((h & MASK) == 0) + 1
     starts = np.concatenate([[0], ends[:-1]])
     owner = np.searchsorted(ends, found, "left")
@@ -232,7 +240,7 @@ def merkle_root(digests: list[bytes]) -> bytes:
     return digest(level[0])
 
 
-CHUNK_SCHEMA = "doc_id long, row long, n_tokens long, digests array<binary>, sizes array<int>, new array<binary>"
+CHUNK_SCHEMA = "carry {}, n_tokens long, digests array<binary>, sizes array<int>, new array<binary>"
 
 
 def encoded_chunks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -262,9 +270,9 @@ def encoded_chunks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             seen.add(name)
         lists = [pa.ListArray.from_arrays(pa.array(of_doc.astype(np.int32)), x) for x in (pa.array(names, pa.binary()), pa.array((stops - starts).astype(np.int32)), pa.array(new, pa.binary()))]
         sizes = np.diff(ends, prepend=0)
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(sizes), *lists], ["doc_id", "row", "n_tokens", "digests", "sizes", "new"])
+        return pa.RecordBatch.from_arrays([part.column("carry"), pa.array(sizes), *lists], ["carry", "n_tokens", "digests", "sizes", "new"])
 
-    return docs.select("doc_id", "text", "row").mapInArrow(rows, CHUNK_SCHEMA)
+    return docs.select("carry", "text").mapInArrow(rows, CHUNK_SCHEMA.format(docs.schema["carry"].dataType.simpleString()))
 
 
 def _pack(name: Column, packs: int) -> Column:
@@ -274,48 +282,44 @@ def _pack(name: Column, packs: int) -> Column:
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, order: tuple[str, ...] = ("doc_id",)) -> None:
     """Encode ``docs`` (doc_id, text) and write chunks, recipes and manifest under ``path``.
 
-    The output order is that of the ``order`` columns, ascending. Tokens pass a shuffle once, for the chunks.
+    The output order is that of the ``order`` columns, ascending; rows alike in them are told apart by a number that
+    is written with their ids. Tokens pass a shuffle once, for the chunks.
     """
-    spark = docs.sparkSession
-    keyed = numbered(docs.select(F.col("doc_id").cast("long"), F.col("text"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]))
-    ordered = order != ("doc_id",)
-    staged = stored(encoded_chunks(keyed, tokenizer_path), "token-chunks")
+    by = [f"o{i}" for i in range(len(order))]
+    carry = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(o) for c, o in zip(order, by, strict=True)])
+    staged = encoded_chunks(docs.select(carry.alias("carry"), "text"), tokenizer_path)
+    staged = stored(staged.withColumn("row", F.monotonically_increasing_id()), "token-chunks")
     pieces = staged.select(F.explode(F.arrays_zip("digests", "sizes", "new")).alias("c")).filter("c.new is not null").select(F.col("c.digests").alias("digest"), F.col("c.sizes").alias("n"), F.col("c.new").alias("ids"))
-    packs = max(1, round(pieces.count() / PACK_CHUNKS))
+    packs = max(1, round((staged.agg(F.sum(F.size(F.array_compact("new")))).first()[0] or 0) / PACK_CHUNKS))
     unique = pieces.withColumn("pack", _pack(F.col("digest"), packs)).repartition(packs, "pack").dropDuplicates(["pack", "digest"])
     write(unique, f"{path}/chunks", by="pack")
-    write(pack_roots(spark, path), f"{path}/manifest")
-    recipes = staged.select("doc_id", "row", "n_tokens", "digests", "sizes")
-    if ordered:
-        keys = stored(keyed.select("row", *[f"_o{i}" for i in range(len(order))]), "token-order")
-        recipes = recipes.join(keys, "row")
-        by = [f"_o{i}" for i in range(len(order))]
-    else:
-        by = ["doc_id"]
-    starts = with_starts(recipes, [*by, "row"], "n_tokens")
-    write(starts.select("doc_id", "start", "n_tokens", "digests", "sizes").mapInPandas(_with_root, RECIPE_SCHEMA), f"{path}/recipes")
+    write(pack_roots(docs.sparkSession, path), f"{path}/manifest")
+    ranged = staged.select("carry", "row", "n_tokens", "digests", "sizes").orderBy(*[f"carry.{o}" for o in by], "row")
+    ranged = stored(ranged.select(F.col("carry.doc_id").alias("doc_id"), "n_tokens", "digests", "sizes").mapInArrow(_summed, f"part int, {RECIPE_SCHEMA}"), "token-ranges")
+    totals = ranged.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row per partition
+    recipes = ranged.join(before, "part").withColumn("start", F.col("start") + F.col("before"))
+    write(recipes.drop("part", "before"), f"{path}/recipes")
 
 
 RECIPE_SCHEMA = "doc_id long, start long, n_tokens long, digests array<binary>, after array<long>, root binary"
 
 
-def _with_root(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Replace the chunk sizes by how many ids of the document follow each chunk; add the Merkle root."""
-    for pdf in parts:
-        after = [n - np.cumsum(x) for n, x in zip(pdf["n_tokens"], pdf["sizes"], strict=True)]
-        yield pdf.drop(columns="sizes").assign(after=after, root=[merkle_root(list(x)) for x in pdf["digests"]])[["doc_id", "start", "n_tokens", "digests", "after", "root"]]
-
-
-def with_starts(rows: DataFrame, by: list[str], size: str) -> DataFrame:
-    """Add ``start``, the sum of ``size`` over all rows before, in the order ``by``; rows are range-partitioned.
-
-    Sums within a partition are taken there; only one total per partition meets in one place.
-    """
-    ranged = stored(rows.orderBy(*by).withColumn("_p", F.spark_partition_id()), "token-ranges")
-    totals = ranged.groupBy("_p").agg(F.sum(size).alias("_t"))
-    before = totals.select("_p", (F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).alias("_before"))  # a row per partition
-    inside = F.sum(size).over(Window.partitionBy("_p").orderBy(*by)) - F.col(size)
-    return ranged.join(F.broadcast(before), "_p").withColumn("start", (F.col("_before") + inside).cast("long")).drop("_p", "_before")
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Recipes of the sorted rows of a partition: ``start`` counts within it; ``after`` are a document's ids past each chunk."""
+    at = 0
+    for batch in batches:
+        n, sizes = np.asarray(batch.column("n_tokens")), batch.column("sizes")
+        ends = np.cumsum(n)
+        bounds = np.asarray(sizes.offsets) - np.asarray(sizes.offsets)[0]
+        into = np.cumsum(np.asarray(sizes.flatten()), dtype=np.int64)  # every document has a chunk and the chunks hold all its ids
+        after = np.repeat(ends, np.diff(bounds)) - into
+        roots = [merkle_root(x) for x in batch.column("digests").to_pylist()]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(n), TaskContext.get().partitionId(), np.int32)), batch.column("doc_id"), pa.array(at + ends - n), batch.column("n_tokens"),
+            batch.column("digests"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(after)), pa.array(roots, pa.binary())],
+            ["part", "doc_id", "start", "n_tokens", "digests", "after", "root"])
+        at += int(ends[-1]) if len(ends) else 0
 
 
 def pack_roots(spark: SparkSession, path: str) -> DataFrame:
@@ -375,11 +379,11 @@ def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens", "n", "missing")), pa.array(crc.astype(np.int64))], ["doc_id", "start", "n_tokens", "n", "missing", "part"])
 
 
-def _rooted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        if any(merkle_root(list(x)) != root for x, root in zip(pdf["digests"], pdf["root"], strict=True)):
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if [merkle_root(x) for x in batch.column("digests").to_pylist()] != batch.column("root").to_pylist():
             raise ValueError("a document doesn't match its recipe")
-        yield pdf.drop(columns="root")
+        yield batch.select(["doc_id", "start", "n_tokens", "digests", "after"])
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -390,7 +394,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     manifest = spark.read.schema("pack int, root binary, n_chunks long, n_ids long").parquet(f"{path}/manifest")
     if pack_roots(spark, path).exceptAll(manifest).limit(1).count():
         raise ValueError("a pack doesn't match the manifest")
-    recipes = spark.read.schema(RECIPE_SCHEMA).parquet(f"{path}/recipes").mapInPandas(_rooted, "doc_id long, start long, n_tokens long, digests array<binary>, after array<long>")
+    recipes = spark.read.schema(RECIPE_SCHEMA).parquet(f"{path}/recipes").mapInArrow(_rooted, "doc_id long, start long, n_tokens long, digests array<binary>, after array<long>")
     uses = recipes.select("doc_id", "start", "n_tokens", F.explode(F.arrays_zip("digests", "after")).alias("c")).select("doc_id", "start", "n_tokens", F.col("c.digests").alias("digest"), F.col("c.after").alias("after"))
     found = uses.join(verified_chunks(spark, path), "digest", "left").select("doc_id", "start", "n_tokens", "after", "crc", "n", F.col("crc").isNull().alias("missing"))
     parts = found.mapInArrow(_shifted, "doc_id long, start long, n_tokens long, n int, missing boolean, part long")
