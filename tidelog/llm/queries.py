@@ -32,9 +32,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.common import placed
     from tidelog.llm.mixing import mixed_order
 
-    return mixed_order(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    docs = placed(table(spark, sf_dir, "documents"), "at").select("at", "doc_id", "source")
+    return mixed_order(docs, row="at").drop("at")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
