@@ -27,6 +27,20 @@ def test_against_brute_force(spark, monkeypatch, block):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == brute(rows, 6)
 
 
+def test_components_and_scores_beyond_a_long(spark):
+    rows = [(0, [1e300, -1.0]), (1, [1e300, 5.0]), (2, [2e300, 0.0]), (3, [-1e300, 0.0]), (4, [-2e300, 1.0]), (5, [0.0, 1.0]), (0, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.filter("vec_id = 0 and embedding[0] > 1e200"), 5).orderBy("rank").collect()
+    top, low = 2**63 - 1, -(2**63)
+    assert [(r["vec_id"], r["score"]) for r in got] == [(2, top), (1, top), (5, -1024 * 1024), (3, low), (4, low)]
+
+
+def test_query_rows_of_one_id(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 3.0]), (None, [9.0, 9.0])], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.filter("vec_id = 0"), 1).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 1), (0, 1, 2)]
+
+
 def test_huge_components_and_empty(spark):
     df = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1.0, 2.0]), (2, [3.0, 1e6])], "vec_id long, embedding array<double>")
     got = topk.top_k(df, df.filter("vec_id = 0"), 5).collect()
