@@ -1,6 +1,8 @@
+import random
+
 import pyspark.sql.functions as F
 
-from tidelog.llm.url_filter import fit_url_model, url_verdicts
+from tidelog.llm.url_filter import RULES, _entropy, fit_url_model, url_verdicts
 
 CASES = [
     ("http://WWW.Example.ORG/es/1?x#y", "www.example.org", "/es/1", "example.org/es/", "block"),
@@ -29,6 +31,43 @@ def test_rules_and_edges(spark):
         assert got[i]["verdict"] in ("allow", "block")
 
 
+def expected(url):
+    """Host, path, rule and its verdict, word for word."""
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    ends = [i for i, c in enumerate(rest) if c in "/?#"]
+    host = rest[: min(ends, default=len(rest))]
+    path = rest[len(host) :]
+    path = path[: min((i for i, c in enumerate(path) if c in "?#"), default=len(path))]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def test_rules_against_brute_force(spark):
+    rng = random.Random(3)
+    parts = ["http", "://", "/", "?", "#", "org", "example", ".", "com", "ORG", "es/", "en/1", "fr/", "de/", "a", "É", "x9", "=", "&"]
+    urls = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 4))) + "://" * (rng.random() < 0.8) + "".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(1500)]
+    urls += [f"http://{rng.choice(['', 'a.', 'b.'])}{rng.choice(['org', 'example.org', 'com', 'x.com', 'net'])}/{rng.choice(['es/', 'en/1', 'en/2', 'fr/', 'de/', ''])}{i}" for i in range(500)]
+    rows = [(i, u, "a", "b", 1.5, "c", "d") for i, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "page_id long, url string, depth string, prediction string, entropy double, _row string, hit string")
+    got = {r["page_id"]: r for r in url_verdicts(df).collect()}
+    for i, u in enumerate(urls):
+        r = got[i]
+        host, path, rule, verdict = expected(u)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] in ((verdict,) if verdict else ("allow", "block"))
+        assert (r["depth"], r["prediction"], r["entropy"], r["_row"], r["hit"]) == ("a", "b", 1.5, "c", "d")
+
+
+def test_entropy(spark):
+    import math
+
+    for text in ("aab", "x", "a1b2-c3", "ééa"):
+        got = spark.range(1).select(F.lit(text).alias("u")).select(_entropy(F.col("u"))).first()[0]
+        assert abs(got + sum(text.count(c) / len(text) * math.log2(text.count(c) / len(text)) for c in set(text))) < 1e-9
+
+
 def test_empty_and_one_class(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_verdicts(empty).count() == 0

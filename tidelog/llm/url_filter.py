@@ -5,8 +5,9 @@ statistics) and learn from labelled URLs. Where the caller has no labels of its
 rules decide are the labelled ones.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and no rule; its verdict is
-``allow``. Repeated rows are judged one by one. If the labels hold one class only (or none), that class
-(``allow`` without any) is the method's verdict. Extra columns pass through ``url_verdicts`` untouched.
+``allow``. One with ``://`` and no host is judged by the method like any other. Repeated rows are judged one by one.
+If the labels hold one class only (or none), that class (``allow`` without any) is the method's verdict. Extra columns,
+whatever they are called, pass through ``score`` and ``url_verdicts`` untouched.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 
 from tidelog.llm.common import ascii_lower, bounded_share, share_below, stored
+from tidelog.llm.spans import let
 
 #: (verdict, host, path) of the production rules.
 RULES = (
@@ -30,7 +32,7 @@ RULES = (
     ("block", "com", "/de/"),
 )
 #: Most labelled URLs that the trees are fitted on; a larger set is thinned by a hash of the URL.
-MAX_LABELLED = 200_000
+MAX_LABELLED, FOLDS = 200_000, 5
 FEATURES = (
     "n_chars", "host_chars", "path_chars", "labels", "depth", "digit_ratio", "host_digits", "hyphens",
     "entropy", "params", "param_chars", "fragment", "odd_chars", "last_chars", "suffix_blocked",
@@ -62,13 +64,13 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def _entropy(text: Column) -> Column:
-    """Bits per character over the classes that URLs mix; classes keep it one pass per class."""
+    """Bits per character."""
     n = F.length(text)
-    total = F.lit(0.0)
-    for chars in ("[a-m]", "[n-z]", "[A-Z]", "[0-4]", "[5-9]", "[-_.~]", "[/]", "[?&=#%+:;,@!]", "[^ -~]"):
-        p = _share(F.regexp_count(text, F.lit(chars)), n)
-        total = total - F.when(p > 0, p * F.log2(p)).otherwise(0.0)
-    return total
+
+    def add(total: Column, char: Column) -> Column:
+        return let((n - F.length(F.replace(text, char))) / n, lambda p: total - p * F.log2(p))
+
+    return F.when(n > 0, F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), add)).otherwise(0.0)
 
 
 def suffix_of(host: Column) -> Column:
@@ -105,10 +107,10 @@ class UrlModel:
         """Add ``p_block``, the probability that a URL is to be blocked."""
         if self.trees is None:
             return df.withColumn("p_block", F.lit(float(self.prior)))
-        keep = df.columns
-        out = with_suffix_statistics(lexical_features(df, url), self.suffixes, self.prior)
+        rows = df.select(F.struct(*df.columns).alias("_row"), F.col(url).alias("url"))
+        out = with_suffix_statistics(lexical_features(rows), self.suffixes, self.prior)
         out = self.trees.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(out))
-        return out.select(*keep, vector_to_array("probability")[1].alias("p_block"))
+        return out.select("_row.*", vector_to_array("probability")[1].alias("p_block"))
 
 
 def with_suffix_statistics(df: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
@@ -120,17 +122,22 @@ def fit_url_model(labelled: DataFrame, url: str = "url", label: str = "label", m
                   trees: int = 20, depth: int = 4, seed: int = 7) -> UrlModel:
     """Fit on labelled URLs (label 1: block). At most about ``max_labelled`` rows are used.
 
-    Suffix statistics are smoothed block rates by the last two host labels, from the same rows.
+    Suffix statistics are smoothed block rates by the last two host labels; a row that the trees learn from gets those
+    of the other folds.
     """
     rows = labelled.filter(F.col(label).isNotNull() & F.col(url).isNotNull()).select(F.col(url).alias("url"), F.col(label).cast("double").alias("label"))
     n, blocked = rows.agg(F.count("*"), F.sum("label")).first()
     if not n or not 0 < blocked < n:
         return UrlModel(None, None, 0.0 if not n else blocked / n)
     prior = blocked / n
-    rows = stored(lexical_features(rows.filter(share_below(F.col("url"), bounded_share(n, max_labelled)))), "url-labelled")
-    suffixes = stored(rows.groupBy("_suffix").agg(
-        ((F.sum("label") + 10 * prior) / (F.count("*") + 10)).alias("suffix_blocked"), F.log1p(F.count("*")).alias("suffix_seen")), "url-suffixes")
-    train = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(with_suffix_statistics(rows, suffixes, prior))
+    rows = lexical_features(rows.filter(share_below(F.col("url"), bounded_share(n, max_labelled)))).withColumn("_fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+    rows = stored(rows, "url-labelled")
+    rate = lambda hits, seen: [((hits + 10 * prior) / (seen + 10)).alias("suffix_blocked"), F.log1p(seen).alias("suffix_seen")]
+    by_fold = stored(rows.groupBy("_suffix", "_fold").agg(F.sum("label").alias("hits"), F.count("*").alias("seen")), "url-suffixes")
+    sums = by_fold.groupBy("_suffix").agg(F.sum("hits").alias("all_hits"), F.sum("seen").alias("all_seen"))
+    suffixes = stored(sums.select("_suffix", *rate(F.col("all_hits"), F.col("all_seen"))), "url-suffixes")
+    others = by_fold.join(sums, "_suffix").select("_suffix", "_fold", *rate(F.col("all_hits") - F.col("hits"), F.col("all_seen") - F.col("seen")))
+    train = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(rows.join(others, ["_suffix", "_fold"]))
     gbt = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed, checkpointInterval=-1)
     return UrlModel(gbt.fit(train.select("_features", "label")), suffixes, prior)
 
@@ -142,13 +149,10 @@ def url_verdicts(df: DataFrame, model: UrlModel | None = None, rules: Sequence[t
     The longest rule decides; where none fits, the model blocks at ``p_block >= threshold``. Without a
     model, one is fitted on the URLs that the rules decide. Columns of these names are replaced.
     """
-    df = df.drop("host", "path", "rule", "verdict", "p_block")
-    hit = matching_rule(F.col("_h"), F.col("_p"), rules)
-    df = df.withColumns({"_h": url_host(F.col(url)), "_p": url_path(F.col(url))}).withColumn("_rule", hit)
+    keep = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict", "p_block")]
+    rows = df.select(F.struct(*keep).alias("row"), F.col(url).alias("url"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    rows = rows.withColumn("hit", matching_rule(F.col("host"), F.col("path"), rules))
     if model is None:
-        model = fit_url_model(df.filter(F.col("_rule").isNotNull()).select(F.col(url).alias("url"), (F.col("_rule.verdict") == "block").cast("int").alias("label")))
-    judged = model.score(df, url)
-    by_model = F.when((F.col("_h") != "") & (F.col("p_block") >= threshold), "block").otherwise("allow")
-    return judged.withColumns({
-        "host": F.col("_h"), "path": F.col("_p"), "rule": F.col("_rule.rule"),
-        "verdict": F.coalesce("_rule.verdict", by_model)}).drop("_h", "_p", "_rule")
+        model = fit_url_model(rows.filter(F.col("hit").isNotNull()).select("url", (F.col("hit.verdict") == "block").cast("int").alias("label")))
+    by_model = F.when(F.contains("url", F.lit("://")) & (F.col("p_block") >= threshold), "block").otherwise("allow")
+    return model.score(rows).select("row.*", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", by_model).alias("verdict"), "p_block")
