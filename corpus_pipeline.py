@@ -12,19 +12,18 @@ import pyspark.sql.functions as F
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm.common import new_path, numbered, stored
-from tidelog.llm.decontaminate import contamination
+from tidelog.llm.common import fresh, new_path, placed, stored
+from tidelog.llm.decontaminate import without_contaminated
 from tidelog.llm.jaccard_join import one_of_each
-from tidelog.llm.language_id import UND, identify
+from tidelog.llm.language_id import with_determined_language
 from tidelog.llm.mixing import mixed_order
 from tidelog.llm.queries import tokenizer_path
 from tidelog.llm.token_store import read_store, write_store
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language is undetermined: null text or no letters."""
-    kept = identify(docs.drop("lang_pred", "score")).filter(F.col("lang_pred") != UND)
-    return kept.select(*docs.columns)
+    """Drop documents whose language is undetermined: null text or no letters. All learned languages stay."""
+    return with_determined_language(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,30 +33,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item or an edited copy of one."""
-    rows = numbered(docs, "_row")
-    found = contamination(rows.select("_row", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row")
-    goes = stored(found.filter("contaminated").select("_row"), "contaminated")
-    return rows.join(goes, "_row", "left_anti").drop("_row")
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put all documents in the mixed order, which is the order of the files and of the rows in them."""
-    rows = numbered(docs, "_row")
-    order = stored(mixed_order(rows.select("_row", "doc_id", "source")).select("_row", "position"), "mixed-order")
-    return rows.join(order, "_row").orderBy("position").select(*docs.columns)
+    at = fresh(docs, "_at")
+    rows = placed(docs, at)
+    order = stored(mixed_order(rows.select(at, "doc_id", "source"), row=at).select(at, "position"), "mixed-order")
+    return rows.join(order.withColumnRenamed("position", "_position"), at).orderBy("_position").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the token store in the order of the files (without files, of the ids) and read it back."""
-    order: tuple[str, ...] = ("doc_id",)
+    """Write the token store in the order of the files (by part number, then name) and of their rows, and read it back.
+
+    Documents that aren't read from Parquet files are written to some first.
+    """
+    file = F.col("_metadata.file_name")
+    order = {"part": F.regexp_extract(file, r"part-(\d+)", 1).try_cast("bigint"), "file": file, "index": F.col("_metadata.row_index")}
+    columns = ["doc_id", "text", *[v.alias(k) for k, v in order.items()]]
     try:
-        docs = docs.select("doc_id", "text", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).alias("_part"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_index"))
-        docs = docs.withColumn("_part", F.expr("try_cast(_part as bigint)"))
-        order = ("_part", "_file", "_index")
-    except AnalysisException:  # not read from Parquet files
-        pass
+        rows = docs.select(*columns)
+    except AnalysisException:
+        rows = stored(docs, "documents").select(*columns)
     path = new_path(spark, "token-store")
-    write_store(docs, path, tokenizer_path(), order)
+    write_store(rows, path, tokenizer_path(), tuple(order))
     return read_store(spark, path)
 
 
