@@ -24,7 +24,7 @@ def grep(lines: DataFrame, match: Column, max_matches: int = MAX_MATCHES) -> tup
     binary = binary_files(lines)
     hits = lines.join(binary, "file_id", "left_anti").filter(match)
     ranked = hits.withColumn("_n", F.row_number().over(Window.partitionBy("file_id").orderBy("line_no"))).filter(F.col("_n") <= max_matches + 1)
-    excerpt = F.decode(F.substring(F.encode("raw", "UTF-8"), 1, EXCERPT), "UTF-8")
+    excerpt = F.make_valid_utf8(F.substring(F.encode("raw", "UTF-8"), 1, EXCERPT).cast("string"))  # a character cut in two is U+FFFD
     excerpt = F.when(F.octet_length("raw") <= EXCERPT, F.col("raw")).otherwise(excerpt)
     matches = ranked.filter(F.col("_n") <= max_matches).select("file_id", "path", "line_no", "byte_offset", excerpt.alias("excerpt"))
     counts = ranked.groupBy("file_id").agg(F.least(F.count("*"), F.lit(max_matches)).alias("matches"), (F.max("_n") > max_matches).alias("truncated"))
