@@ -85,6 +85,12 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), order=3, min_count=1)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_pii": op2_pii,
     "op3_mix": op3_mix,
@@ -93,7 +99,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_token_store": op7_token_store,
     "op1_url_filter": op1_url_filter, "op8_language_id": op8_language_id}
-QUERIES |= {"op9_jaccard_join": op9_jaccard_join, "op10_lm_score": op10_lm_score}
+QUERIES |= {"op9_jaccard_join": op9_jaccard_join, "op10_lm_score": op10_lm_score, "op11_minhash": op11_minhash}
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
