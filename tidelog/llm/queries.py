@@ -91,6 +91,14 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.hard_negatives import hard_negatives
+
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", turned.alias("label"))
+    return hard_negatives(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 QUERIES = {
     "op2_pii": op2_pii,
     "op3_mix": op3_mix,
@@ -99,7 +107,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_token_store": op7_token_store,
     "op1_url_filter": op1_url_filter, "op8_language_id": op8_language_id}
-QUERIES |= {"op9_jaccard_join": op9_jaccard_join, "op10_lm_score": op10_lm_score, "op11_minhash": op11_minhash}
+QUERIES |= {"op9_jaccard_join": op9_jaccard_join, "op10_lm_score": op10_lm_score, "op11_minhash": op11_minhash, "op13_hard_negatives": op13_hard_negatives}
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
@@ -109,4 +117,18 @@ pairs as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(ra
           from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
 ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from pairs)
 select query_id, rank, vec_id, score from ranked where rank <= 10""",
+    "op13_hard_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+             list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+           from embeddings where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select q.vec_id as a, c.vec_id as c, q.label = c.label as same,
+            cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) as score
+          from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
+positives as (select * from pairs where same qualify row_number() over (partition by a order by score desc, c) <= 5)
+select p.a as anchor_id, p.c as positive_id,
+  cast(row_number() over (partition by p.a, p.c order by n.score desc, n.c) as int) as rank,
+  n.c as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join pairs n on n.a = p.a and not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
+qualify row_number() over (partition by p.a, p.c order by n.score desc, n.c) <= 3""",
 }
