@@ -91,6 +91,12 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm.hard_negatives import hard_negatives
 
@@ -107,7 +113,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_token_store": op7_token_store,
     "op1_url_filter": op1_url_filter, "op8_language_id": op8_language_id}
-QUERIES |= {"op9_jaccard_join": op9_jaccard_join, "op10_lm_score": op10_lm_score, "op11_minhash": op11_minhash, "op13_hard_negatives": op13_hard_negatives}
+QUERIES |= {"op9_jaccard_join": op9_jaccard_join, "op10_lm_score": op10_lm_score, "op11_minhash": op11_minhash, "op12_collocations": op12_collocations, "op13_hard_negatives": op13_hard_negatives}
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
@@ -117,6 +123,24 @@ pairs as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(ra
           from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
 ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from pairs)
 select query_id, rank, vec_id, score from ranked where rank <= 10""",
+    "op12_collocations": """
+with d as (select coalesce(lang, 'und') as lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents where text is not null),
+pieces as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, list_filter(string_split_regex(piece, '[ \x09]+'), lambda x: x <> '') as w from pieces),
+grams as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])) as p from w, (select unnest([1, 2, 3, 4]) as k)),
+f as (select lang, k, p, count(*) as f from grams group by all),
+totals as (select lang, cast(sum(f) as bigint) as n from f where k = 1 group by lang),
+c as (select * from f where k > 1 and f >= 30),
+cuts as (select c.lang, c.p, c.k, c.f as a, x.f as l, y.f as r, j, cast(2000000::hugeint * c.f // (x.f + y.f) as bigint) as score
+         from (select *, unnest(range(1, k)) as j from c) c
+         join f x on x.lang = c.lang and x.p = c.p[1 : j] join f y on y.lang = c.lang and y.p = c.p[j + 1 : c.k]),
+weakest as (select * from cuts qualify row_number() over (partition by lang, p order by score, j) = 1),
+parts as (select lang, f, k, m, unnest(list_transform(range(1, k - m + 2), lambda i: p[i : i + m - 1])) as p from (select *, unnest(range(2, k)) as m from c where k > 2)),
+longer as (select lang, p, max(f) as f from parts group by all),
+kept as (select w.* from weakest w left join longer x on x.lang = w.lang and x.p = w.p where x.f is null or 100::hugeint * x.f < 80::hugeint * w.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, array_to_string(p, ' ')) as rank, array_to_string(p, ' ') as phrase, a, l, r, n, score
+from kept join totals using (lang)
+qualify row_number() over (partition by lang order by score desc, a desc, array_to_string(p, ' ')) <= 2000""",
     "op13_hard_negatives": """
 with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
              list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
