@@ -71,7 +71,7 @@ def coded(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for level in range(LEVELS):
         unit = rotated(unit, level)
         scale = 1 / np.sqrt(unit.shape[1])
-        codes.append(packed(unit >= 0))
+        codes.append(packed(unit >= 0).T)
         aligned.append(np.abs(unit).sum(1) * scale)
         unit = unit - aligned[-1][:, None] * np.where(unit >= 0, scale, -scale)
         left.append(np.sqrt((unit**2).sum(1)))
@@ -79,58 +79,77 @@ def coded(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Asked:
-    """An anchor in the coordinates of each level, its components rounded to bit planes."""
+    """Anchors (unit vectors) in the coordinates of each level, their components rounded to bit planes."""
 
-    def __init__(self, unit: np.ndarray) -> None:
+    def __init__(self, units: np.ndarray) -> None:
         self.levels = []
-        x = unit[None]
         for level in range(LEVELS):
-            x = rotated(x, level)
-            q = x[0]
-            low = q.min()
-            step = max(q.max() - low, 1e-30) / ((1 << PLANES) - 1)
-            rounded = np.rint((q - low) / step).astype(np.int64)
-            planes = packed(np.stack([(rounded >> k) & 1 for k in range(PLANES)]).astype(bool))
-            off = np.abs(q - (low + step * rounded)).sum()
-            self.levels.append((planes, low, step, int(rounded.sum()), off, float((q**2).sum())))
-
-    def bounds(self, level: int, codes: np.ndarray, aligned: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(estimates of what the level's codes stand for, half widths of the interval with what they leave)."""
-        planes, low, step, total, off, length = self.levels[level]
-        n = codes.shape[1] * 64
+            units = rotated(units, level)
+            low = units.min(1)
+            step = np.maximum(units.max(1) - low, 1e-30) / ((1 << PLANES) - 1)
+            rounded = np.rint((units - low[:, None]) / step[:, None]).astype(np.int64)
+            planes = packed(np.stack([(rounded >> k) & 1 for k in range(PLANES)], 1).astype(bool))
+            off = np.abs(units - (low[:, None] + step[:, None] * rounded)).sum(1)
+            self.levels.append((planes, low, step, rounded.sum(1), off, (units**2).sum(1)))
+
+    def bounds(self, a: int, level: int, codes: np.ndarray, aligned: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(estimates of what the level's codes stand for, half widths of the interval with what they leave) of anchor
+        ``a``; ``codes`` has a row per 64 components."""
+        planes, low, step, total, off, length = (x[a] for x in self.levels[level])
+        n = len(codes) * 64
         scale = 1 / np.sqrt(n)
         # with bits b: sum of (2 b - 1) q over the components, q = low + step * rounded
-        met = sum(np.bitwise_count(codes & plane).sum(1, dtype=np.int64) << k for k, plane in enumerate(planes))
-        ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
-        product = scale * (low * (2 * ones - n) + step * (2 * met - total))
+        met, ones = (np.zeros(codes.shape[1], np.int32) for _ in range(2))
+        for w, word in enumerate(codes):
+            ones += np.bitwise_count(word)
+            for k, plane in enumerate(planes):
+                met += np.bitwise_count(word & plane[w]).astype(np.int32) << k
+        product = (scale * 2 * low) * ones + (scale * 2 * step) * met - scale * (low * n + step * total)
         nearest = np.maximum(np.abs(product) - scale * off, 0)
-        return aligned * product, aligned * scale * off + left * np.sqrt(np.maximum(length - nearest**2, 0))
+        return aligned * product, aligned * (scale * off) + left * np.sqrt(np.maximum(length - nearest**2, 0))
 
 
-def surviving(asked: Asked, length: float, block: dict, rows: np.ndarray, windows: list[tuple[float, float]], k: int) -> np.ndarray:
-    """Those of the ``rows`` of a block that may be among the ``k`` best of one of the score ``windows``."""
+def surviving(asked: Asked, a: int, length: float, block: dict, rows: np.ndarray, windows: list[tuple[float, float]], k: int) -> np.ndarray:
+    """Those of the ``rows`` of a block that may be among the ``k`` best of one of anchor ``a``'s score ``windows``."""
     codes, aligned, left, lengths = (block[c] for c in ("codes", "aligned", "left", "lengths"))
     size = lengths[rows] * length
     slack = 1e-9 * size + 1e-3
     middle = np.zeros(len(rows))
+    widest = [(min(x for x, _ in windows), max(y for _, y in windows))]
     for level in range(LEVELS):
         if not len(rows):
             break
-        estimate, width = asked.bounds(level, codes[level][rows], aligned[level][rows], left[level][rows])
+        estimate, width = asked.bounds(a, level, codes[level][:, rows], aligned[level][rows], left[level][rows])
         middle = middle + estimate
         with np.errstate(invalid="ignore", over="ignore"):
             low, high = (middle - width) * size - slack, (middle + width) * size + slack
         keep = np.zeros(len(rows), bool)
-        for least, most in windows:
-            inside = low[(high <= most) & (low >= least)]
-            floor = np.partition(inside, len(inside) - k)[len(inside) - k] if len(inside) >= k else least
+        last = level == LEVELS - 1
+        for least, most in windows if last else widest:
+            floor = least
+            if last or len(windows) == 1:  # k rows that are surely inside bound the others
+                inside = low[(high <= most) & (low >= least)]
+                floor = np.partition(inside, len(inside) - k)[len(inside) - k] if len(inside) >= k else least
             keep |= ~(high < floor) & ~(low > most)
         rows, middle, size, slack = rows[keep], middle[keep], size[keep], slack[keep]
     return rows
 
 
-def best_of(scores: list[int], ids: np.ndarray, k: int) -> list[int]:
-    return sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k]
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores, ties to the smaller id."""
+    some = np.arange(len(scores))
+    if len(scores) > 4 * k:
+        some = np.flatnonzero(scores >= np.sort(scores)[-k])
+    return some[np.lexsort((ids[some], -scores[some]))][:k]
+
+
+def inside(scores: np.ndarray, least: int, most: int) -> np.ndarray:
+    """Places of the scores from ``least`` to ``most``."""
+    if scores.dtype != object:  # such scores are below 2^63; what is beyond that bounds none
+        least, most = (max(-LONG, min(LONG - 1, x)) for x in (least, most))
+        if scores.dtype == np.float64:
+            least, most = (max(-(1 << 53), min(1 << 53, x)) for x in (least, most))
+    return np.flatnonzero((scores >= least) & (scores <= most))
 
 
 def packs(rows: DataFrame, size: int, scale: int, code: bool, name: str) -> DataFrame:
@@ -162,7 +181,7 @@ def opened(row: dict, d: int, scale: int) -> dict:
     out["unit"], out["lengths"] = directions(out["x"])
     if "codes" in row:  # a block
         n = len(out["ids"])
-        out["codes"] = np.frombuffer(row["codes"], np.uint64).reshape(LEVELS, n, -1)
+        out["codes"] = np.frombuffer(row["codes"], np.uint64).reshape(LEVELS, -1, n)
         out["aligned"], out["left"] = (np.frombuffer(row[c]).reshape(LEVELS, n) for c in ("aligned", "left"))
     return out
 
@@ -199,10 +218,6 @@ def ranked(found: DataFrame, k: int, *by: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def exact_scores(block: dict, rows: np.ndarray, anchor: np.ndarray) -> list[int]:
-    return [int(s) for s in (block["x"][rows] @ anchor).tolist()]
-
-
 def labelled(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """``id``, ``v`` (doubles) and ``label`` (as text) of the rows that take part."""
     whole_vector = (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -225,19 +240,21 @@ def hard_negatives(vectors: DataFrame, anchors: DataFrame, positives: int = 5, n
     blocks = packs(rows, BLOCK_ROWS, scale, True, "blocks")
 
     def own_label(block: dict, team: dict):
+        anchors = Asked(team["unit"])
         for a, q in enumerate(team["q"].tolist()):
             same = np.flatnonzero((block["label"] == team["label"][a]) & (block["ids"] != team["ids"][a]))
             if len(same) > positives:
-                same = surviving(Asked(team["unit"][a]), team["lengths"][a], block, same, [(-np.inf, np.inf)], positives)
-            scores = exact_scores(block, same, team["x"][a])
+                same = surviving(anchors, a, team["lengths"][a], block, same, [(-np.inf, np.inf)], positives)
+            scores = block["x"][same] @ team["x"][a]
             for i in best_of(scores, block["ids"][same], positives):
-                yield q, 0, int(block["ids"][same[i]]), scores[i]
+                yield q, 0, int(block["ids"][same[i]]), int(scores[i])
 
     found = stored(ranked(searched(blocks, packs(asked, TEAM, scale, False, "teams"), scale, own_label), positives, "q"), "positives")
     # a few scores per anchor
     sought = found.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", "exact"))).alias("s")).select("q", F.col("s.exact").alias("sought"))
 
     def other_labels(block: dict, team: dict):
+        anchors = Asked(team["unit"])
         for a, q in enumerate(team["q"].tolist()):
             scores = [int(s) for s in team["sought"][a]]
             bounds = [(-(-least * s // 100), most * s // 100) for s in scores]
@@ -245,12 +262,12 @@ def hard_negatives(vectors: DataFrame, anchors: DataFrame, positives: int = 5, n
             if not open_to:
                 continue
             other = np.flatnonzero(block["label"] != team["label"][a])
-            other = surviving(Asked(team["unit"][a]), team["lengths"][a], block, other, open_to, negatives)
-            met = exact_scores(block, other, team["x"][a])
+            other = surviving(anchors, a, team["lengths"][a], block, other, open_to, negatives)
+            met = block["x"][other] @ team["x"][a]
             for k, (x, y) in enumerate(bounds):
-                fit = [i for i, s in enumerate(met) if x <= s <= y]
-                for i in best_of([met[i] for i in fit], block["ids"][other[fit]], negatives):
-                    yield q, k + 1, int(block["ids"][other[fit[i]]]), met[fit[i]]
+                fit = inside(met, x, y)
+                for i in fit[best_of(met[fit], block["ids"][other[fit]], negatives)]:
+                    yield q, k + 1, int(block["ids"][other[i]]), int(met[i])
 
     mined = ranked(searched(blocks, packs(asked.join(sought, "q"), TEAM, scale, False, "teams"), scale, other_labels), negatives, "q", "k")
     mined = mined.select("q", "k", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
