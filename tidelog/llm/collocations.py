@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from tidelog.llm.common import stored
 from tidelog.llm.decontaminate import seed_filter
 
 #: Entries of a container before it bursts, and of a task's trie before it spills.
-BURST, HELD = 2048, 1_000_000
+BURST, HELD = 2048, 400_000
 #: Bytes that end a piece, and those that end a word.
 _ENDS_PIECE = np.isin(np.arange(256), [*b".,;:!?", *range(10, 14)])
 _ENDS_WORD = _ENDS_PIECE | np.isin(np.arange(256), [9, 32])
@@ -106,17 +107,23 @@ class HatTrie:
 
     def run(self, node: Node, path: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
         """(phrases, counts) of a subtree, sorted."""
-        parts, work = [], [(node, path)]
+        held: dict[int, list] = {}  # containers by the length of their path
+        work = [(node, path)]
         while work:
             node, path = work.pop()
             if node.burst:
                 work += [(child, (*path, word)) for word, child in node.below.items()]
-            elif node.below:
-                rest = self.n - len(path)
-                tail = np.fromiter(node.below, np.uint64, len(node.below))[:, None] if rest == 1 else np.frombuffer(b"".join(node.below), np.uint64).reshape(-1, rest)
-                head = np.tile(np.array(path, np.uint64), (len(tail), 1))
-                parts.append((np.concatenate([head, tail], 1), np.fromiter(node.below.values(), np.int64, len(tail))))
-        phrases, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros((0, self.n), np.uint64), np.zeros(0, np.int64))
+            else:
+                held.setdefault(len(path), []).append((path, node.below))
+        parts = [(np.zeros((0, self.n), np.uint64), np.zeros(0, np.int64))]
+        for depth, containers in held.items():
+            sizes = [len(below) for _, below in containers]
+            total, keys = sum(sizes), chain.from_iterable(below for _, below in containers)
+            rest = self.n - depth
+            tail = np.fromiter(keys, np.uint64, total)[:, None] if rest == 1 else np.frombuffer(b"".join(keys), np.uint64).reshape(-1, rest)
+            head = np.array([p for p, _ in containers], np.uint64).reshape(len(containers), depth).repeat(sizes, 0)
+            parts.append((np.concatenate([head, tail], 1), np.fromiter(chain.from_iterable(below.values() for _, below in containers), np.int64, total)))
+        phrases, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort(phrases.T[::-1])
         return phrases[order], counts[order]
 
@@ -172,7 +179,7 @@ def word_runs(docs: DataFrame) -> DataFrame:
     """``w1``, ``lang``, ``word`` and ``c``: counts of the words that tasks saw."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, names, salts = HatTrie(1), {}, {}
+        trie, names, salts, kinds = HatTrie(1), {}, {}, []
         for batch in batches:
             for part, data, offsets in words.slices(batch, "text"):
                 ids, _, owner = phrase_words(part, data, offsets, salts)
@@ -183,18 +190,23 @@ def word_runs(docs: DataFrame) -> DataFrame:
                 ends = np.append(np.flatnonzero(_ENDS_WORD[data]), len(data))
                 ends = np.minimum(ends[np.searchsorted(ends, starts[at])], offsets[owner[at] + 1])
                 raw = words._LOWER[data].tobytes()
+                kinds += sorted(set(salts) - set(kinds))
+                number = [kinds.index(name).to_bytes(4, "little") for name in languages]
                 for i, x, y, o in zip(ids[at].tolist(), starts[at].tolist(), ends.tolist(), owner[at].tolist(), strict=True):
                     if i not in names:
-                        names[i] = (languages[o], raw[x:y].decode("utf-8", "replace"))
+                        names[i] = number[o] + raw[x:y]
                 trie.add(ids[at][:, None], c)
                 if trie.size > HELD:
-                    yield from told(trie, 0, names)
-        yield from told(trie, -1, names)
+                    yield from told(trie, 0, names, kinds)
+        yield from told(trie, -1, names, kinds)
 
-    def told(trie: HatTrie, down_to: int, names: dict) -> Iterator[pa.RecordBatch]:
+    def told(trie: HatTrie, down_to: int, names: dict, kinds: list) -> Iterator[pa.RecordBatch]:
         for phrases, counts in trie.spilled(down_to):
-            own = [names.pop(i) for i in phrases[:, 0].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(phrases[:, 0].view(np.int64)), pa.array([x for x, _ in own], pa.string()), pa.array([x for _, x in own], pa.string()), pa.array(counts)], ["w1", "lang", "word", "c"])
+            for a in range(0, len(counts), 1 << 16):
+                ids = phrases[a : a + (1 << 16), 0]
+                own = [names.pop(i) for i in ids.tolist()]
+                lang, word = [kinds[int.from_bytes(x[:4], "little")] for x in own], [x[4:].decode("utf-8", "replace") for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(counts[a : a + (1 << 16)])], ["w1", "lang", "word", "c"])
 
     return docs.mapInArrow(rows, "w1 long, lang string, word string, c long")
 
