@@ -8,8 +8,9 @@ and falls out by its count, so no frequent phrase is lost and no count depends o
 
 A task counts in a HAT-trie: a shallow trie over word ids, under which hash containers hold the rest of a phrase and
 its count. A container that grows beyond BURST entries bursts into one per next word. Beyond HELD entries the task
-spills its largest subtrees as sorted runs. Runs are dealt by the whole phrase, not by its first word, which may be
-that of a third of all phrases, and are sorted and merged in their partitions.
+spills its largest subtrees as sorted runs, packed by the first bits of the phrases' hashes: by the whole phrase, not by
+its first word, which may be that of a third of all phrases. The runs of a part are merged together; there are as many
+parts as the corpus needs for each to stay small.
 
 Word ids are 64-bit hashes of language and word; two frequent words of a corpus share one with a probability of some
 10^-7. Phrases are told apart by their words' ids.
@@ -36,6 +37,8 @@ from tidelog.llm.decontaminate import seed_filter
 
 #: Entries of a container before it bursts, and of a task's trie before it spills.
 BURST, HELD = 2048, 400_000
+#: Words of the corpus for one part of the phrases, which is merged at once: no phrase has more occurrences than that.
+PART_WORDS = 400_000
 #: Bytes that end a piece, and those that end a word.
 _ENDS_PIECE = np.isin(np.arange(256), [*b".,;:!?", *range(10, 14)])
 _ENDS_WORD = _ENDS_PIECE | np.isin(np.arange(256), [9, 32])
@@ -211,9 +214,9 @@ def word_runs(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "w1 long, lang string, word string, c long")
 
 
-def phrase_runs(docs: DataFrame, n: int, frequent: words.HashFilter) -> DataFrame:
-    """``w1`` to ``w<n>`` and ``c``: counts of phrases of ``n`` > 1 words both whose shorter phrases are ``frequent``."""
-    names = [f"w{k}" for k in range(1, n + 1)]
+def phrase_runs(docs: DataFrame, n: int, frequent: words.HashFilter, bits: int) -> DataFrame:
+    """Sorted runs of the phrases of ``n`` > 1 words both whose shorter phrases are ``frequent``: ``part``, the first ``bits``
+    of the phrases' hashes, their ``ids`` and their ``counts`` as the task saw them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, salts = HatTrie(n), {}
@@ -235,11 +238,34 @@ def phrase_runs(docs: DataFrame, n: int, frequent: words.HashFilter) -> DataFram
 
     def told(trie: HatTrie, down_to: int) -> Iterator[pa.RecordBatch]:
         for phrases, counts in trie.spilled(down_to):
-            for a in range(0, len(counts), 1 << 16):
-                own = phrases[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(own[:, k]).view(np.int64)) for k in range(n)), pa.array(counts[a : a + (1 << 16)])], [*names, "c"])
+            if not len(counts):
+                continue
+            part = (joined(phrases.ravel(), n)[::n] >> np.uint64(64 - bits)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, phrases, counts = part[order], phrases[order], counts[order]
+            cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+            pieces = list(zip(cuts, [*cuts[1:], len(part)], strict=True))
+            raw = [pa.array([x[a:b].tobytes() for a, b in pieces], pa.binary()) for x in (phrases, counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), *raw], ["part", "ids", "counts"])
+
+    return docs.mapInArrow(rows, "part int, ids binary, counts binary")
+
 
-    return docs.mapInArrow(rows, "".join(f"{c} long, " for c in names) + "c long")
+def merged_runs(runs: DataFrame, n: int, least: int) -> DataFrame:
+    """``w1`` to ``w<n>`` and ``f`` of the phrases that occur ``least`` times in all runs of their part."""
+    names = [f"w{k}" for k in range(1, n + 1)]
+
+    def merge(part: pa.Table) -> pa.Table:
+        ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), np.uint64).reshape(-1, n)
+        counts = np.frombuffer(b"".join(part.column("counts").to_pylist()), np.int64)
+        order = np.lexsort(ids.T[::-1])
+        ids = ids[order]
+        first = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(1)))
+        f = np.add.reduceat(counts[order], first)
+        ids, f = ids[first[f >= least]], f[f >= least]
+        return pa.table([*(pa.array(np.ascontiguousarray(ids[:, k]).view(np.int64)) for k in range(n)), pa.array(f)], names=[*names, "f"])
+
+    return runs.groupBy("part").applyInArrow(merge, "".join(f"{c} long, " for c in names) + "f long")
 
 
 def joined(ids: np.ndarray, n: int) -> np.ndarray:
@@ -249,22 +275,18 @@ def joined(ids: np.ndarray, n: int) -> np.ndarray:
     return words.ngram_hashes(ids, np.zeros(len(ids), np.int64), n)[0]
 
 
-def merged(runs: DataFrame, *by: str) -> DataFrame:
-    """Sorted runs summed in the partitions of their phrases."""
-    keys = [c for c in runs.columns if c != "c"]
-    return runs.repartition(*by).sortWithinPartitions(*by).groupBy(*keys).agg(F.sum("c").alias("f"))
-
-
 def phrase_counts(docs: DataFrame, longest: int, least: int, text: str, lang: str) -> tuple[DataFrame, DataFrame]:
     """(words: ``w1``, ``lang``, ``word``, ``f``, all; phrases: ``p``, an array of word ids, ``f``, those of ``least`` or more)."""
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    vocabulary = stored(merged(word_runs(rows), "w1"), "words")
+    vocabulary = stored(word_runs(rows).groupBy("w1", "lang", "word").agg(F.sum("c").alias("f")), "words")
     frequent = vocabulary.filter(F.col("f") >= least).select("w1", "f")
     found = [frequent.select(F.array("w1").alias("p"), "f")]
+    total = vocabulary.agg(F.sum("f")).first()[0] or 0
+    bits = min(20, max(4, (total // PART_WORDS).bit_length()))
     for n in range(2, longest + 1):
         names = [f"w{k}" for k in range(1, n + 1)]
         passing = seed_filter(hashed(frequent, n - 1))
-        frequent = stored(merged(phrase_runs(rows, n, passing), *names).filter(F.col("f") >= least), f"phrases-{n}")
+        frequent = stored(merged_runs(phrase_runs(rows, n, passing, bits), n, least), f"phrases-{n}")
         found.append(frequent.select(F.array(*names).alias("p"), "f"))
     phrases = found[0]
     for more in found[1:]:
