@@ -42,7 +42,7 @@ def corpus(rng):
     return rows + [(x, "en") for x in ODD] + [("same same " * 60, "fr")]
 
 
-@pytest.mark.parametrize(("burst", "held", "best"), [(2048, 1_000_000, 2000), (2, 40, 2000), (4, 300, 7)])
+@pytest.mark.parametrize(("burst", "held", "best"), [(16_384, 400_000, 2000), (2, 40, 2000), (4, 300, 7)])
 def test_against_brute_force(spark, monkeypatch, burst, held, best):
     rows = corpus(random.Random(burst))
     df = spark.createDataFrame([(*r, 1) for r in rows], "text string, lang string, f long").repartition(4)

@@ -6,8 +6,8 @@ both phrases without its first and without its last word are, so every pass coun
 frequent ones of the pass before lets through. The bitmap has a fixed size; what passes it by accident is counted too
 and falls out by its count, so no frequent phrase is lost and no count depends on it.
 
-A task counts in a HAT-trie: a shallow trie over word ids, under which hash containers hold the rest of a phrase and
-its count. A container that grows beyond BURST entries bursts into one per next word. Beyond HELD entries the task
+A task counts in a HAT-trie: a shallow trie over the bytes of the first word's id, under which hash containers hold
+phrases and their counts. A container that grows beyond BURST entries bursts into one per next byte. Beyond HELD entries the task
 spills its largest subtrees as sorted runs, packed by the first bits of the phrases' hashes: by the whole phrase, not by
 its first word, which may be that of a third of all phrases. The runs of a part are merged together; there are as many
 parts as the corpus needs for each to stay small.
@@ -36,7 +36,7 @@ from tidelog.llm.common import stored
 from tidelog.llm.decontaminate import seed_filter
 
 #: Entries of a container before it bursts, and of a task's trie before it spills.
-BURST, HELD = 2048, 400_000
+BURST, HELD = 16_384, 400_000
 #: Words of the corpus for one part of the phrases, which is merged at once: no phrase has more occurrences than that.
 PART_WORDS = 400_000
 #: Bytes that end a piece, and those that end a word.
@@ -46,7 +46,7 @@ UNKNOWN = "und"
 
 
 class Node:
-    """``below``: counts by the rest of a phrase, or, once burst, nodes by its next word."""
+    """``below``: counts by phrase, or, once burst, nodes by the next byte of the first word's id."""
 
     __slots__ = ("below", "burst")
 
@@ -56,77 +56,56 @@ class Node:
 
 
 class HatTrie:
-    """Counts of phrases of ``n`` word ids."""
+    """Counts of phrases of ``n`` word ids; the path to a container are the first bytes of the first word's id."""
 
     def __init__(self, n: int) -> None:
         self.n, self.root, self.size = n, Node(), 0
 
-    def rests(self, phrases: np.ndarray, depth: int) -> list:
-        """Keys of a container at a depth: the last word, or the bytes of several."""
-        if self.n - depth == 1:
-            return phrases[:, -1].tolist()
-        return np.ascontiguousarray(phrases[:, depth:]).view(f"V{8 * (self.n - depth)}").ravel().tolist()
-
     def add(self, phrases: np.ndarray, counts: np.ndarray) -> None:
         """Add distinct ``phrases`` (a row each), sorted."""
+        keys = phrases[:, 0].tolist() if self.n == 1 else np.ascontiguousarray(phrases).view(f"V{8 * self.n}").ravel().tolist()
         counts = counts.tolist()
-        keys: dict[int, list] = {}
-        work = [(self.root, 0, 0, len(phrases))]
+        work = [(self.root, 0, 0, len(keys))]
         while work:
             node, depth, a, b = work.pop()
             held = node.below
             if node.burst:
-                column = phrases[a:b, depth]
-                cuts = np.flatnonzero(column[1:] != column[:-1]) + 1
-                firsts = [0, *cuts.tolist()]
-                for word, x, y in zip(column[firsts].tolist(), firsts, [*firsts[1:], b - a], strict=True):
-                    child = held.get(word)
-                    if child is None:
-                        child = held[word] = Node()
-                    work.append((child, depth + 1, a + x, a + y))
+                digit = (phrases[a:b, 0] >> np.uint64(56 - 8 * depth)) & np.uint64(255)
+                firsts = [a, *(np.flatnonzero(digit[1:] != digit[:-1]) + 1 + a).tolist()]
+                for x, y in zip(firsts, [*firsts[1:], b], strict=True):
+                    work.append((held.setdefault(int(digit[x - a]), Node()), depth + 1, x, y))
                 continue
-            if depth not in keys:
-                keys[depth] = self.rests(phrases, depth)
             self.size -= len(held)
-            for key, c in zip(keys[depth][a:b], counts[a:b], strict=True):
-                held[key] = held.get(key, 0) + c
+            get = held.get
+            for key, c in zip(keys[a:b], counts[a:b], strict=True):
+                held[key] = get(key, 0) + c
             self.size += len(held)
-            if len(held) > BURST and self.n - depth > 1:
+            if len(held) > BURST and depth < 8:
                 self.open(node, depth)
 
     def open(self, node: Node, depth: int) -> None:
-        """Burst a container into one per next word."""
-        last = self.n - depth == 2
+        """Burst a container into one per next byte."""
         held, node.below, node.burst = node.below, {}, True
         for key, c in held.items():
-            word, rest = int.from_bytes(key[:8], "little"), key[8:]
-            child = node.below.get(word)
-            if child is None:
-                child = node.below[word] = Node()
-            child.below[int.from_bytes(rest, "little") if last else rest] = c
+            first = key if self.n == 1 else int.from_bytes(key[:8], "little")
+            node.below.setdefault(first >> (56 - 8 * depth) & 255, Node()).below[key] = c
 
     def entries(self, node: Node) -> int:
         return sum(map(self.entries, node.below.values())) if node.burst else len(node.below)
 
-    def run(self, node: Node, path: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    def run(self, node: Node) -> tuple[np.ndarray, np.ndarray]:
         """(phrases, counts) of a subtree, sorted."""
-        held: dict[int, list] = {}  # containers by the length of their path
-        work = [(node, path)]
+        containers, work = [], [node]
         while work:
-            node, path = work.pop()
+            node = work.pop()
             if node.burst:
-                work += [(child, (*path, word)) for word, child in node.below.items()]
+                work += node.below.values()
             else:
-                held.setdefault(len(path), []).append((path, node.below))
-        parts = [(np.zeros((0, self.n), np.uint64), np.zeros(0, np.int64))]
-        for depth, containers in held.items():
-            sizes = [len(below) for _, below in containers]
-            total, keys = sum(sizes), chain.from_iterable(below for _, below in containers)
-            rest = self.n - depth
-            tail = np.fromiter(keys, np.uint64, total)[:, None] if rest == 1 else np.frombuffer(b"".join(keys), np.uint64).reshape(-1, rest)
-            head = np.array([p for p, _ in containers], np.uint64).reshape(len(containers), depth).repeat(sizes, 0)
-            parts.append((np.concatenate([head, tail], 1), np.fromiter(chain.from_iterable(below.values() for _, below in containers), np.int64, total)))
-        phrases, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+                containers.append(node.below)
+        total = sum(map(len, containers))
+        keys = chain.from_iterable(containers)
+        phrases = (np.fromiter(keys, np.uint64, total) if self.n == 1 else np.frombuffer(b"".join(keys), np.uint64)).reshape(-1, self.n)
+        counts = np.fromiter(chain.from_iterable(x.values() for x in containers), np.int64, total)
         order = np.lexsort(phrases.T[::-1])
         return phrases[order], counts[order]
 
@@ -137,15 +116,14 @@ class HatTrie:
                 yield self.run(self.root)
                 self.root, self.size = Node(), 0
             return
-        sizes = sorted(((self.entries(child), word) for word, child in self.root.below.items()), reverse=True)
-        left, gone = self.size, 0
-        while gone < len(sizes) and left > down_to:
-            left -= sizes[gone][0]
-            gone += 1
-        away = Node()
+        sizes = sorted(((self.entries(child), digit) for digit, child in self.root.below.items()), reverse=True)
+        away, gone = Node(), 0
         away.burst = True
-        away.below = {word: self.root.below.pop(word) for _, word in sizes[:gone]}
-        self.size = left
+        while gone < len(sizes) and self.size > down_to:
+            n, digit = sizes[gone]
+            away.below[digit] = self.root.below.pop(digit)
+            self.size -= n
+            gone += 1
         if gone:
             yield self.run(away)
 
