@@ -22,6 +22,11 @@ def sure(predicate: Column) -> Column:
     return F.coalesce(predicate, F.lit(False))
 
 
+def told(predicate: Column) -> Column:
+    """``sure`` of a cheap comparison, as a conjunction whose first part a scan understands."""
+    return predicate & predicate.isNotNull()
+
+
 def fold(text: Column) -> Column:
     """Lower-case as a needle's case is folded: A-Z only."""
     return F.translate(text, _UPPER, _UPPER.lower())
@@ -87,13 +92,13 @@ def _compare(left: Column, op: str, right: Column) -> Column:
 
 
 def int_cmp(value: Column, op: str, other: int) -> Column:
-    return sure(_compare(value.cast("bigint"), "=" if op == ":" else op, F.lit(other)))
+    return told(_compare(value.cast("bigint"), "=" if op == ":" else op, F.lit(other)))
 
 
 def severity_cmp(severity: Column, op: str, name: str, level_text: Column | None = None) -> Column:
     """Ordered comparison with a level name; an unknown name compares the level's text."""
     try:
-        return sure(_compare(severity.cast("int"), "=" if op == ":" else op, F.lit(number(name))))
+        return told(_compare(severity.cast("int"), "=" if op == ":" else op, F.lit(number(name))))
     except ValueError:
         if level_text is None:
             raise
@@ -102,7 +107,7 @@ def severity_cmp(severity: Column, op: str, name: str, level_text: Column | None
 
 def in_range(value: Column, op: str, low: int, high: int) -> Column:
     """Comparison with the half-open [low, high); written so that file statistics can prune."""
-    return sure({"=": (value >= low) & (value < high), "!=": (value < low) | (value >= high), "<": value < low, "<=": value < high, ">": value >= high, ">=": value >= low}[op])
+    return told({"=": (value >= low) & (value < high), "!=": (value < low) | (value >= high), "<": value < low, "<=": value < high, ">": value >= high, ">=": value >= low}[op])
 
 
 def epoch_ms(t: date | datetime) -> int:

@@ -17,11 +17,22 @@ def with_anchor(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"anchor_hash": make_anchor(F.col("raw")), "snippet": F.left("raw", F.lit(SNIPPET))})
 
 
-def annotate_runs(selected: DataFrame) -> DataFrame:
-    """Selected lines to one range per contiguous run."""
-    island = F.col("line_no") - F.row_number().over(Window.partitionBy("file_id").orderBy("line_no"))
-    runs = selected.select("file_id", "line_no").distinct().withColumn("_i", island)
-    return runs.groupBy("file_id", "_i").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line")).drop("_i")
+def annotate_runs(selected: DataFrame, block: int = 65_536) -> DataFrame:
+    """Selected lines to one range per contiguous run.
+
+    Runs are found within blocks of lines first, so a file of any size is spread; only those that touch the border of
+    their block, two per block at most, meet those of the file's other blocks.
+    """
+    _b = F.floor(F.col("line_no") / block)
+    lines = selected.select("file_id", "line_no").distinct().withColumn("_b", _b)
+    island = F.col("line_no") - F.row_number().over(Window.partitionBy("file_id", "_b").orderBy("line_no"))
+    runs = lines.withColumn("_i", island).groupBy("file_id", "_b", "_i").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"))
+    at_border = (F.col("start_line") % block == 0) | (F.col("end_line") % block == block - 1)
+    along = Window.partitionBy("file_id").orderBy("start_line")  # two rows per block of lines
+    border = runs.filter(at_border).withColumn("_new", F.coalesce(F.col("start_line") != F.lag("end_line").over(along) + 1, F.lit(True)).cast("long"))
+    border = border.withColumn("_g", F.sum("_new").over(along)).groupBy("file_id", "_g").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
+    columns = ["file_id", "start_line", "end_line"]
+    return runs.filter(~at_border).select(*columns).union(border.select(*columns))
 
 
 def annotations_at_lines(notes: DataFrame, lines: DataFrame, block: int = 1024) -> DataFrame:

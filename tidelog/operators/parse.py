@@ -205,8 +205,8 @@ JSON_KEYS = {
     "Source": ("SYSLOG_IDENTIFIER", "_SYSTEMD_UNIT", "logger", "loggerName", "name", "tag"),
     "Message": ("message", "msg", "MESSAGE"),
 }
-W3C_INTEGERS = ("sc-status", "sc-substatus", "sc-win32-status", "sc-bytes", "cs-bytes", "time-taken", "s-port", "c-port")
-W3C_IDENTIFIERS = ("c-ip", "s-ip", "cs-username", "s-computername", "s-sitename", "cs-method", "cs-host")
+W3C_INTEGERS = ("sc-status", "sc-substatus", "sc-win32-status", "sc-bytes", "cs-bytes", "time-taken", "s-port")
+W3C_IDENTIFIERS = ("c-ip", "s-ip", "cs-username", "s-computername", "s-sitename")
 
 
 def parse_plaintext(lines: DataFrame) -> DataFrame:

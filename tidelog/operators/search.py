@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 
 from tidelog.functions.geo import coordinates
 from tidelog.functions.predicates import bbox_filter
+from tidelog.sources.lines import line_numbers, read_lines
+from tidelog.sources.ranges import rejects
 
 #: Matches kept per file, bytes of an excerpt, bytes of a file that are searched for NUL.
 MAX_MATCHES, EXCERPT, BINARY_BYTES = 1000, 400, 1 << 24
@@ -37,9 +39,16 @@ def grep_counts(files: DataFrame) -> DataFrame:
     return files.agg(F.sum("matches").alias("matches"), F.count_if(F.col("matches") > 0).alias("files_with_matches"))
 
 
-def grep_errors(listed: DataFrame, lines: DataFrame) -> DataFrame:
-    """Listed files (``path``, ``size``) that gave no line though they are not empty."""
-    return listed.filter("size > 0").join(lines.select("path").distinct(), "path", "left_anti").select("path", F.lit("unreadable").alias("error"))
+def grep_errors(files: DataFrame) -> DataFrame:
+    """``path`` and ``error`` of the listed files (``path``, ``size``) that a search can't read to their end: a gzip stream
+    that is corrupt or cut, a file that is gone or may not be opened."""
+    return rejects(files)
+
+
+def read_sound(spark: SparkSession, files: DataFrame, rejected: DataFrame, **options: str) -> DataFrame:
+    """Numbered lines of the listed files that are not rejected; the names go to the reader."""
+    sound = [r["path"] for r in files.join(rejected, "path", "left_anti").select("path").collect()]  # names, as for any read
+    return line_numbers(read_lines(spark, sound, **options))
 
 
 def geo_points(lines: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date, datetime
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from tidelog.functions import predicates as X
 from tidelog.functions import severity as sev
@@ -14,7 +14,9 @@ from tidelog.operators import agg, detect, notes, rows, search, sinks, timeline
 from tidelog.operators import parse as P
 from tidelog.plans import rendered as R
 from tidelog.sources import annotations as notes_source
+from tidelog.sources import extraction as store
 from tidelog.sources import lines as L
+from tidelog.sources import ranges
 from tidelog.sources.scratch import scratch_path
 
 QUERIES: dict = {}
@@ -41,6 +43,11 @@ def kv(spark: SparkSession, d: str) -> DataFrame:
     return R.parsed(spark, d, "keyvalue")
 
 
+def kept_kv(spark: SparkSession, d: str) -> DataFrame:
+    """``kv`` as a kept extraction."""
+    return store.kept(spark, [f"{d}/events.parquet"], "keyvalue", lambda: kv(spark, d))
+
+
 def doc_lines(spark: SparkSession, d: str) -> DataFrame:
     return L.split_texts(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", "documents")
 
@@ -89,7 +96,7 @@ def _(spark, d):
 
 @query("extract_columns", "select file_id, line_no, cast(severity as tinyint) as severity, level, code from kv")
 def _(spark, d):
-    return P.extract_columns(kv(spark, d), "Level", "Code", with_severity=True).withColumnsRenamed({"Level": "level", "Code": "code"})
+    return P.extract_columns(kept_kv(spark, d), "Level", "Code", with_severity=True).withColumnsRenamed({"Level": "level", "Code": "code"})
 
 
 _KINDS = ("keyvalue", "logcat", "clf", "jsonlines", "syslog-iso")
@@ -216,16 +223,15 @@ selection("filter_regex", "regexp_matches(raw, '[a-z]+@[a-z0-9]+', 'i')", lambda
 selection("filter_invert", "not contains(raw, 'the')", lambda df: X.line_filter(F.col("raw"), "the", case_sensitive=True, invert=True), doc_lines, "docs")
 selection("filter_extra", "contains(message, 'err') and code > 100", lambda df: X.line_filter(F.col("raw"), "err", extra=F.col("Code") > 100))
 selection("field_contains", "contains(message, 'sign')", lambda df: X.field_contains(F.col("Message"), "SIGN"))
-selection("field_wildcard", "regexp_matches(message, '^click [^/]*7$')", lambda df: X.field_wildcard(F.col("Message"), "Click *7"))
+selection("field_wildcard", "regexp_matches(message, '^click [^/]*7$')", lambda df: X.field_wildcard(F.col("Message"), "Click *7"), kept_kv)
 selection("field_eq", "level = 'warn'", lambda df: X.field_cmp(F.col("Level"), "=", "WARN"))
 selection("field_ne", "level <> 'warn'", lambda df: X.field_cmp(F.col("Level"), "!=", "WARN"))
 selection("field_order", "lower(message) >= 'purchase'", lambda df: X.field_cmp(F.col("Message"), ">=", "Purchase"))
 selection("int_cmp", "code >= 100", lambda df: X.int_cmp(F.col("Code"), ">=", 100))
-selection("severity_cmp", "severity >= 4", lambda df: X.severity_cmp(F.col("severity"), ">=", "warning"))
+selection("severity_cmp", "severity >= 4", lambda df: X.severity_cmp(F.col("severity"), ">=", "warning"), kept_kv)
 selection("time_cmp", "ts_ms >= epoch_ms(timestamp '2024-01-03') and ts_ms < epoch_ms(timestamp '2024-01-04')", lambda df: X.time_cmp(F.col("ts_ms"), "=", date(2024, 1, 3), "day"))
 selection("time_of_day_cmp", "ts_ms % 86400000 < 41400000", lambda df: X.time_of_day_cmp(F.col("ts_ms"), "<", 41_400_000, 41_460_000))
 selection("time_text_match", "good and contains(strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d'), '01-02')", lambda df: X.field_contains(F.col("Timestamp"), "01-02"))
-selection("at_time_range", "ts_ms >= epoch_ms(timestamp '2024-01-05 06:00:00') and ts_ms < epoch_ms(timestamp '2024-01-09')", lambda df: X.time_cmp(F.col("ts_ms"), ">=", datetime(2024, 1, 5, 6)) & X.time_cmp(F.col("ts_ms"), "<", datetime(2024, 1, 9)))
 selection("bool_combine", "not (contains(message, 'click') or coalesce(code = 7, false)) and not coalesce(code <> 9, false)", lambda df: ~(X.field_contains(F.col("Message"), "click") | X.int_cmp(F.col("Code"), "=", 7)) & ~X.int_cmp(F.col("Code"), "!=", 9))
 selection("unknown_field_true", "severity = 5", lambda df: X.unknown_field_true(df, "No Such", lambda c: c == 1) & X.severity_cmp(F.col("severity"), "=", "error"))
 selection("resolve_field", "code = 3", lambda df: X.int_cmp(F.col(X.resolve_field(df, "CO DE")), "=", 3))
@@ -234,6 +240,22 @@ selection("time_column", "ts_ms < epoch_ms(timestamp '2024-01-02')", lambda df:
 selection("message_column", "contains(message, '99')", lambda df: X.field_contains(F.col(P.message_column(df)), "99"))
 
 
+@query("at_time_range", "select file_id, line_no from kv where ts_ms >= epoch_ms(timestamp '2024-01-05 06:00:00') and ts_ms < epoch_ms(timestamp '2024-01-09')")
+def _(spark, d):
+    return keys(store.at_time(store.at_time(kept_kv(spark, d), ">=", datetime(2024, 1, 5, 6)), "<", datetime(2024, 1, 9)))
+
+
+@query("kept_extraction", "select file_id, line_no, case when file_id = 1 and line_no >= 50 and good then 'tail ' else '' end || message as message, cast(ts_ms as bigint) as ts_ms, cast(severity as tinyint) as severity from kv")
+def _(spark, d):
+    """Whole files, and a tail that replaces the lines of one file from 50 on, written twice."""
+    path, events = scratch_path(spark, "store"), kv(spark, d)
+    tail = events.filter("file_id = 1 and line_no >= 50").withColumn("Message", F.when(F.col("ok"), F.concat(F.lit("tail "), "Message")).otherwise(F.col("Message")))
+    store.write_load(events, path, 0)
+    for _ in range(2):
+        store.write_load(tail, path, 1, spark.createDataFrame([(1, 50)], "file_id long, first_line long"))
+    return store.read_store(spark, path).select("file_id", "line_no", F.col("Message").alias("message"), "ts_ms", "severity")
+
+
 @query("uptime_cmp", f"with {E} select file_id, line_no from e where good and event_id * 1000 + cast(ms3 as bigint) >= 101000")
 def _(spark, d):
     return keys(R.parsed(spark, d, "dmesg").filter(X.uptime_cmp(F.col("ts_ms"), ">", "100")))
@@ -442,13 +464,6 @@ def _(spark, d):
     return search.grep_counts(search.grep(doc_lines(spark, d), X.filter_text(F.col("raw"), "the", case_sensitive=True), 3)[1])
 
 
-@query("grep_errors", "select 'documents/' || cast(doc_id as string) as path, 'unreadable' as error from documents where text <> '' and text <> chr(10) and doc_id % 11 = 0")
-def _(spark, d):
-    """Every eleventh document's lines can't be read."""
-    listed = spark.read.parquet(f"{d}/documents.parquet").filter(F.col("text") != "\n").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").alias("size"))
-    return search.grep_errors(listed, doc_lines(spark, d).filter("file_id % 11 <> 0"))
-
-
 @query("grep_skip_binary", "select file_id from docs where line_no = 0 and file_id % 7 = 0")
 def _(spark, d):
     lines = doc_lines(spark, d).withColumn("raw", F.when((F.col("file_id") % 7 == 0) & (F.col("line_no") == 0), F.concat("raw", F.lit("\0"))).otherwise(F.col("raw")))
@@ -595,12 +610,21 @@ def _(spark, d):
 
 
 # 2.1 and 2.10: files, written by Spark from the documents and read back
-def written_lines(spark, d, compression: str = "none") -> tuple[str, DataFrame]:
-    """A folder with one file per document modulo 8, and its numbered lines with ``file_no``."""
+def written_files(spark, d, compression: str = "none") -> str:
+    """A folder with one file per document modulo 8."""
     path = scratch_path(spark, "logs")
     lines = doc_lines(spark, d).withColumn("file_no", F.col("file_id") % 8).repartition(8, "file_no").sortWithinPartitions("file_no", "file_id", "line_no")
     lines.select("file_no", F.col("raw").alias("value")).write.partitionBy("file_no").option("compression", compression).text(path)
-    return path, L.read_folder(spark, path, ("*.txt", "*.gz")).withColumn("file_no", F.regexp_extract("path", r"file_no=(\d+)", 1).cast("bigint"))
+    return path
+
+
+def file_no(df: DataFrame) -> DataFrame:
+    return df.withColumn("file_no", F.regexp_extract("path", r"file_no=(\d+)", 1).cast("bigint"))
+
+
+def written_lines(spark, d, compression: str = "none") -> DataFrame:
+    """The numbered lines of such a folder with ``file_no``."""
+    return file_no(L.read_folder(spark, written_files(spark, d, compression), ("*.txt", "*.gz")))
 
 
 _FILES = "fl as (select file_id % 8 as file_no, cast(row_number() over (partition by file_id % 8 order by file_id, line_no) - 1 as bigint) as line_no, cast(sum(octet_length(encode(raw)) + 1) over (partition by file_id % 8 order by file_id, line_no) - octet_length(encode(raw)) - 1 as bigint) as byte_offset, raw from docs)"
@@ -608,22 +632,30 @@ _FILES = "fl as (select file_id % 8 as file_no, cast(row_number() over (partitio
 
 @query("read_lines", f"with {DOCS} select file_id % 8 as file_no, raw, count(*) as n from docs group by 1, 2")
 def _(spark, d):
-    return written_lines(spark, d)[1].groupBy("file_no", "raw").agg(F.count("*").alias("n"))
+    return written_lines(spark, d).groupBy("file_no", "raw").agg(F.count("*").alias("n"))
+
+
+@query("line_numbers", f"with {DOCS}, {_FILES} select file_no, line_no, raw from fl")
+def _(spark, d):
+    return written_lines(spark, d).select("file_no", "line_no", "raw")
 
 
-@query("line_numbers", f"with {DOCS}, {_FILES} select * from fl")
+@query("line_offsets", f"with {DOCS}, {_FILES} select file_no, line_no, byte_offset, octet_length(encode(raw)) as bytes from fl")
 def _(spark, d):
-    return written_lines(spark, d)[1].select("file_no", "line_no", "byte_offset", "raw")
+    """Offsets of all lines, and the lines' lengths by their numbers."""
+    lines = L.folder_lines(spark, written_files(spark, d), ("*.txt",))
+    numbered = L.line_numbers(lines).select("file_id", "path", "line_no", F.octet_length("raw").alias("bytes"))
+    return file_no(numbered).join(L.line_offsets(lines), ["file_id", "line_no"]).select("file_no", "line_no", "byte_offset", "bytes")
 
 
 @query("read_gzip", f"with {DOCS}, {_FILES} select file_no, line_no, raw from fl")
 def _(spark, d):
-    return written_lines(spark, d, "gzip")[1].select("file_no", "line_no", "raw")
+    return written_lines(spark, d, "gzip").select("file_no", "line_no", "raw")
 
 
 @query("read_folder", f"with {DOCS}, {_FILES} select file_no, count(*) as lines from fl group by 1")
 def _(spark, d):
-    return written_lines(spark, d)[1].groupBy("file_no").agg(F.count("*").alias("lines"))
+    return written_lines(spark, d).groupBy("file_no").agg(F.count("*").alias("lines"))
 
 
 @query("export_text", f"with {DOCS} select raw, count(*) as n from docs where contains(raw, '@') group by 1")
@@ -680,33 +712,79 @@ def contents(spark, d):
 
 @query("file_identity", f"with {DOCS}, {_FILES}, whole as (select string_agg(raw || chr(10), '' order by line_no) as content from fl group by file_no) select octet_length(encode(content)) as size, cast(least(octet_length(encode(content)), 65536) as int) as prefix_length, sha256(encode(content)[1:65536]) as prefix_sha256 from whole")
 def _(spark, d):
-    path, _ = written_lines(spark, d)
+    path = written_files(spark, d)
     return L.file_identity(spark, path, recursiveFileLookup="true", pathGlobFilter="*.txt").select("size", "prefix_length", "prefix_sha256")
 
 
-@query("match_identity", "select cast(doc_id as string) as path, case when text = '' or text is null then case doc_id % 3 when 1 then 'Grown' else 'Identical' end else case doc_id % 3 when 0 then 'Identical' when 1 then 'Grown' else 'Mismatch' end end as match from documents where doc_id is not null")
+@query("match_identity", f"with {DOCS} select distinct file_id % 8 as file_no, case file_id % 8 % 4 when 0 then 'Identical' when 1 then 'Grown' else 'Mismatch' end as match from docs")
+def _(spark, d):
+    """Files as they were, with a line more, with another first line, and cut."""
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.txt"}
+    old = file_no(L.file_identity(spark, written_files(spark, d), **options)).drop("path")
+    lines = written_lines(spark, d)
+    step, last = F.col("file_no") % 4, F.col("line_no") == F.col("last")
+    ends = lines.groupBy("file_no").agg(F.max("line_no").alias("last"))
+    raw = F.when((step == 1) & last, F.concat("raw", F.lit("\nmore"))).when((step == 2) & (F.col("line_no") == 0), F.concat(F.lit("x"), "raw")).otherwise(F.col("raw"))
+    changed = lines.join(ends, "file_no").filter(~((step == 3) & last)).withColumn("raw", raw)
+    path = scratch_path(spark, "changed")
+    changed.repartition(8, "file_no").sortWithinPartitions("file_no", "line_no").select("file_no", F.col("raw").alias("value")).write.partitionBy("file_no").text(path)
+    now = file_no(L.listed(spark, path, **options))
+    saved = old.join(now.select("file_no", "path"), "file_no")
+    return file_no(L.match_identity(saved, now)).select("file_no", "match")
+
+
+@query("match_contents", "select cast(doc_id as string) as path, case when text = '' or text is null then case doc_id % 3 when 1 then 'Grown' else 'Identical' end else case doc_id % 3 when 0 then 'Identical' when 1 then 'Grown' else 'Mismatch' end end as match from documents where doc_id is not null")
 def _(spark, d):
     files = contents(spark, d)
     length = F.octet_length("content")
     saved = files.select("path", length.cast("bigint").alias("size"), F.least(length, F.lit(L.PREFIX)).alias("prefix_length"), F.sha2(F.substring("content", 1, L.PREFIX), 256).alias("prefix_sha256"))
     step = F.col("path").cast("bigint") % 3
     now = files.withColumn("content", F.when(step == 0, F.col("content")).when(step == 1, F.concat("content", F.encode(F.lit("more"), "UTF-8"))).otherwise(F.substring(F.col("content"), F.lit(2), length)))
-    return L.match_identity(saved, now)
+    return L.match_contents(saved, now)
+
+
+@query("grep_errors", f"with {DOCS} select distinct file_id % 8 as file_no, case file_id % 8 when 1 then 'truncated gzip stream' else 'corrupt gzip stream' end as error from docs where file_id % 8 in (1, 2, 3)")
+def _(spark, d):
+    """Gzip files of which three are spoilt as they are copied: cut, without their header, with bytes written over."""
+    return file_no(search.grep_errors(spoilt_files(spark, d))).select("file_no", "error")
+
+
+def spoilt_files(spark, d) -> DataFrame:
+    path, spoilt = written_files(spark, d, "gzip"), scratch_path(spark, "spoilt")
+    files = file_no(spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.gz").load(path))
+    part = lambda first, n: F.substring(F.col("content"), F.lit(first), n)
+    length, which = F.octet_length("content"), F.col("file_no")
+    content = F.when(which == 1, part(1, F.floor(length / 2).cast("int"))).when(which == 2, part(11, length)).when(which == 3, F.concat(part(1, F.lit(12)), F.encode(F.lit("x" * 40), "UTF-8"), part(53, length)))
+    ranges.write_files(files.select(F.concat(F.lit(f"{spoilt}/file_no="), which.cast("string"), F.lit(".gz")).alias("path"), F.coalesce(content, "content").alias("content")))
+    return L.listed(spark, spoilt, pathGlobFilter="*.gz")
 
 
-@query("splice", f"with {E} select file_id, line_no, event_type || ' ' || eid as raw from e where good")
+@query("grep_sound", f"with {DOCS} select file_id % 8 as file_no, count(*) as lines, count(*) filter (contains(raw, 'the')) as matches from docs where file_id % 8 not in (1, 2, 3) group by 1")
+def _(spark, d):
+    """A search over those of the files that can be read."""
+    listing = spoilt_files(spark, d)
+    lines = search.read_sound(spark, listing, search.grep_errors(listing))
+    return file_no(lines).groupBy("file_no").agg(F.count("*").alias("lines"), F.count_if(X.filter_text(F.col("raw"), "the", case_sensitive=True)).alias("matches"))
+
+
+@query("splice", f"with {E} select file_id, line_no, case when good then event_type || ' ' || eid else {R.BAD} end as raw from e")
 def _(spark, d):
     from tidelog.streaming.follow import splice
 
-    lines = R.lines(spark, d, R.FORMATS["plaintext"][0]).filter(~F.startswith("raw", F.lit("raw fallback"))).select("file_id", "line_no", "raw")
+    lines = R.lines(spark, d, R.FORMATS["plaintext"][0]).select("file_id", "line_no", "raw")
     first_new = lines.groupBy("file_id").agg(F.floor(F.max("line_no") / 2).alias("first_new_line"))
     tail = lines.join(first_new, "file_id").filter("line_no >= first_new_line").select("file_id", "line_no", "raw")
     return splice(lines, tail, first_new)
 
 
 def _segments(spark, d) -> str:
+    """Three segments of each of five key-value logs, written one after the other."""
     path = scratch_path(spark, "segments")
-    R.lines(spark, d, R.FORMATS["keyvalue"][0]).select(F.col("raw").alias("value")).repartition(4).write.text(path)
+    lines = R.lines(spark, d, R.FORMATS["keyvalue"][0])
+    third = F.ntile(3).over(Window.partitionBy("file_id").orderBy("line_no"))
+    lines = lines.withColumn("segment", third).repartition(5, "file_id").sortWithinPartitions("file_id", "line_no")
+    for k in (1, 2, 3):
+        lines.filter(F.col("segment") == k).select(F.col("file_id").alias("log"), F.col("raw").alias("value")).write.partitionBy("log").text(f"{path}/segment={k}")
     return path
 
 
@@ -715,17 +793,23 @@ def _drained(spark, stream: DataFrame, mode: str) -> DataFrame:
     path = scratch_path(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", scratch_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema.add("batch", "long")).parquet(path)
 
 
-@query("stream_lines", "select message_line as raw, count(*) as n from (select case when good then 'ts=' || d || 'T' || t || '.' || ms3 || 'Z level=' || " + R.level("error", "warn", "info", "debug", "trace") + " || ' code=' || uid || ' msg=\"' || event_type || ' ' || eid || '\"' else " + R.BAD + " end as message_line from e) group by 1")
+_KV_LINES = "l as (select file_id, line_no, case when good then 'ts=' || d || 'T' || t || '.' || ms3 || 'Z level=' || " + R.level("error", "warn", "info", "debug", "trace") + " || ' code=' || uid || ' msg=\"' || event_type || ' ' || eid || '\"' else " + R.BAD + " end as raw from e)"
+
+
+@query("stream_lines", f"with {E}, {_KV_LINES} select file_id, cast(row_number() over (partition by file_id order by line_no) - 1 as bigint) as line_no, cast(coalesce(sum(octet_length(encode(raw)) + 1) over (partition by file_id order by line_no rows between unbounded preceding and 1 preceding), 0) as bigint) as byte_offset, raw from l")
 def _(spark, d):
-    from tidelog.streaming.follow import stream_lines
+    """Fifteen segments of five logs, four files a batch: numbers and offsets as if each log were one file."""
+    from tidelog.streaming.follow import number_segments, numbered_segments, stream_lines
 
-    return _drained(spark, stream_lines(spark, _segments(spark, d), per_trigger=2).select("raw"), "append").groupBy("raw").agg(F.count("*").alias("n"))
+    out = scratch_path(spark, "numbered")
+    number_segments(stream_lines(spark, _segments(spark, d), per_trigger=4), out, scratch_path(spark, "offsets"), F.regexp_extract("path", r"log=(\d+)", 1)).awaitTermination()
+    return numbered_segments(spark, out).select(F.col("log").cast("bigint").alias("file_id"), "line_no", "byte_offset", "raw")
 
 
 @query("stream_parse_filter", "select message, ts_ms from kv where severity >= 4")
@@ -753,8 +837,8 @@ def _(spark, d):
 
     R.events(spark, d)
     path = scratch_path(spark, "timeline")
-    stream_timeline(P.parse(stream_lines(spark, _segments(spark, d)), "keyvalue"), path, scratch_path(spark, "offsets")).awaitTermination()
-    return spark.read.parquet(path).select("ts_ms", "severity", "message")
+    stream_timeline(P.parse(stream_lines(spark, _segments(spark, d), per_trigger=6), "keyvalue"), path, scratch_path(spark, "offsets")).awaitTermination()
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").select("ts_ms", "severity", "message")
 
 
 @query("stream_rotation", "select cast(doc_id as string) as path, case when doc_id % 2 = 0 then 'idle' else 'append' end as action from documents where doc_id is not null")
@@ -768,6 +852,33 @@ def _(spark, d):
     return stream_rotation(saved, now)
 
 
+def _stage(spark, d, folder: str, k: int) -> None:
+    """The five logs at the k-th look: 0 stays, 1 and 4 grow (4 has no last line end at first), 2 rotates to its later
+    half, 3 goes."""
+    lines = R.lines(spark, d, R.FORMATS["keyvalue"][0])
+    ends = lines.groupBy("file_id").agg(F.max("line_no").alias("last"))
+    n, last, f = F.col("line_no"), F.col("last"), F.col("file_id")
+    there = F.when(f.isin(1, 4), n <= last * (k + 1) / 3).when(f == 2, (n > last / 2) if k == 2 else (n <= last / 2)).when(f == 3, F.lit(k < 2)).otherwise(F.lit(True))
+    own = lines.join(ends, "file_id").filter(there).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("l"))  # a small file each
+    text = F.concat(F.array_join(F.transform("l", lambda x: x["raw"]), "\n"), F.when((f == 4) & F.lit(k < 2), F.lit("")).otherwise(F.lit("\n")))
+    ranges.write_files(own.select(F.concat(F.lit(f"{folder}/"), f.cast("string"), F.lit(".log")).alias("path"), F.encode(text, "UTF-8").alias("content")))
+    if k == 2:
+        store.removed(spark, f"{folder}/3.log")
+
+
+@query("follow_folder", f"with {KV} select file_id, cast(row_number() over (partition by file_id order by line_no) - 1 as bigint) as line_no, message, cast(ts_ms as bigint) as ts_ms, cast(severity as tinyint) as severity from (select *, max(line_no) over (partition by file_id) as last from kv) where file_id in (0, 1, 4) or file_id = 2 and line_no > last / 2")
+def _(spark, d):
+    """Three looks at a folder; one is repeated. What is left equals the final files parsed as a whole."""
+    from tidelog.streaming.follow import followed, look
+
+    folder, table = scratch_path(spark, "logs"), scratch_path(spark, "followed")
+    for k in (0, 1, 1, 2):
+        _stage(spark, d, folder, k)
+        look(spark, folder, table, lambda lines: P.parse(lines, "keyvalue"), k, pathGlobFilter="*.log")
+    found = followed(spark, table).withColumn("file_id", F.regexp_extract("path", r"(\d+)\.log$", 1).cast("bigint"))
+    return found.select("file_id", "line_no", F.col("Message").alias("message"), "ts_ms", "severity")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Key-value logs: warnings and worse of purchases and errors, per severity over time."""
     df = kv(spark, d)

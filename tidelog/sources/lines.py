@@ -8,7 +8,10 @@ by their suffix.
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+
+from tidelog.sources.ranges import head_hashes, listed
+from tidelog.sources.scratch import stored
 
 #: Bytes hashed for a file's identity.
 PREFIX = 65536
@@ -22,29 +25,59 @@ def read_lines(spark: SparkSession, paths: str | list[str], **options: str) -> D
     return text.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("seq"), (F.octet_length("value") + 1).cast("bigint").alias("size"),
-        F.regexp_replace("value", "\r$", "").alias("raw"))
+        F.regexp_replace("value", "\r\\z", "").alias("raw"))
+
+
+#: Rows of a table with a row per split that may be sent to every task.
+SENT_SPLITS = 1_000_000
+
+
+def split_totals(lines: DataFrame) -> DataFrame:
+    """Per split ``path``, ``block_start``, its least ``seq``, its lines and those before it in the file, and the same of
+    bytes: a small table that is written once."""
+    totals = stored(lines.groupBy("path", "block_start").agg(F.min("seq").alias("least"), F.count("*").alias("lines"), F.sum("size").alias("bytes")), "splits")
+    along = Window.partitionBy("path").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(along), F.lit(0))
+    totals = totals.withColumns({"lines_before": before("lines"), "bytes_before": before("bytes")})
+    return F.broadcast(totals) if totals.count() <= SENT_SPLITS else totals
+
+
+def _numbered(lines: DataFrame, totals: DataFrame) -> DataFrame:
+    """``lines`` with their number in the split, ``_n``, and the split's totals.
+
+    Rows of a split follow each other in one task, so a row's number there is ``seq`` less the split's least one.
+    A read that cuts the files otherwise than the totals were made raises an error.
+    """
+    n = F.col("seq") - F.col("least")
+    other = F.raise_error(F.lit("the files were cut otherwise when they were read again")).cast("bigint")
+    return lines.join(totals, ["path", "block_start"], "left").withColumn("_n", F.when(n.between(0, F.col("lines") - 1), n).otherwise(other))
 
 
 def line_numbers(lines: DataFrame) -> DataFrame:
-    """Number lines without a global sort: count lines and bytes per split, sum along the splits of a file.
+    """Number lines in place: no text is shuffled or sorted, ``byte_offset`` is null (see ``line_offsets``).
 
-    One row per split meets in the sum; rows are numbered within their own split. A gzip file is one split.
+    A table with a row per split, sent to all tasks, tells how many lines come before. A gzip file is one split.
     """
-    split = ["path", "block_start"]
-    inside = Window.partitionBy(*split).orderBy("seq")
-    own = lines.withColumns({"_n": F.row_number().over(inside) - 1, "_b": F.sum("size").over(inside) - F.col("size")})
-    totals = lines.groupBy(*split).agg(F.count("*").alias("_lines"), F.sum("size").alias("_bytes"))
-    along = Window.partitionBy("path").orderBy("block_start")
-    before = totals.select(*split, (F.sum("_lines").over(along) - F.col("_lines")).alias("_l0"), (F.sum("_bytes").over(along) - F.col("_bytes")).alias("_b0"))
-    return own.join(before, split).select(
-        F.xxhash64("path").alias("file_id"), "path", (F.col("_l0") + F.col("_n")).cast("bigint").alias("line_no"),
-        (F.col("_b0") + F.col("_b")).cast("bigint").alias("byte_offset"), "raw")
+    return _numbered(lines, split_totals(lines)).select(
+        F.xxhash64("path").alias("file_id"), "path", (F.col("lines_before") + F.col("_n")).cast("bigint").alias("line_no"), F.lit(None).cast("bigint").alias("byte_offset"), "raw")
 
 
-def read_folder(spark: SparkSession, folder: str, globs: tuple[str, ...] = ("*",)) -> DataFrame:
-    """Numbered lines of all files below a folder whose name fits a glob; sidecar files are left out."""
+def line_offsets(lines: DataFrame) -> DataFrame:
+    """``file_id``, ``line_no`` and ``byte_offset`` of every line; numbers are shuffled, the text is not."""
+    narrow = _numbered(lines, split_totals(lines)).select("path", "block_start", "_n", "size", "lines_before", "bytes_before")
+    inside = F.sum("size").over(Window.partitionBy("path", "block_start").orderBy("_n")) - F.col("size")
+    return narrow.select(F.xxhash64("path").alias("file_id"), (F.col("lines_before") + F.col("_n")).cast("bigint").alias("line_no"), (F.col("bytes_before") + inside).cast("bigint").alias("byte_offset"))
+
+
+def folder_lines(spark: SparkSession, folder: str, globs: tuple[str, ...] = ("*",)) -> DataFrame:
+    """Lines, not numbered, of all files below a folder whose name fits a glob; sidecar files are left out."""
     found = read_lines(spark, folder, recursiveFileLookup="true", pathGlobFilter="{" + ",".join(globs) + "}")
-    return line_numbers(found.filter(~F.endswith("path", F.lit(SIDECAR))))
+    return found.filter(~F.endswith("path", F.lit(SIDECAR)))
+
+
+def read_folder(spark: SparkSession, folder: str, globs: tuple[str, ...] = ("*",)) -> DataFrame:
+    """Numbered lines of ``folder_lines``."""
+    return line_numbers(folder_lines(spark, folder, globs))
 
 
 def split_texts(table: DataFrame, file_id: str, text: str, path: str = "table") -> DataFrame:
@@ -52,28 +85,35 @@ def split_texts(table: DataFrame, file_id: str, text: str, path: str = "table")
     whole = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\n$", "")
     lines = table.select(F.col(file_id).cast("bigint").alias("file_id"), F.when(F.coalesce(F.col(text), F.lit("")) != "", F.split(whole, "\n", -1)).alias("l"))
     numbered = lines.select("file_id", F.posexplode("l").alias("n", "value"))
-    return numbered.select("file_id", F.concat(F.lit(path + "/"), F.col("file_id").cast("string")).alias("path"), F.col("n").cast("bigint").alias("line_no"), F.lit(None).cast("bigint").alias("byte_offset"), F.regexp_replace("value", "\r$", "").alias("raw"))
+    return numbered.select("file_id", F.concat(F.lit(path + "/"), F.col("file_id").cast("string")).alias("path"), F.col("n").cast("bigint").alias("line_no"), F.lit(None).cast("bigint").alias("byte_offset"), F.regexp_replace("value", "\r\\z", "").alias("raw"))
+
+
+def match_contents(saved: DataFrame, contents: DataFrame) -> DataFrame:
+    """``match_identity`` of files that a table holds as ``path``, ``content``."""
+    now = saved.join(contents.select("path", "content"), "path", "left")
+    size = F.octet_length("content")
+    return now.select("path", verdict(size, F.sha2(F.substring(F.col("content"), F.lit(1), F.col("prefix_length")), 256)).alias("match"))
 
 
-def with_offsets(lines: DataFrame) -> DataFrame:
-    """Fill ``byte_offset`` of lines that end with one ``\\n`` each, per file."""
-    along = Window.partitionBy("file_id").orderBy("line_no")
-    return lines.withColumn("byte_offset", F.sum(F.octet_length("raw") + 1).over(along) - F.octet_length("raw") - 1)
+def verdict(size: Column, sha256: Column) -> Column:
+    """Identical, Grown or Mismatch, of a file's size and the hash over the saved prefix; null: the file is gone."""
+    other = (sha256 != F.col("prefix_sha256")) | (size < F.col("size"))
+    return F.when(F.coalesce(other, F.lit(True)), "Mismatch").when(size > F.col("size"), "Grown").otherwise("Identical")
 
 
 def file_identity(spark: SparkSession, paths: str | list[str], **options: str) -> DataFrame:
-    """``path``, ``size``, ``prefix_length`` and ``prefix_sha256`` of whole files (below 2 GiB each)."""
-    files = spark.read.format("binaryFile").options(**options).load(paths)
-    return files.select("path", F.col("length").alias("size"), F.least("length", F.lit(PREFIX)).cast("int").alias("prefix_length"), F.sha2(F.substring("content", 1, PREFIX), 256).alias("prefix_sha256"))
+    """``path``, ``size``, ``prefix_length`` and ``prefix_sha256`` of files of any size; their first PREFIX bytes are read."""
+    files = listed(spark, paths, **options).withColumn("length", F.least("size", F.lit(PREFIX)))
+    return head_hashes(files).select("path", "size", F.col("length").cast("int").alias("prefix_length"), F.col("sha256").alias("prefix_sha256"))
 
 
-def match_identity(saved: DataFrame, contents: DataFrame) -> DataFrame:
-    """``path`` and ``match``: Identical, Grown or Mismatch, of saved identities against ``path``, ``content``.
+def match_identity(saved: DataFrame, now: DataFrame) -> DataFrame:
+    """``path`` and ``match``: Identical, Grown or Mismatch, of saved identities against files as listed (``path``, ``size``).
 
-    The current file is hashed over the saved prefix length; one that shrank, or is gone, mismatches.
+    The current file is hashed over the saved prefix length, no more is read of it; one that shrank, or is gone,
+    mismatches.
     """
-    now = saved.join(contents.select("path", "content"), "path", "left")
-    same = F.sha2(F.substring(F.col("content"), F.lit(1), F.col("prefix_length")), 256) == F.col("prefix_sha256")
-    size = F.octet_length("content")
-    verdict = F.when(F.coalesce(~same | (size < F.col("size")), F.lit(True)), "Mismatch").when(size > F.col("size"), "Grown").otherwise("Identical")
-    return now.select("path", verdict.alias("match"))
+    long_enough = saved.select("path", F.col("prefix_length").cast("bigint").alias("length")).join(now.select("path", F.col("size").alias("now")), "path").filter("now >= length")
+    hashes = head_hashes(long_enough.withColumnRenamed("now", "size"))
+    found = saved.join(hashes.select("path", F.col("size").alias("_size"), "sha256"), "path", "left")
+    return found.select("path", verdict(F.col("_size"), F.col("sha256")).alias("match"))

@@ -15,8 +15,8 @@ def _own() -> str:
     return tempfile.mkdtemp(prefix="spark-scratch-")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``.
+def scratch_root(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir``.
 
     Where that is unset, as in tests, a session on one machine gets an own folder; on a cluster that is an error.
     """
@@ -25,7 +25,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = _own()
-    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return path.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in that folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
