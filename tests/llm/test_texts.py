@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tidelog.llm import words
@@ -188,6 +189,28 @@ def test_token_store_round_trip(spark, make_docs):
     assert read_store(spark, empty).count() == 0
 
 
+def test_token_files_follow_the_ids(spark, make_docs, tmp_path, monkeypatch):
+    """Several recipe files: ids and starts ascend within each and from file to file; packs hold many parts."""
+    path, _ = tokenizer()
+    monkeypatch.setattr("tidelog.llm.token_store.PART_CHUNKS", 3)
+    monkeypatch.setattr("tidelog.llm.token_store.PACK_PARTS", 4)
+    rng = random.Random(16)
+    rows = [(i, prose(rng, rng.choice([3, 900]))) for i in rng.sample(range(1000), 80)]
+    store = str(tmp_path / "store")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_store(make_docs(rows), store, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "store" / "recipes").glob("part-*.parquet"))
+    tables = [pq.ParquetFile(f).read(columns=["doc_id", "start"]) for f in files]
+    ids, starts = ([x for t in tables for x in t.column(c).to_pylist()] for c in ("doc_id", "start"))
+    assert sum(t.num_rows > 0 for t in tables) > 3 and ids == sorted(i for i, _ in rows) and starts == sorted(starts) and starts[0] == 0
+    packs = spark.read.parquet(f"{store}/chunks").groupBy("pack").agg({"digest": "min"}).orderBy("pack").collect()
+    assert len(packs) > 2 and [r[1] for r in packs] == sorted(r[1] for r in packs)
+    assert read_store(spark, store).count() == 80
+
+
 def test_token_store_notices_damage(spark, make_docs):
     path, _ = tokenizer()
     store = new_path(spark, "test-store")

@@ -3,8 +3,8 @@
 Files under the store's path, all Parquet:
 
 * ``chunks/pack=K`` - every distinct chunk once: ``digest`` (blake2b-128 of the id bytes), ``ids`` (uint16 or
-  uint32 little-endian), ``n`` ids. A chunk's pack follows from its digest.
-* ``recipes`` - a row per document in output order: ``start``, ``n_tokens``, its chunk digests in order, how many
+  uint32 little-endian), ``n`` ids. A chunk's pack is a range of digests, so packs follow each other.
+* ``recipes`` - a row per document in output order, within the files and from file to file by their numbers: ``start``, ``n_tokens``, its chunk digests in order, how many
   ids follow each chunk, Merkle ``root``.
 * ``manifest`` - a row per pack: ``root`` of the Merkle tree over its digests in order, ``n_chunks``, ``n_ids``.
 
@@ -39,8 +39,8 @@ WINDOW, MASK, MAX_CHUNK = 16, np.uint64(0xFF00000000), 4096
 #: Pieces beyond which a worker starts its pool anew before the next slice, the longest such piece, and how many the
 #: tokenizer gets at once.
 CACHED_PIECES, CACHED_LENGTH, LEARNED = 1_500_000, 256, 50_000
-#: Chunks in one pack, about.
-PACK_CHUNKS = 20_000
+#: Chunks that are told apart in one task, about, how many such parts make a pack, and digests a task remembers.
+PART_CHUNKS, PACK_PARTS, SEEN = 20_000, 64, 1_000_000
 _OTHER_VALUE = np.random.default_rng(12).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _GEAR = np.random.default_rng(5).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 _workers: dict[str, PieceEncoder] = {}
@@ -268,6 +268,8 @@ def encoded_chunks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             names.append(name)
             new.append(None if name in seen else piece)
             seen.add(name)
+        if len(seen) > SEEN:  # what is sent again is dropped where all chunks meet
+            seen.clear()
         lists = [pa.ListArray.from_arrays(pa.array(of_doc.astype(np.int32)), x) for x in (pa.array(names, pa.binary()), pa.array((stops - starts).astype(np.int32)), pa.array(new, pa.binary()))]
         sizes = np.diff(ends, prepend=0)
         return pa.RecordBatch.from_arrays([part.column("carry"), pa.array(sizes), *lists], ["carry", "n_tokens", "digests", "sizes", "new"])
@@ -275,8 +277,9 @@ def encoded_chunks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return docs.select("carry", "text").mapInArrow(rows, CHUNK_SCHEMA.format(docs.schema["carry"].dataType.simpleString()))
 
 
-def _pack(name: Column, packs: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.hex(name), 1, 8), 16, 10).cast("long"), F.lit(packs)).cast("int").alias("pack")
+def _part(name: Column, parts: int) -> Column:
+    """The part of a digest: ranges of its first 32 bits."""
+    return F.shiftright(F.conv(F.substring(F.hex(name), 1, 8), 16, 10).cast("long") * parts, 32).cast("int")
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, order: tuple[str, ...] = ("doc_id",)) -> None:
@@ -290,16 +293,17 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, order: tuple[st
     staged = encoded_chunks(docs.select(carry.alias("carry"), "text"), tokenizer_path)
     staged = stored(staged.withColumn("row", F.monotonically_increasing_id()), "token-chunks")
     pieces = staged.select(F.explode(F.arrays_zip("digests", "sizes", "new")).alias("c")).filter("c.new is not null").select(F.col("c.digests").alias("digest"), F.col("c.sizes").alias("n"), F.col("c.new").alias("ids"))
-    packs = max(1, round((staged.agg(F.sum(F.size(F.array_compact("new")))).first()[0] or 0) / PACK_CHUNKS))
-    unique = pieces.withColumn("pack", _pack(F.col("digest"), packs)).repartition(packs, "pack").dropDuplicates(["pack", "digest"])
-    write(unique, f"{path}/chunks", by="pack")
+    parts = max(1, round((staged.agg(F.sum(F.size(F.array_compact("new")))).first()[0] or 0) / PART_CHUNKS))
+    unique = pieces.withColumn("part", _part(F.col("digest"), parts)).repartition(parts, "part").dropDuplicates(["part", "digest"])
+    write(unique.withColumn("pack", F.floor(F.col("part") / PACK_PARTS).cast("int")).drop("part"), f"{path}/chunks", by="pack")
     write(pack_roots(docs.sparkSession, path), f"{path}/manifest")
     ranged = staged.select("carry", "row", "n_tokens", "digests", "sizes").orderBy(*[f"carry.{o}" for o in by], "row")
     ranged = stored(ranged.select(F.col("carry.doc_id").alias("doc_id"), "n_tokens", "digests", "sizes").mapInArrow(_summed, f"part int, {RECIPE_SCHEMA}"), "token-ranges")
     totals = ranged.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row per partition
     recipes = ranged.join(before, "part").withColumn("start", F.col("start") + F.col("before"))
-    write(recipes.drop("part", "before"), f"{path}/recipes")
+    # what was read back is in no order of its files; starts put it in that of the output
+    write(recipes.drop("part", "before").orderBy("start"), f"{path}/recipes")
 
 
 RECIPE_SCHEMA = "doc_id long, start long, n_tokens long, digests array<binary>, after array<long>, root binary"

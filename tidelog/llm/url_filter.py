@@ -4,8 +4,8 @@ The trees see lexical features only (length, depth, digit ratio, entropy, parame
 statistics) and learn from labelled URLs. Where the caller has no labels of its own, the URLs that the
 rules decide are the labelled ones.
 
-Defined results: a null URL or one without ``://`` has an empty host and path and no rule; its verdict is
-``allow``. One with ``://`` and no host is judged by the method like any other. Repeated rows are judged one by one.
+Defined results: a null URL or one without ``://`` has an empty host and path and no rule; the method judges it by its
+other features, like any URL that no rule decides. Repeated rows are judged one by one.
 If the labels hold one class only (or none), that class (``allow`` without any) is the method's verdict. Extra columns,
 whatever they are called, pass through ``score`` and ``url_verdicts`` untouched.
 """
@@ -154,5 +154,5 @@ def url_verdicts(df: DataFrame, model: UrlModel | None = None, rules: Sequence[t
     rows = rows.withColumn("hit", matching_rule(F.col("host"), F.col("path"), rules))
     if model is None:
         model = fit_url_model(rows.filter(F.col("hit").isNotNull()).select("url", (F.col("hit.verdict") == "block").cast("int").alias("label")))
-    by_model = F.when(F.contains("url", F.lit("://")) & (F.col("p_block") >= threshold), "block").otherwise("allow")
+    by_model = F.when(F.col("p_block") >= threshold, "block").otherwise("allow")
     return model.score(rows).select("row.*", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", by_model).alias("verdict"), "p_block")
