@@ -5,6 +5,9 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from tidelog.functions.timecol import detect_time_format
+from tidelog.operators.parse import time_column
+
 BUCKETS = 512
 
 
@@ -58,12 +61,23 @@ def histogram_summary(df: DataFrame, n: int = BUCKETS, ms: str = "ts_ms") -> Dat
     return out.withColumn("width", _width(F.col("min_ms"), F.col("max_ms"), n))
 
 
-def time_span(df: DataFrame, monotonic: bool = False, sample: int | None = None) -> DataFrame:
-    """First and last instant per file; with ``sample``, of that many lines at either end."""
+def time_span(df: DataFrame, sample: int | None = None) -> DataFrame:
+    """First and last instant per file, and whether its times are ``monotonic``, counted from a start and of no date.
+
+    That follows from the format of the time column, or, where the format is told by file, from what a file's first
+    values are. With ``sample``, spans are those of that many lines at either end.
+    """
+    column = time_column(df)
+    fmt = df.schema[column].metadata.get("timeFormat", "") if column else None
+    kinds = detect_time_format(df.select("file_id", "line_no", F.col(f"`{column}`").alias("_t")), "_t") if fmt == "" else None
     if sample is not None:
         ends = df.groupBy("file_id").agg(F.max("line_no").alias("_last"))
         df = df.join(ends, "file_id").filter((F.col("line_no") < sample) | (F.col("line_no") > F.col("_last") - sample))
-    return df.groupBy("file_id").agg(F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms")).withColumn("monotonic", F.lit(monotonic))
+    spans = df.groupBy("file_id").agg(F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+    if kinds is None:
+        return spans.withColumn("monotonic", F.lit(fmt == "uptime"))
+    own = kinds.select("file_id", (F.col("time_format") == "uptime").alias("monotonic"))
+    return spans.join(own, "file_id", "left").withColumn("monotonic", F.coalesce("monotonic", F.lit(False)))
 
 
 def valid_time_count(df: DataFrame) -> DataFrame:

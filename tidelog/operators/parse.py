@@ -17,20 +17,11 @@ from pyspark.sql import Column, DataFrame
 from tidelog.functions import severity as sev
 from tidelog.functions.predicates import pattern_error
 from tidelog.functions.timecol import found, groups, let, normalize_time
-from tidelog.operators.formats import SPECS
+from tidelog.operators.formats import SPECS, Field
 
 KEYS = ("file_id", "path", "line_no", "raw")
 
 
-@dataclass(frozen=True)
-class Field:
-    name: str
-    capture: str = ""
-    type: str = "string"
-    hint: str = ""
-    time_format: str = ""
-
-
 @dataclass(frozen=True)
 class Spec:
     id: str
@@ -76,8 +67,7 @@ def group_numbers(pattern: str) -> dict[str, int]:
 
 def builtin_spec(name: str) -> Spec:
     raw = SPECS[name]
-    fields = tuple(Field(*(x.strip() for x in f.split("|"))) for f in raw["fields"])
-    return Spec(name, raw["pattern"], fields, raw.get("severity"), raw["specificity"])
+    return Spec(name, raw["pattern"], tuple(raw["fields"]), raw.get("severity"), raw["specificity"])
 
 
 def registry(specs: Sequence[Spec]) -> dict[str, Spec]:

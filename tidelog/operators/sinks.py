@@ -6,6 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from tidelog.functions import severity as sev
+from tidelog.sources.annotations import GENERATOR, VERSION
 
 
 def export_text(rows: DataFrame, path: str) -> None:
@@ -43,16 +44,23 @@ def export_annotations_csv(notes: DataFrame, path: str) -> None:
     export_csv(annotation_rows(notes), path)
 
 
-def sidecars(notes: DataFrame) -> DataFrame:
-    """``file_id`` and the versioned JSON of its notes, by line and id; empty colour, tag and author are left out."""
+def sidecars(notes: DataFrame, files: DataFrame) -> DataFrame:
+    """``file_id`` and the versioned JSON of its notes, by line and id, with the file's identity.
+
+    ``files`` has ``file_id``, ``name``, ``size``, ``prefix_sha256`` and ``prefix_length``, as ``file_identity`` gives them; a file
+    without notes has an empty sidecar. Empty colour, tag, author and name are left out.
+    """
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     filled = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
-    entry = F.struct("id", F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"), "note", filled("color"), filled("tag"), filled("author"), stamp("created_at").alias("createdAt"), stamp("modified_at").alias("modifiedAt"), F.col("anchor_hash").alias("anchorHash"), "snippet", "orphaned")
-    sorted_entries = F.transform(F.array_sort(F.collect_list(F.struct("start_line", "id", entry.alias("e")))), lambda x: x["e"])
-    files = notes.groupBy("file_id").agg(sorted_entries.alias("annotations"))
-    return files.select("file_id", F.to_json(F.struct(F.lit(1).alias("version"), "annotations")).alias("value"))
+    anchor = F.struct(F.col("anchor_hash").alias("lineSha256"), "snippet")
+    entry = F.struct(F.concat(F.lit("{"), "id", F.lit("}")).alias("id"), F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"), "note", filled("color"), filled("tag"), filled("author"), stamp("created_at").alias("createdAt"), stamp("modified_at").alias("modifiedAt"), anchor.alias("anchor"))
+    of_file = notes.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "id", entry.alias("e")))), lambda x: x["e"]).alias("annotations"))
+    whole = files.join(of_file, "file_id", "left")
+    identity = F.struct(filled("name"), "size", F.col("prefix_sha256").alias("prefixSha256"), F.col("prefix_length").alias("prefixLength"))
+    listed = F.coalesce("annotations", F.array().cast(of_file.schema["annotations"].dataType))
+    return whole.select("file_id", F.to_json(F.struct(F.lit(VERSION).alias("version"), F.lit(GENERATOR).alias("generator"), identity.alias("file"), listed.alias("annotations"))).alias("value"))
 
 
-def write_annotations(notes: DataFrame, path: str) -> None:
+def write_annotations(notes: DataFrame, files: DataFrame, path: str) -> None:
     """A sidecar per file, under ``file_id=``."""
-    sidecars(notes).write.partitionBy("file_id").text(path)
+    sidecars(notes, files).write.partitionBy("file_id").text(path)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from tidelog.functions import predicates as X
 from tidelog.functions import severity as sev
 from tidelog.functions import timecol as TC
-from tidelog.operators import agg, detect, notes, rows, search, sinks, timeline
+from tidelog.operators import agg, detect, notes, rows, rules, search, sinks, timeline
 from tidelog.operators import parse as P
 from tidelog.plans import rendered as R
 from tidelog.sources import annotations as notes_source
@@ -268,8 +268,21 @@ def _(spark, d):
 
 @query("highlight_rules", "select file_id, line_no, case when contains(message, 'error') then 'red' when regexp_matches(message, 'click \\d*5$') then 'blue' end as color from kv")
 def _(spark, d):
-    rules = [{"pattern": "ERROR", "color": "red"}, {"pattern": "x", "color": "none", "enabled": False}, {"pattern": r"click \d*5$", "regex": True, "color": "blue"}]
-    return kv(spark, d).select("file_id", "line_no", X.highlight_rules(F.col("Message"), rules).alias("color"))
+    few = [{"pattern": "ERROR", "color": "red"}, {"pattern": "x", "color": "none", "enabled": False}, {"pattern": r"click \d*5$", "regex": True, "color": "blue"}]
+    return kv(spark, d).select("file_id", "line_no", X.highlight_rules(F.col("Message"), few).alias("color"))
+
+
+_RULES_SQL = "r as (select id as priority, id % 7 <> 3 as enabled, id % 50 = 0 as regex, id % 11 = 0 as case_sensitive, 'c' || cast(id as string) as color, case when id % 50 = 0 then '^' || kind || ' [0-9]*' || cast(id // 50 as string) || '$' when id % 11 = 0 then upper(kind) || ' ' || cast(id as string) else upper(kind) || ' ' || cast(id * 3 as string) end as pattern from (select cast(range as bigint) as id, (['view', 'click', 'signup', 'purchase', 'error'])[cast(range % 5 as int) + 1] as kind from range(500)))"
+
+
+@query("highlight_table", f"with {KV}, {_RULES_SQL}, hit as (select file_id, line_no, arg_min(color, priority) as color from kv join r on enabled and (case when regex then regexp_matches(message, pattern, 'i') when case_sensitive then contains(message, pattern) else contains(lower(message), lower(pattern)) end) group by 1, 2) select kv.file_id, kv.line_no, hit.color from kv left join hit using (file_id, line_no)")
+def _(spark, d):
+    """Five hundred rules from a table: needles, expressions, some of them disabled."""
+    kind = F.element_at(F.array(*map(F.lit, ("view", "click", "signup", "purchase", "error"))), (F.col("id") % 5 + 1).cast("int"))
+    number = lambda c: c.cast("string")
+    pattern = F.when(F.col("id") % 50 == 0, F.concat(F.lit("^"), kind, F.lit(" [0-9]*"), number(F.floor(F.col("id") / 50)), F.lit("$"))).when(F.col("id") % 11 == 0, F.concat(F.upper(kind), F.lit(" "), number(F.col("id")))).otherwise(F.concat(F.upper(kind), F.lit(" "), number(F.col("id") * 3)))
+    table = spark.range(500).select(F.col("id").alias("priority"), pattern.alias("pattern"), F.concat(F.lit("c"), number(F.col("id"))).alias("color"), (F.col("id") % 50 == 0).alias("regex"), (F.col("id") % 11 == 0).alias("case_sensitive"), (F.col("id") % 7 != 3).alias("enabled"))
+    return rules.highlight_by_table(kv(spark, d).select("file_id", "line_no", F.col("Message").alias("message")), table, "message").select("file_id", "line_no", "color")
 
 
 @query("row_color", "select file_id, line_no, case when contains(message, '1') then 'blue' when severity = 5 then 'red' when severity = 4 then 'amber' end as color from kv")
@@ -356,14 +369,24 @@ def _(spark, d):
     return agg.histogram_multi([df.filter(F.col("file_id") == i) for i in range(5)], 48)
 
 
-@query("time_span", "select file_id, min(ts_ms) as first_ms, max(ts_ms) as last_ms, false as monotonic from kv group by file_id")
+def five_files(spark, d) -> list[DataFrame]:
+    """Files of three formats: key-value with its times told by file, kernel messages since boot, logcat."""
+    return [kv(spark, d).filter("file_id < 2"), R.parsed(spark, d, "dmesg").filter("file_id in (2, 3)"), R.parsed(spark, d, "logcat").filter("file_id = 4")]
+
+
+_FIVE = "f as (select file_id, line_no, file_id in (2, 3) as monotonic, case when not good then null when file_id in (2, 3) then event_id * 1000 + cast(ms3 as bigint) else ms end as ts_ms from e)"
+
+
+@query("time_span", f"with {E}, {_FIVE} select file_id, min(ts_ms) as first_ms, max(ts_ms) as last_ms, bool_or(monotonic) as monotonic from f group by file_id")
 def _(spark, d):
-    return agg.time_span(kv(spark, d))
+    a, b, c = map(agg.time_span, five_files(spark, d))
+    return a.union(b).union(c)
 
 
-@query("time_span_sampled", "select k.file_id, min(ts_ms) as first_ms, max(ts_ms) as last_ms, false as monotonic from kv k join (select file_id, max(line_no) as last from kv group by file_id) l on k.file_id = l.file_id where line_no < 64 or line_no > last - 64 group by k.file_id")
+@query("time_span_sampled", f"with {E}, {_FIVE} select f.file_id, min(ts_ms) as first_ms, max(ts_ms) as last_ms, bool_or(monotonic) as monotonic from f join (select file_id, max(line_no) as last from f group by file_id) l on f.file_id = l.file_id where line_no < 64 or line_no > last - 64 group by f.file_id")
 def _(spark, d):
-    return agg.time_span(kv(spark, d), sample=64)
+    a, b, c = (agg.time_span(t, sample=64) for t in five_files(spark, d))
+    return a.union(b).union(c)
 
 
 @query("valid_time_count", "select file_id, count(ts_ms) as valid from kv group by file_id")
@@ -488,11 +511,12 @@ def _(spark, d):
     return search.geo_points(geo_lines(spark, d))
 
 
-@query("geo_decimal", f"with {E}, {_GEO} {_POINT} and lat < 0")
+@query("geo_decimal", f"with {E}, {_GEO} {_POINT}")
 def _(spark, d):
     from tidelog.functions.geo import geo_decimal
 
-    side = F.when(F.col("raw").contains("at -"), F.concat(F.regexp_extract("raw", r"at -([\d.]+)", 1), F.lit("S, "), F.regexp_extract("raw", r", ([\d.]+)", 1), F.lit("E")))
+    half = F.when(F.col("raw").contains("at -"), "S, ").otherwise("N, ")
+    side = F.when(F.col("raw").contains(" at "), F.concat(F.regexp_extract("raw", r"at -?([\d.]+)", 1), half, F.regexp_extract("raw", r", ([\d.]+)", 1), F.lit("E"))).otherwise(F.col("raw"))
     return geo_lines(spark, d).withColumn("p", geo_decimal(side)).filter("p is not null").select("file_id", "line_no", "p.lat", "p.lon")
 
 
@@ -501,7 +525,7 @@ def _(spark, d):
     from tidelog.functions.geo import geo_dms
 
     text = F.expr("""'at ' || cast(event_id % 90 as string) || '°30\\'36"S, ' || cast(user_id % 180 as string) || '°15\\'0"E'""")
-    df = R.events(spark, d).filter("good").withColumn("p", geo_dms(text)).filter("p is not null")
+    df = R.events(spark, d).withColumn("p", geo_dms(F.when(F.col("good"), text).otherwise("nowhere"))).filter("p is not null")
     return df.select("file_id", "line_no", "p.lat", "p.lon")
 
 
@@ -658,11 +682,17 @@ def _(spark, d):
     return written_lines(spark, d).groupBy("file_no").agg(F.count("*").alias("lines"))
 
 
-@query("export_text", f"with {DOCS} select raw, count(*) as n from docs where contains(raw, '@') group by 1")
+def in_file_order(spark, path: str) -> DataFrame:
+    """The lines of a folder that Spark wrote, numbered by the files' numbers and the rows in them."""
+    lines = L.read_lines(spark, path)
+    return rows.with_place(lines.orderBy(F.regexp_extract("path", r"part-(\d+)", 1).cast("int"), "block_start", "seq").select("raw"))
+
+
+@query("export_text", f"with {DOCS} select cast(row_number() over (order by file_id, line_no) as bigint) as place, raw from docs where contains(raw, '@')")
 def _(spark, d):
     path = scratch_path(spark, "text")
     sinks.export_text(rows.sort_line_no(doc_lines(spark, d).filter(X.filter_text(F.col("raw"), "@"))), path)
-    return spark.read.option("lineSep", "\n").text(path).groupBy(F.col("value").alias("raw")).agg(F.count("*").alias("n"))
+    return in_file_order(spark, path)
 
 
 @query("export_csv", "select case when ok then strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') else '' end as \"Timestamp\", level as \"Level\", coalesce(cast(code as string), '') as \"Code\", message as \"Message\" from kv")
@@ -672,11 +702,11 @@ def _(spark, d):
     return spark.read.options(header=True, quote='"', escape='"', nullValue="\0", emptyValue="").csv(path).na.fill("")
 
 
-@query("export_timeline_tsv", f"with {E}, {_TL} select cast(file_id as string) || '.log' || chr(9) || strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d %H:%M:%S.%g') || chr(9) || case severity when 5 then 'Error' when 4 then 'Warning' when 3 then 'Info' when 2 then 'Debug' else 'Verbose' end || chr(9) || message as line from tl where ts_ms is not null")
+@query("export_timeline_tsv", f"with {E}, {_TL} select cast(file_id as string) || '.log' || chr(9) || strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d %H:%M:%S.%g') || chr(9) || case severity when 5 then 'Error' when 4 then 'Warning' when 3 then 'Info' when 2 then 'Debug' else 'Verbose' end || chr(9) || message as line, cast(row_number() over (order by ts_ms, file_id, line_no) as bigint) as place from tl where ts_ms is not null")
 def _(spark, d):
     path = scratch_path(spark, "tsv")
     sinks.export_timeline_tsv(timeline.timeline_merge(two_tables(spark, d)), path)
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    return in_file_order(spark, path).withColumnRenamed("raw", "line")
 
 
 @noted("export_annotations_csv", "select cast(start_line + 1 as string) as start_line, cast(end_line + 1 as string) as end_line, 'toxic ' || cast(t as string) as note, case when t = 1 then 'true' else 'false' end as orphaned, id is not null as known from nt")
@@ -686,22 +716,42 @@ def _(spark, d):
     return spark.read.options(header=True).csv(path).select("start_line", "end_line", "note", "orphaned", F.lit(True).alias("known"))
 
 
-@noted("write_annotations", "select id, start_line, end_line, 'toxic ' || cast(t as string) as note, t = 1 as orphaned from nt")
-def _(spark, d):
+def doc_identities(spark, d) -> DataFrame:
+    """Identities of the documents as files."""
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id is not null")
+    return docs.select(F.col("doc_id").alias("file_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".log")).alias("name"), F.octet_length(content).cast("bigint").alias("size"), F.sha2(F.substring(content, 1, L.PREFIX), 256).alias("prefix_sha256"), F.least(F.octet_length(content), F.lit(L.PREFIX)).alias("prefix_length"))
+
+
+def written_sidecars(spark, d) -> str:
     path = scratch_path(spark, "sidecars")
-    uuid = F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col("file_id").cast("string"), 12, "0"))
-    sinks.write_annotations(label_notes(spark, d).withColumn("id", uuid), path)
-    read, _ = notes_source.read_annotations(spark, path)
-    return read.select(F.concat(F.lit("n"), F.right("id", F.lit(12)).cast("bigint").cast("string")).alias("id"), "start_line", "end_line", "note", "orphaned")
+    uuid = F.concat(F.lit("00000000-0000-0000-0001-"), F.lpad(F.col("file_id").cast("string"), 12, "0"))
+    sinks.write_annotations(label_notes(spark, d).withColumn("id", uuid), doc_identities(spark, d), path)
+    return path
+
+
+@noted("write_annotations", "select id, start_line, end_line, 'toxic ' || cast(t as string) as note, sha256(encode(raw)[1:256]) as anchor_hash, left(raw, 80) as snippet, 1700000000 + file_id as seconds from nt")
+def _(spark, d):
+    read, _, _ = notes_source.read_annotations(spark, written_sidecars(spark, d))
+    return read.select(F.concat(F.lit("n"), F.right("id", F.lit(12)).cast("bigint").cast("string")).alias("id"), "start_line", "end_line", "note", "anchor_hash", "snippet", F.unix_seconds("modified_at").alias("seconds"))
+
+
+@noted("sidecar_identity", "select doc_id as file_id, cast(doc_id as string) || '.log' as name, cast(octet_length(encode(coalesce(text, ''))) as bigint) as size, cast(least(octet_length(encode(coalesce(text, ''))), 65536) as int) as prefix_length, sha256(encode(coalesce(text, ''))[1:65536]) as prefix_sha256 from documents where doc_id is not null")
+def _(spark, d):
+    """The identity that each sidecar keeps, of files with and without notes."""
+    _, _, files = notes_source.read_annotations(spark, written_sidecars(spark, d))
+    return files.select(F.regexp_extract("path", r"file_id=(\d+)", 1).cast("bigint").alias("file_id"), "name", "size", "prefix_length", "prefix_sha256")
 
 
-@query("read_annotations", "select reason, count(*) as n from (select case event_id % 6 when 0 then 'not an object' when 1 then 'bad id' when 2 then 'bad range' when 3 then 'missing note' when 4 then 'missing anchor' else 'ok' end as reason from e) group by 1")
+@query("read_annotations", "select reason, count(*) as n from (select case event_id % 9 when 0 then 'not an object' when 1 then 'missing or invalid id' when 2 then 'invalid line range' when 3 then 'missing note' when 4 then 'missing anchor' when 5 then 'unsupported version' when 6 then 'invalid JSON' else 'ok' end as reason from e) group by 1")
 def _(spark, d):
-    good = '{"id":"00000000-0000-0000-0000-000000000001","startLine":1,"endLine":2,"note":"n","anchorHash":"h"}'
-    broken = ["7", good.replace("00000000-", "x-", 1), good.replace(":2", ":0"), good.replace('"n"', '""'), good.replace('"h"', '""'), good]
-    entry = F.element_at(F.array(*map(F.lit, broken)), (F.col("event_id") % 6 + 1).cast("int"))
-    sidecar = R.events(spark, d).select(F.col("eid").alias("path"), F.concat(F.lit('{"version":1,"annotations":['), entry, F.lit("]}")).alias("value"))
-    found, rejected = notes_source.parse_annotations(sidecar)
+    """Sidecars of one entry, broken in one way each; an empty note is none of them."""
+    good = '{"id":"{00000000-0000-0000-0000-000000000001}","startLine":1,"endLine":2,"note":"n","anchor":{"lineSha256":"h","snippet":"s"}}'
+    entries = ["7", good.replace("{00000000-", "{x-", 1), good.replace(":2", ":0"), good.replace('"note":"n",', ""), good.replace('"h"', '""'), good, good, good, good.replace('"n"', '""')]
+    whole = ['{"version":1,"annotations":[' + e + "]}" for e in entries]
+    whole[5], whole[6] = whole[5].replace(":1", ":2", 1), whole[6][:-1]
+    sidecar = F.element_at(F.array(*map(F.lit, whole)), (F.col("event_id") % 9 + 1).cast("int"))
+    found, rejected, _ = notes_source.parse_annotations(R.events(spark, d).select(F.col("eid").alias("path"), sidecar.alias("value")))
     return rejected.select("reason").unionByName(found.select(F.lit("ok").alias("reason"))).groupBy("reason").agg(F.count("*").alias("n"))
 
 
