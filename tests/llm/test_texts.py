@@ -73,6 +73,32 @@ def smith_waterman(a, b):
     return table.max()
 
 
+def test_recall_by_length_of_item(spark, make_docs):
+    """Copies with 30 % of the words replaced at random, one word put in or taken out, or every third word replaced."""
+    rng = random.Random(25)
+    lengths = [3, 4, 5, 6, 8, 12, 20, 60]
+    items, rows, due = [], [(i, prose(rng, 200, 9000)) for i in range(20)], {}
+    for n in lengths:
+        for k in range(40):
+            w = prose(rng, n, 9000).split()
+            items.append((len(items), " ".join(w)))
+            copy = list(w)
+            if k % 4 == 1 and n > 5:
+                copy.insert(rng.randrange(1, n), "put")
+            if k % 4 == 2 and n > 5:
+                del copy[rng.randrange(n)]
+            for j in range(2, len(copy), 3) if k % 4 == 3 else rng.sample(range(len(copy)), max(1, round(0.3 * len(copy)))):
+                copy[j] = f"other{j}"
+            text = f"{prose(rng, 20, 9000)} {' '.join(copy)} {prose(rng, 20, 9000)}"
+            rows.append((1000 + len(items), text))
+            if smith_waterman(w, text.split()) >= 0.5 * n:
+                due[1000 + len(items)] = n
+    got = {r["doc_id"]: r["contaminated"] for r in contamination(make_docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = {n: sum(got[d] for d, m in due.items() if m == n) / max(1, sum(m == n for m in due.values())) for n in lengths}
+    print("recall", recall, "due", Counter(due.values()))
+    assert min(recall.values()) >= 0.9 and recall[60] == 1
+
+
 def test_alignment():
     rng = random.Random(3)
     for _ in range(60):

@@ -1,12 +1,15 @@
-"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman scores them.
-
-Words are lower-cased (A-Z) runs of letters and digits. All n-grams of a test item are its seeds, however frequent:
-which of them an edited copy keeps is not known before. A filter of fixed size finds the places of documents that
-may hold a seed; an equi-join on the n-gram confirms them. Around the seeds, as far as an item can reach, the
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores them.
+
+Words are lower-cased (A-Z) runs of letters and digits. Seeds are three words, so that they are rare, in the shapes of
+SHAPES: in a row, or with one or two words left out in between. Where two words of three are kept, some four in a row
+hold three of them, so a copy with every third word replaced still has a seed, which it need not have of three words in a row.
+Which words a seed has counts, not its shape: a word put in or taken out makes one shape of another. Items of three
+words have pairs as seeds. All seeds of an item count, however frequent: which of them an edited copy keeps is not known
+before. A filter of fixed size finds the places of documents that may hold a seed; an equi-join on it confirms them. Around the seeds, as far as an item can reach, the
 words of the document are aligned with those of the item; the score is the best local alignment's, as a share of the
 item's own.
 
-Defined results: null and empty texts score 0; items with fewer than SEED_WORDS words hold no seed and match nothing;
+Defined results: null and empty texts score 0; items with one or two words hold no seed and match nothing;
 repeated items count once each; repeated documents each get a row. ``item_id`` is the best item, ties to the
 smaller id; it is null where no item shares a seed. Columns other than the ids and texts are not used.
 """
@@ -23,13 +26,31 @@ from pyspark.sql import DataFrame
 from tidelog.llm import words
 from tidelog.llm.common import fresh, placed, stored
 
-SEED_WORDS = 3
+#: Places of a seed's words, counted from its first one; pairs are the seeds of items of three words.
+SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 3, 4))
+PAIRS = ((0, 1), (0, 2))
 #: Alignment: what a pair of equal words adds, what others and gaps cost; share of an item's own score to report.
 MATCH, MISMATCH, GAP, MIN_SCORE = 1.0, 0.5, 0.5, 0.5
 #: Item words after which the words of a document around a seed are no longer an item's.
 REACH = 1.5
 
 
+def seeds_of(h: np.ndarray, owner: np.ndarray, shapes: tuple[tuple[int, ...], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first word, hash of its words) of every seed of texts, by place."""
+    places, seeds = [], []
+    for shape in shapes:
+        m = max(len(h) - shape[-1], 0)
+        whole = np.flatnonzero(owner[:m] == owner[len(h) - m :])
+        seed = np.full(len(whole), len(shape), np.uint64)
+        for step in shape:
+            seed = seed * words._STEP + h[whole + step]
+        places.append(whole)
+        seeds.append(words.mixed(seed))
+    place, seed = np.concatenate(places), np.concatenate(seeds)
+    order = np.argsort(place, kind="stable")
+    return place[order], seed[order]
+
+
 def item_words(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """``item`` (row number), ``item_id``, ``words`` and n-gram hashes ``grams`` of each test item."""
 
@@ -37,8 +58,12 @@ def item_words(benchmark: DataFrame, item: str = "item_id", text: str = "text")
         for batch in batches:
             for part, data, offsets in words.slices(batch, "text"):
                 h, owner = words.word_hashes(data, offsets, words.PUNCTUATION)
-                grams, of = words.ngram_hashes(h, owner, SEED_WORDS)
                 count = np.arange(part.num_rows + 1)
+                size = np.diff(np.searchsorted(owner, count))
+                (at, grams), (pair_at, pairs) = seeds_of(h, owner, SHAPES), seeds_of(h, owner, PAIRS)
+                tiny = size[owner[pair_at]] == 3
+                grams, of = np.concatenate([grams, pairs[tiny]]), np.concatenate([owner[at], owner[pair_at[tiny]]])
+                grams, of = grams[order := np.argsort(of, kind="stable")], of[order]
                 lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(o, count).astype(np.int32)), pa.array(x.view(np.int64))) for x, o in ((h, owner), (grams, of))]
                 yield pa.RecordBatch.from_arrays([part.column("item"), part.column("item_id"), *lists], ["item", "item_id", "words", "grams"])
 
@@ -68,22 +93,26 @@ def item_seeds(items: DataFrame) -> DataFrame:
     return items.select("item", F.explode(F.array_distinct("grams")).alias("gram"))
 
 
-def passages(docs: DataFrame, keep: words.HashFilter, reach: int) -> DataFrame:
+def passages(docs: DataFrame, keep: words.HashFilter, reach: int, shapes: tuple[tuple[int, ...], ...]) -> DataFrame:
     """Per document with a possible seed: ``row``, ``part`` number, ``words`` around seeds and the ``grams``."""
+    span = 1 + max(shape[-1] for shape in shapes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in words.slices(batch, "text"):
                 h, owner = words.word_hashes(data, offsets, words.PUNCTUATION)
-                m = max(len(h) - SEED_WORDS + 1, 0)
-                grams = np.zeros(m, np.uint64)
-                whole = owner[:m] == owner[len(h) - m :]
-                grams[whole] = words.ngram_hashes(h, owner, SEED_WORDS)[0]
-                hits = np.flatnonzero(whole & keep.passing(grams))
+                found = []
+                for shape in shapes:  # one at a time: few seeds of a shape pass
+                    place, seed = seeds_of(h, owner, (shape,))
+                    some = np.flatnonzero(keep.passing(seed))
+                    found.append((place[some], seed[some]))
+                hits, grams = (np.concatenate(x) for x in zip(*found, strict=True))
                 if not len(hits):
                     continue
+                order = np.argsort(hits, kind="stable")
+                hits, grams = hits[order], grams[order]
                 bounds = np.searchsorted(owner, [owner[hits], owner[hits] + 1])
-                first, last = np.maximum(hits - reach, bounds[0]), np.minimum(hits + SEED_WORDS + reach, bounds[1])
+                first, last = np.maximum(hits - reach, bounds[0]), np.minimum(hits + span + reach, bounds[1])
                 new = np.concatenate([[True], (first[1:] > last[:-1]) | (owner[hits[1:]] != owner[hits[:-1]])])
                 group = np.flatnonzero(new)
                 ends = last[np.concatenate([group[1:] - 1, [len(hits) - 1]])]
@@ -93,7 +122,7 @@ def passages(docs: DataFrame, keep: words.HashFilter, reach: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     ids, pa.array(first[group].astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(taken).view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.append(group, len(hits)).astype(np.int32)), pa.array(grams[hits].view(np.int64)))], ["row", "part", "words", "grams"])
+                    pa.ListArray.from_arrays(pa.array(np.append(group, len(hits)).astype(np.int32)), pa.array(grams.view(np.int64)))], ["row", "part", "words", "grams"])
 
     return docs.select("row", "text").mapInArrow(rows, "row long, part long, words array<long>, grams array<long>")
 
@@ -121,8 +150,8 @@ def best_items(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``row``, ``item_id`` and ``score`` of the rows (``row``, ``text``) that share a seed with an item."""
     items = stored(item_words(benchmark), "items")
     seeds = stored(item_seeds(items), "seeds")
-    longest = items.agg(F.max(F.size("words"))).first()[0] or 0
-    found = stored(passages(rows, seed_filter(seeds), int(REACH * longest)), "passages")
+    longest, tiny = items.agg(F.max(F.size("words")), F.count_if(F.size("words") == 3)).first()
+    found = stored(passages(rows, seed_filter(seeds), int(REACH * (longest or 0)), SHAPES + PAIRS if tiny else SHAPES), "passages")
     hits = found.select("row", "part", F.explode("grams").alias("gram")).join(seeds, "gram").select("row", "part", "item").distinct()
     # the words of a passage and of an item meet once per pair that shares a seed
     pairs = hits.join(found.select("row", "part", "words"), ["row", "part"]).join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
