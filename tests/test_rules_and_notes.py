@@ -99,3 +99,24 @@ def test_spans_know_times_since_boot(spark):
     told = agg.time_span(P.parse(make([(1, "ts=2024-01-01T00:00:01Z level=info msg=a"), (2, "ts=2024-01-01T00:00:02Z level=info msg=b"), (3, "nothing")]), "keyvalue")).collect()
     assert sorted(tuple(r) for r in told) == [(1, 1704067201000, 1704067201000, False), (2, 1704067202000, 1704067202000, False), (3, None, None, False)]
     assert [tuple(r) for r in agg.time_span(P.parse(make([(1, "x")]), "plaintext")).collect()] == [(1, None, None, False)]
+
+
+@pytest.mark.parametrize("fmt", ["keyvalue", "logcat", "clf", "jsonlines", "docker", "gelf", "plaintext", "csv"])
+def test_narrow_parses_equal_whole_ones(spark, fmt):
+    texts = ["ts=2024-01-01T00:00:01Z level=info msg=a", "01-02 03:04:05.678 1234 5678 W Tag: died", '{"ts":"2024-01-01T00:00:00Z","level":"warn","msg":"m"}', '1.1.1.1 - - [10/Oct/2000:13:55:36 -0700] "GET / HTTP/1.0" 200 1', "a,b", ""]
+    lines = spark.createDataFrame([(1, "f", i, t) for i, t in enumerate(texts)], LINES)
+    whole = P.parse(lines, fmt, **({"reference": F.lit("2024-06-01").cast("timestamp")} if fmt == "logcat" else {}))
+    for c in [c for c in whole.columns if c not in lines.columns]:
+        narrow = P.parse(lines, fmt, columns=[c], **({"reference": F.lit("2024-06-01").cast("timestamp")} if fmt == "logcat" else {}))
+        assert narrow.schema[c] == whole.schema[c]
+        assert [r[c] for r in narrow.orderBy("line_no").collect()] == [r[c] for r in whole.orderBy("line_no").collect()]
+
+
+def test_what_is_not_wanted_is_not_planned(spark):
+    lines = spark.createDataFrame([(1, "f", 0, "x")], LINES)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    message, level, none = (plan(P.extract(lines, "keyvalue", *c, with_severity=s)) for c, s in ((("Message",), False), ((), True), ((), False)))
+    assert "timestamp" not in message.lower() and "regexp_replace" in message and "severity" not in message
+    assert "timestamp" not in level.lower() and "severity" in level
+    assert "regexp" not in none and "inline" not in none
+    assert "timestamp" in plan(P.extract(lines, "keyvalue", "ts_ms")).lower()

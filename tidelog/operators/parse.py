@@ -106,8 +106,11 @@ def _typed(value: Column, f: Field) -> Column:
 
 
 def events(lines: DataFrame, fmt: str, fields: Sequence[Field], values: dict[str, Column], ok: Column, severity: Column | None = None,
-           zone: str = "UTC", reference: Column | None = None) -> DataFrame:
-    """The common contract of all jobs, of the values of a matching line."""
+           zone: str = "UTC", reference: Column | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """The common contract of all jobs, of the values of a matching line.
+
+    With ``columns``, only those of the made columns are made: what a row's barrier holds is computed, wanted or not.
+    """
     message = next((f.name for f in fields if f.hint == "message"), fields[-1].name)
     ok = F.coalesce(ok, F.lit(False))
     filled = {f.name: F.when(F.col("_ok"), F.coalesce(values[f.name], F.lit(""))).otherwise(F.col("raw") if f.name == message else F.lit("")) for f in fields}
@@ -116,11 +119,16 @@ def events(lines: DataFrame, fmt: str, fields: Sequence[Field], values: dict[str
     keys = [c for c in lines.columns if c.lower() not in made]
     level = (F.when(F.col("_ok"), severity).otherwise(F.lit(0)) if severity is not None else F.lit(0)).cast("tinyint")
     ms = normalize_time(filled[time.name], time.time_format, zone, reference) if time else F.lit(None).cast("bigint")
-    made = {"_ok": F.col("_ok"), "severity": level, "ts_ms": ms} | {f"_v{i}": v for i, v in enumerate(filled.values())}
+    all_columns = ["format", "ok", "severity", "ts_text", "ts_ms", *(shown(f.name) for f in fields)]
+    wanted = {c.lower() for c in all_columns if columns is None or c.lower() in {x.lower() for x in columns}}
+    needed = lambda f: shown(f.name).lower() in wanted or (f is time and "ts_text" in wanted)
+    made = {"_ok": F.col("_ok"), "severity": level, "ts_ms": ms}
+    made = {k: v for k, v in made.items() if k == "_ok" or k in wanted} | {f"_v{i}": filled[f.name] for i, f in enumerate(fields) if needed(f)}
     rows = once(lines.withColumn("_ok", ok), keys, made)
     place = {f.name: F.col(f"_v{i}") for i, f in enumerate(fields)}
     text = place[time.name] if time else F.lit("")
-    return rows.select(*keys, F.lit(fmt).alias("format"), F.col("_ok").alias("ok"), "severity", text.alias("ts_text"), "ts_ms", *[_typed(place[f.name], f) for f in fields])
+    out = {"format": F.lit(fmt).alias("format"), "ok": F.col("_ok").alias("ok"), "severity": F.col("severity"), "ts_text": text.alias("ts_text"), "ts_ms": F.col("ts_ms")}
+    return rows.select(*keys, *[v for k, v in out.items() if k in wanted], *[_typed(place[f.name], f) for f in fields if shown(f.name).lower() in wanted])
 
 
 def once(df: DataFrame, keep: Sequence[str], made: dict[str, Column]) -> DataFrame:
@@ -136,7 +144,7 @@ def captured(lines: DataFrame, pattern: str, numbers: Sequence[int]) -> DataFram
     return once(lines, lines.columns, {"_parts": groups(F.col("raw"), pattern, numbers)})
 
 
-def parse_spec(lines: DataFrame, spec: Spec, zone: str = "UTC", reference: Column | None = None) -> DataFrame:
+def parse_spec(lines: DataFrame, spec: Spec, zone: str = "UTC", reference: Column | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """Run a declared format."""
     numbers = group_numbers(spec.pattern)
     wanted = list(dict.fromkeys([*(f.capture for f in spec.fields), *([spec.severity[0]] if spec.severity else [])]))
@@ -146,7 +154,7 @@ def parse_spec(lines: DataFrame, spec: Spec, zone: str = "UTC", reference: Colum
     if spec.severity:
         source, names, default = spec.severity
         severity = sev.lookup(F.lower(capture(source)), {k: sev.NAMES.index(v) for k, v in names.items()}, sev.NAMES.index(default))
-    return events(lines, spec.id, spec.fields, {f.name: capture(f.capture) for f in spec.fields}, found(F.col("_parts"), len(wanted)), severity, zone, reference).drop("_parts")
+    return events(lines, spec.id, spec.fields, {f.name: capture(f.capture) for f in spec.fields}, found(F.col("_parts"), len(wanted)), severity, zone, reference, columns).drop("_parts")
 
 
 def pattern_spec(pattern: str, name: str = "pattern") -> Spec:
@@ -199,11 +207,11 @@ W3C_INTEGERS = ("sc-status", "sc-substatus", "sc-win32-status", "sc-bytes", "cs-
 W3C_IDENTIFIERS = ("c-ip", "s-ip", "cs-username", "s-computername", "s-sitename")
 
 
-def parse_plaintext(lines: DataFrame) -> DataFrame:
-    return events(lines, "plaintext", (Field("Log", "", "string", "message"),), {"Log": F.col("raw")}, F.lit(True))
+def parse_plaintext(lines: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    return events(lines, "plaintext", (Field("Log", "", "string", "message"),), {"Log": F.col("raw")}, F.lit(True), columns=columns)
 
 
-def parse_logcat(lines: DataFrame, zone: str = "UTC", reference: Column | None = None) -> DataFrame:
+def parse_logcat(lines: DataFrame, zone: str = "UTC", reference: Column | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """The seven variants, first match first; tags are trimmed."""
     names, n = [f.name for f in LOGCAT_FIELDS], len(LOGCAT_FIELDS)
     tries = [let(groups(F.col("raw"), pattern, numbers), lambda p: F.when(found(p, n), p)) for pattern, numbers in LOGCAT]
@@ -211,10 +219,10 @@ def parse_logcat(lines: DataFrame, zone: str = "UTC", reference: Column | None =
     hit = lambda k: F.get("_parts", F.lit(k + 1))
     level = sev.lookup(hit(3), {"V": 1, "D": 2, "I": 3, "W": 4, "E": 5, "F": 6}, 0)
     values = {name: hit(k) for k, name in enumerate(names)} | {"Level": sev.display_name(level), "Tag": F.trim(hit(4))}
-    return events(lines, "logcat", LOGCAT_FIELDS, values, F.col("_parts").isNotNull(), level, zone, reference).drop("_parts")
+    return events(lines, "logcat", LOGCAT_FIELDS, values, F.col("_parts").isNotNull(), level, zone, reference, columns).drop("_parts")
 
 
-def parse_clf(lines: DataFrame) -> DataFrame:
+def parse_clf(lines: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Common and combined access logs; the time's offset is honoured, ``-`` bytes count 0."""
     lines = captured(lines, CLF, range(1, 8))
     group = lambda i: F.get("_parts", F.lit(i))
@@ -224,7 +232,7 @@ def parse_clf(lines: DataFrame) -> DataFrame:
         "Remote Host": group(1), "Identity": group(2), "User ID": group(3), "Timestamp": group(4), "Method": request(0), "Path": request(1),
         "Protocol": request(2), "Status": group(6), "Bytes": F.when(group(7) == "-", "0").otherwise(group(7)),
     }
-    return events(lines, "clf", CLF_FIELDS, values, found(F.col("_parts"), 7)).drop("_parts")
+    return events(lines, "clf", CLF_FIELDS, values, found(F.col("_parts"), 7), columns=columns).drop("_parts")
 
 
 def json_text(value: Column) -> Column:
@@ -247,7 +255,7 @@ def _with_keys(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_keys", F.when(is_object, F.json_object_keys("raw")))
 
 
-def parse_jsonlines(lines: DataFrame) -> DataFrame:
+def parse_jsonlines(lines: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """A JSON object per line; the first alias that is present gives a field, present nulls are empty."""
     rows = _with_keys(lines).withColumns({f"_{k}": _json_first(v) for k, v in JSON_KEYS.items()})
     stamp = F.col("_Timestamp")
@@ -261,24 +269,24 @@ def parse_jsonlines(lines: DataFrame) -> DataFrame:
     level = F.when(F.col("_Level").isNotNull(), level).otherwise(0)
     fields = (Field("Timestamp", "", "datetime", "timestamp", ""), Field("Level", "", "string", "severityname"), Field("Source", "", "string", "identifier"), Field("Message", "", "string", "message"))
     values = {"Timestamp": time, "Level": F.when(level > 0, sev.display_name(level)).otherwise(F.col("_Level.text")), "Source": F.col("_Source.text"), "Message": F.when(F.col("_Message").isNull(), F.col("raw")).otherwise(F.col("_Message.text"))}
-    return events(rows, "jsonlines", fields, values, F.col("_keys").isNotNull(), level).drop("_keys", *[f"_{k}" for k in JSON_KEYS])
+    return events(rows, "jsonlines", fields, values, F.col("_keys").isNotNull(), level, columns=columns).drop("_keys", *[f"_{k}" for k in JSON_KEYS])
 
 
 def _is_string(key: str) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json("raw"), f"$.{key}", "variant")) == "STRING", F.lit(False))
 
 
-def parse_docker(lines: DataFrame) -> DataFrame:
+def parse_docker(lines: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Container logs: string ``log``, ``stream`` and ``time``; one line end is cut off the message."""
     rows = _with_keys(lines)
     get = lambda k: F.get_json_object("raw", f"$.{k}")
     fields = (Field("Time", "", "datetime", "timestamp", "iso8601"), Field("Stream", "", "string", "identifier"), Field("Message", "", "string", "message"))
     values = {"Time": get("time"), "Stream": get("stream"), "Message": F.regexp_replace(get("log"), r"(?:\r\n|\n|\r)\z", "")}
     ok = F.col("_keys").isNotNull() & _is_string("log") & _is_string("stream") & _is_string("time")
-    return events(rows, "docker", fields, values, ok).drop("_keys")
+    return events(rows, "docker", fields, values, ok, columns=columns).drop("_keys")
 
 
-def parse_gelf(lines: DataFrame) -> DataFrame:
+def parse_gelf(lines: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """GELF: version, host and a string short_message; extra fields as compact JSON with sorted keys."""
     rows = _with_keys(lines)
     get = lambda k: json_text(F.get_json_object("raw", f"$.{k}"))
@@ -290,7 +298,7 @@ def parse_gelf(lines: DataFrame) -> DataFrame:
     ordered = F.map_from_entries(F.transform(F.array_sort(F.map_keys(extra)), lambda k: F.struct(k.alias("key"), extra[k].alias("value"))))
     fields = (Field("Timestamp", "", "datetime", "timestamp", "epoch-s"), Field("Level", "", "string", "severityname"), Field("Host", "", "string", "identifier"), Field("Message", "", "string", "message"), Field("Extra"))
     values = {"Timestamp": get("timestamp"), "Level": F.when(level > 0, sev.display_name(level)).otherwise(get("level")), "Host": get("host"), "Message": F.get_json_object("raw", "$.short_message"), "Extra": F.when(F.size(extra) > 0, F.to_json(ordered)).otherwise("")}
-    return events(rows, "gelf", fields, values, has("version") & has("host") & _is_string("short_message"), level).drop("_keys")
+    return events(rows, "gelf", fields, values, has("version") & has("host") & _is_string("short_message"), level, columns=columns).drop("_keys")
 
 
 def unique_names(names: Column) -> Column:
@@ -451,10 +459,16 @@ def parse_netlog(lines: DataFrame) -> DataFrame:
 
 
 def extract_columns(parsed: DataFrame, *columns: str, with_severity: bool = False) -> DataFrame:
-    """Key columns and the wanted ones; what nothing wants is never computed."""
+    """Key columns and the wanted ones of parsed rows; of a kept extraction nothing else is read."""
     return parsed.select("file_id", "line_no", *(["severity"] if with_severity else []), *[f"`{c}`" for c in columns])
 
 
+def extract(lines: DataFrame, fmt: str, *columns: str, with_severity: bool = False, **options) -> DataFrame:
+    """``extract_columns`` of raw lines; what nothing wants is not computed."""
+    wanted = [*columns, *(["severity"] if with_severity else [])]
+    return extract_columns(parse(lines, fmt, columns=wanted, **options), *columns, with_severity=with_severity)
+
+
 def data_lines_only(lines: DataFrame, fmt: str) -> DataFrame:
     """Without a CSV header, ``#`` directives or a capture's wrapper lines."""
     wrapper = F.rlike("raw", F.lit(r'^\s*(\{"constants"|"events"\s*:|\]|\})'))
@@ -468,6 +482,14 @@ PARSERS = {
 }
 
 
-def parse(lines: DataFrame, fmt: str, **options) -> DataFrame:
-    """Run the job of a format by name."""
+#: Jobs that take their columns from the files' headers; they make all of them.
+BY_HEADER = ("csv", "w3c", "netlog")
+
+
+def parse(lines: DataFrame, fmt: str, columns: Sequence[str] | None = None, **options) -> DataFrame:
+    """Run the job of a format by name. With ``columns``, only those of its columns are made, and none runs no pattern."""
+    if columns is not None and not columns:
+        return lines
+    if columns is not None and fmt not in BY_HEADER:
+        options["columns"] = columns
     return PARSERS[fmt](lines, **options) if fmt in PARSERS else parse_spec(lines, builtin_spec(fmt), **options)
