@@ -16,6 +16,7 @@ CHECKED = [
     "normalize_time", "assume_zone", "detect_time_format", "detect_format", "filter_text", "bool_combine", "time_cmp", "context_lines", "sort_desc", "histogram_auto",
     "histogram_range", "timeline_merge", "first_rows_at_times", "grep_truncated", "geo_points", "reanchor", "merge_annotations", "annotation_report", "line_numbers",
     "parse_spec", "spec_rules", "parse_pattern", "grep", "grep_errors", "make_anchor", "file_identity", "sort_int", "histogram_multi", "timeline_view", "read_gzip", "write_annotations", "stream_histogram", "stream_timeline",
+    "severity_cmp", "at_time_range", "kept_extraction", "highlight_table", "time_span", "line_offsets", "match_identity", "grep_sound", "stream_lines", "follow_folder", "sidecar_identity", "read_annotations", "annotate_runs", "export_text", "splice",
 ]
 
 
