@@ -1,11 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores them.
 
-Words are lower-cased (A-Z) runs of letters and digits. Seeds are three words, so that they are rare, in the shapes of
-SHAPES: in a row, or with one or two words left out in between. Where two words of three are kept, some four in a row
-hold three of them, so a copy with every third word replaced still has a seed, which it need not have of three words in a row.
-Which words a seed has counts, not its shape: a word put in or taken out makes one shape of another. Items of three
-words have pairs as seeds. All seeds of an item count, however frequent: which of them an edited copy keeps is not known
-before. A filter of fixed size finds the places of documents that may hold a seed; an equi-join on it confirms them. Around the seeds, as far as an item can reach, the
+Words are lower-cased (A-Z) runs of letters and digits. Seeds are rare n-grams: of an item of more than SHORT words every
+three words in a row, and every four in the shape two, one left out, two, which a copy with each third word replaced
+still has. Of a shorter item, where a few edits leave little, they are three words in any of five shapes, whatever shape
+they have in the document: a word put in or taken out makes one shape of another. Items of three words have
+pairs. All seeds of an item count, however frequent: which of them an edited copy keeps is not known before. A filter of fixed size finds the places of documents that may hold a seed; an equi-join on it confirms them. Around the seeds, as far as an item can reach, the
 words of the document are aligned with those of the item; the score is the best local alignment's, as a share of the
 item's own.
 
@@ -26,22 +25,26 @@ from pyspark.sql import DataFrame
 from tidelog.llm import words
 from tidelog.llm.common import fresh, placed, stored
 
-#: Places of a seed's words, counted from its first one; pairs are the seeds of items of three words.
-SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 3, 4))
+#: Places of a seed's words, counted from its first one, for long items, for those of SHORT words or less, and for those of
+#: three words. Seeds of short items are told apart by their salt.
+SHORT = 10
+LONG_SHAPES = ((0, 1, 2), (0, 1, 3, 4))
+SHORT_SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 3, 4))
 PAIRS = ((0, 1), (0, 2))
+SALT = 1000
 #: Alignment: what a pair of equal words adds, what others and gaps cost; share of an item's own score to report.
 MATCH, MISMATCH, GAP, MIN_SCORE = 1.0, 0.5, 0.5, 0.5
 #: Item words after which the words of a document around a seed are no longer an item's.
 REACH = 1.5
 
 
-def seeds_of(h: np.ndarray, owner: np.ndarray, shapes: tuple[tuple[int, ...], ...]) -> tuple[np.ndarray, np.ndarray]:
+def seeds_of(h: np.ndarray, owner: np.ndarray, shapes: tuple[tuple[int, ...], ...], salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(place of the first word, hash of its words) of every seed of texts, by place."""
     places, seeds = [], []
     for shape in shapes:
         m = max(len(h) - shape[-1], 0)
         whole = np.flatnonzero(owner[:m] == owner[len(h) - m :])
-        seed = np.full(len(whole), len(shape), np.uint64)
+        seed = np.full(len(whole), len(shape) + salt, np.uint64)
         for step in shape:
             seed = seed * words._STEP + h[whole + step]
         places.append(whole)
@@ -60,9 +63,12 @@ def item_words(benchmark: DataFrame, item: str = "item_id", text: str = "text")
                 h, owner = words.word_hashes(data, offsets, words.PUNCTUATION)
                 count = np.arange(part.num_rows + 1)
                 size = np.diff(np.searchsorted(owner, count))
-                (at, grams), (pair_at, pairs) = seeds_of(h, owner, SHAPES), seeds_of(h, owner, PAIRS)
-                tiny = size[owner[pair_at]] == 3
-                grams, of = np.concatenate([grams, pairs[tiny]]), np.concatenate([owner[at], owner[pair_at[tiny]]])
+                found = []
+                for shapes, salt, fits in ((LONG_SHAPES, 0, size > SHORT), (SHORT_SHAPES, SALT, size <= SHORT), (PAIRS, SALT, size == 3)):
+                    at, seed = seeds_of(h, owner, shapes, salt)
+                    own = fits[owner[at]]
+                    found.append((seed[own], owner[at[own]]))
+                grams, of = (np.concatenate(x) for x in zip(*found, strict=True))
                 grams, of = grams[order := np.argsort(of, kind="stable")], of[order]
                 lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(o, count).astype(np.int32)), pa.array(x.view(np.int64))) for x, o in ((h, owner), (grams, of))]
                 yield pa.RecordBatch.from_arrays([part.column("item"), part.column("item_id"), *lists], ["item", "item_id", "words", "grams"])
@@ -93,17 +99,17 @@ def item_seeds(items: DataFrame) -> DataFrame:
     return items.select("item", F.explode(F.array_distinct("grams")).alias("gram"))
 
 
-def passages(docs: DataFrame, keep: words.HashFilter, reach: int, shapes: tuple[tuple[int, ...], ...]) -> DataFrame:
+def passages(docs: DataFrame, keep: words.HashFilter, reach: int, shapes: list[tuple[tuple[int, ...], int]]) -> DataFrame:
     """Per document with a possible seed: ``row``, ``part`` number, ``words`` around seeds and the ``grams``."""
-    span = 1 + max(shape[-1] for shape in shapes)
+    span = 1 + max(shape[-1] for shape, _ in shapes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in words.slices(batch, "text"):
                 h, owner = words.word_hashes(data, offsets, words.PUNCTUATION)
                 found = []
-                for shape in shapes:  # one at a time: few seeds of a shape pass
-                    place, seed = seeds_of(h, owner, (shape,))
+                for shape, salt in shapes:  # one at a time: few seeds of a shape pass
+                    place, seed = seeds_of(h, owner, (shape,), salt)
                     some = np.flatnonzero(keep.passing(seed))
                     found.append((place[some], seed[some]))
                 hits, grams = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -150,8 +156,10 @@ def best_items(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``row``, ``item_id`` and ``score`` of the rows (``row``, ``text``) that share a seed with an item."""
     items = stored(item_words(benchmark), "items")
     seeds = stored(item_seeds(items), "seeds")
-    longest, tiny = items.agg(F.max(F.size("words")), F.count_if(F.size("words") == 3)).first()
-    found = stored(passages(rows, seed_filter(seeds), int(REACH * (longest or 0)), SHAPES + PAIRS if tiny else SHAPES), "passages")
+    n = F.size("words")
+    longest, short, tiny = items.agg(F.max(n), F.count_if(n.between(3, SHORT)), F.count_if(n == 3)).first()
+    shapes = [*((x, 0) for x in LONG_SHAPES), *((x, SALT) for x in SHORT_SHAPES if short), *((x, SALT) for x in PAIRS if tiny)]
+    found = stored(passages(rows, seed_filter(seeds), int(REACH * (longest or 0)), shapes), "passages")
     hits = found.select("row", "part", F.explode("grams").alias("gram")).join(seeds, "gram").select("row", "part", "item").distinct()
     # the words of a passage and of an item meet once per pair that shares a seed
     pairs = hits.join(found.select("row", "part", "words"), ["row", "part"]).join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
