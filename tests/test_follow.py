@@ -175,6 +175,28 @@ def test_segments_numbered_on(spark, tmp_path):
     assert got == [("a", 0, 0, "x"), ("a", 1, 2, "yy"), ("a", 2, 5, "z"), ("a", 3, 7, ""), ("a", 4, 8, "w"), ("b", 0, 0, "q"), ("c", 0, 0, "c")]
 
 
+def test_a_look_that_broke_off(spark, tmp_path, monkeypatch):
+    """A look that wrote its load but no registry, and files that changed before it was repeated."""
+    folder, table = tmp_path / "logs", str(tmp_path / "table")
+    folder.mkdir()
+    (folder / "a").write_text(KV.format(1, 1, 1, 1) + "\n")
+    parse = lambda lines: P.parse(lines, "keyvalue")
+    whole = follow.stored
+
+    def broken(df, name):
+        if name == "registry":
+            raise RuntimeError("lost")
+        return whole(df, name)
+
+    monkeypatch.setattr(follow, "stored", broken)
+    with pytest.raises(RuntimeError):
+        follow.look(spark, str(folder), table, parse, 0)
+    monkeypatch.undo()
+    (folder / "a").write_text("".join(KV.format(n, n, n, n) + "\n" for n in (1, 2, 3)))
+    follow.look(spark, str(folder), table, parse, 0)
+    assert sorted(r["Code"] for r in follow.followed(spark, table).collect()) == [1, 2, 3]
+
+
 def test_a_followed_folder(spark, tmp_path):
     folder, table = tmp_path / "logs", str(tmp_path / "table")
     folder.mkdir()

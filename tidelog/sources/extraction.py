@@ -53,9 +53,13 @@ def with_day(events: DataFrame) -> DataFrame:
     return events.withColumn("day", F.to_date(F.timestamp_millis("ts_ms")))
 
 
-def write_load(events: DataFrame, store: str, load: int, first_lines: DataFrame | None = None) -> None:
-    """Write ``events``, without the lines themselves, as a load; ``first_lines`` (file_id, first_line) says from which lines on it replaces others."""
+def write_load(events: DataFrame, store: str, load: int, first_lines: DataFrame | None = None, anew: bool = False) -> None:
+    """Write ``events``, without the lines themselves, as a load; ``first_lines`` (file_id, first_line) says from which lines on
+    it replaces others. One that stands is kept, or made ``anew``."""
     spark = events.sparkSession
+    if anew:
+        removed(spark, f"{store}/load={load}")
+        removed(spark, f"{store}/_replaced/load={load}")
     if not exists(spark, f"{store}/load={load}"):
         made = f"{store}/_making-{uuid.uuid4().hex}"
         rows = with_day(events.drop("raw", "byte_offset")).repartition("day", F.pmod(F.xxhash64("file_id", "line_no"), F.lit(8))).sortWithinPartitions("day", "ts_ms")

@@ -144,7 +144,7 @@ def look(spark: SparkSession, folder: str, table: str, parse: Callable[[DataFram
     wanted = moved.filter(F.col("action") != "drop").select("path", "from_byte", "first_line", F.col("now").alias("size"))
     lines = stored(read_from(wanted), "tail")
     first = moved.select(F.xxhash64("path").alias("file_id"), "first_line")
-    write_load(parse(lines.drop("terminated", "size")), table, number, first)
+    write_load(parse(lines.drop("terminated", "size")), table, number, first, anew=True)  # what a look that broke off left may be of other files
     # where the next look goes on: after the last line, or at it if it has no end
     end = F.max_by(F.struct("line_no", "byte_offset", F.col("size").alias("bytes"), "terminated"), "line_no")
     last = lines.groupBy("path").agg(end.alias("e")).select("path", "e.*")
