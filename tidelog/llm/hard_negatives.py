@@ -28,7 +28,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
 from tidelog.llm.common import stored
-from tidelog.llm.topk import LONG, beyond, exact_matrix, usable, whole
+from tidelog.llm.topk import LONG, beyond, exact_matrix, whole
 
 #: Rows in a block, anchors in a team.
 BLOCK_ROWS, TEAM = 8192, 512
