@@ -1,4 +1,4 @@
-"""Exports; each is one Spark write, so a failed one leaves no finished output."""
+"""Exports; but for sidecars, each is one Spark write, so a failed one leaves no finished output."""
 
 from __future__ import annotations
 
@@ -7,6 +7,11 @@ from pyspark.sql import DataFrame
 
 from tidelog.functions import severity as sev
 from tidelog.sources.annotations import GENERATOR, VERSION
+from tidelog.sources.lines import SIDECAR
+from tidelog.sources.ranges import write_files
+
+#: Folders that sidecars are spread over.
+FOLDERS = 1024
 
 
 def export_text(rows: DataFrame, path: str) -> None:
@@ -62,5 +67,11 @@ def sidecars(notes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def write_annotations(notes: DataFrame, files: DataFrame, path: str) -> None:
-    """A sidecar per file, under ``file_id=``."""
-    sidecars(notes, files).write.partitionBy("file_id").text(path)
+    """A sidecar per file, ``file_id=<file_id>.notes.json`` below one of ``FOLDERS`` folders.
+
+    Tasks write the files: Spark's writer makes a folder for each and moves them one after the other. A repeated task
+    writes over its files.
+    """
+    folder = F.pmod(F.xxhash64("file_id"), F.lit(FOLDERS)).cast("string")
+    name = F.concat(F.lit(f"{path}/"), folder, F.lit("/file_id="), F.col("file_id").cast("string"), F.lit(SIDECAR))
+    write_files(sidecars(notes, files).select(name.alias("path"), F.encode("value", "UTF-8").alias("content")))

@@ -10,6 +10,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.sources.ranges import whole_texts
+
 VERSION = 1
 GENERATOR = "tidelog/1"
 _ENTRY = "struct<id:string,startLine:double,endLine:double,note:string,color:string,tag:string,author:string,createdAt:string,modifiedAt:string,anchor:struct<lineSha256:string,snippet:string>>"
@@ -21,8 +23,7 @@ _NIL = "00000000-0000-0000-0000-000000000000"
 def read_annotations(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(notes, rejected, files): sidecars that are no JSON object or of another version are rejected whole, entries one by
     one; ``files`` has the identity that each sidecar keeps of its log, for ``match_identity``."""
-    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return parse_annotations(text)
+    return parse_annotations(whole_texts(spark, paths))
 
 
 def parse_annotations(text: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
