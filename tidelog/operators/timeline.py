@@ -70,7 +70,8 @@ def first_rows_at_times(rows: DataFrame, times: DataFrame, bucket_ms: int = 3_60
     asked = times.select(F.floor(F.col("t_ms") / bucket_ms).alias("b"), F.col("t_ms").alias("at"), F.lit(None).cast(own.schema["row"].dataType).alias("row"), "t_ms").distinct()
     firsts = own.groupBy("b").agg(F.min("row").alias("first"))
     later = firsts.unionByName(asked.select("b", F.lit(None).cast(firsts.schema["first"].dataType).alias("first")).distinct()).groupBy("b").agg(F.min("first").alias("first"))
-    ahead = later.select("b", F.first("first", ignorenulls=True).over(Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)).alias("next"))
-    inside = Window.partitionBy("b").orderBy("at", F.col("t_ms").isNull(), F.col("row")).rowsBetween(0, Window.unboundedFollowing)
-    found = own.unionByName(asked).withColumn("hit", F.first("row", ignorenulls=True).over(inside)).filter("t_ms is not null")
+    # backward, over frames that grow by a row: frames that shrink are gone through anew for every row
+    ahead = later.select("b", F.last("first", ignorenulls=True).over(Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)).alias("next"))
+    inside = Window.partitionBy("b").orderBy(F.desc("at"), F.col("t_ms").isNull().desc(), F.desc("row")).rowsBetween(Window.unboundedPreceding, 0)
+    found = own.unionByName(asked).withColumn("hit", F.last("row", ignorenulls=True).over(inside)).filter("t_ms is not null")
     return found.join(ahead, "b").withColumn("r", F.coalesce("hit", "next")).select("t_ms", "r.ts_ms", "r.file_id", "r.line_no")
