@@ -5,6 +5,9 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 
+from tidelog.functions.severity import number_of
+from tidelog.functions.timecol import found, groups, let
+
 # Patterns of coordinates (case-insensitive).
 TIMESTAMP = r"(?i)^\[?\d{4}[-/]\d{2}[-/]\d{2}[T\s]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:\s*[+-]\d{2}:?\d{2}|Z)?\]?\s*"
 KEY_VALUE = r"(?i)latitude[=:]\s*([-+]?\d+\.?\d*)\s*°.*longitude[=:]\s*([-+]?\d+\.?\d*)\s*°"
@@ -14,7 +17,7 @@ DMS = r"""(?i)(\d+)\s*°\s*(\d+)\s*'\s*(\d+(?:\.\d+)?)\s*"?\s*([NS])\s*[,\s]+\s*
 
 
 def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("double")
+    return number_of(F.regexp_extract(text, pattern, group), "double")
 
 
 def _point(lat: Column, lon: Column) -> Column:
@@ -34,10 +37,14 @@ def geo_decimal(text: Column) -> Column:
 
 
 def geo_dms(text: Column) -> Column:
-    """Degrees, minutes and seconds with hemispheres."""
-    d = {i: _number(text, DMS, i) for i in (1, 2, 3, 5, 6, 7)}
-    good = (d[1] <= 90) & (d[2] < 60) & (d[3] < 60) & (d[5] <= 180) & (d[6] < 60) & (d[7] < 60)
-    side = lambda i, letter: F.when(F.upper(F.regexp_extract(text, DMS, i)) == letter, -1).otherwise(1)
+    """Degrees, minutes and seconds with hemispheres, by one run of the pattern."""
+    return let(groups(text, DMS, range(1, 9)), _dms_point)
+
+
+def _dms_point(parts: Column) -> Column:
+    d = {i: number_of(F.get(parts, F.lit(i)), "double") for i in (1, 2, 3, 5, 6, 7)}
+    good = found(parts, 8) & (d[1] <= 90) & (d[2] < 60) & (d[3] < 60) & (d[5] <= 180) & (d[6] < 60) & (d[7] < 60)
+    side = lambda i, letter: F.when(F.upper(F.get(parts, F.lit(i))) == letter, -1).otherwise(1)
     lat, lon = (d[1] + d[2] / 60.0 + d[3] / 3600.0) * side(4, "S"), (d[5] + d[6] / 60.0 + d[7] / 3600.0) * side(8, "W")
     return F.when(F.coalesce(good, F.lit(False)), _point(lat, lon))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 
 from tidelog.functions.geo import coordinates
 from tidelog.functions.predicates import bbox_filter
+from tidelog.operators.parse import once
 from tidelog.sources.lines import line_numbers, read_lines
 from tidelog.sources.ranges import rejects
 
@@ -53,7 +54,7 @@ def read_sound(spark: SparkSession, files: DataFrame, rejected: DataFrame, **opt
 
 def geo_points(lines: DataFrame) -> DataFrame:
     """``file_id``, ``line_no``, ``lat``, ``lon`` of lines that hold coordinates."""
-    return lines.withColumn("_p", coordinates(F.col("raw"))).filter("_p is not null").select("file_id", "line_no", "_p.lat", "_p.lon")
+    return once(lines, ["file_id", "line_no"], {"_p": coordinates(F.col("raw"))}).filter("_p is not null").select("file_id", "line_no", "_p.lat", "_p.lon")
 
 
 def geo_visible(points: DataFrame, rows: DataFrame, area: tuple[float, float, float, float] | None = None) -> DataFrame:
