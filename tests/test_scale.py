@@ -7,6 +7,9 @@ import pyspark.sql.functions as F
 from tidelog.functions import severity as sev
 from tidelog.operators import sinks, timeline
 from tidelog.sources import annotations as A
+from tests.test_queries import same
+from tidelog.plans import queries
+from tidelog.sources import lines as L
 from tidelog.sources import ranges
 
 
@@ -40,3 +43,29 @@ def test_numbers_of_texts(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for kind in ("int", "bigint", "decimal(38,9)"):
         assert df.filter(~sev.number_of(F.col("t"), kind).eqNullSafe(F.col("t").try_cast(kind))).count() == 0, kind
+
+
+def test_numbers_and_offsets_go_on_from_file_to_file_of_a_log(spark, tmp_path):
+    texts = {"a-0.txt": "x\nyé\n", "a-1.txt": "\r\nlast\n" * 400, "b-0.txt": "z\n\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    log = F.regexp_extract("path", "([ab])-", 1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = L.read_folder(spark, str(tmp_path), ("*.txt",), log, offsets=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for which, names in (("a", ["a-0.txt", "a-1.txt"]), ("b", ["b-0.txt"])):
+        whole = "".join(texts[n] for n in names).encode().split(b"\n")[:-1]
+        want = [(i, sum(len(x) + 1 for x in whole[:i]), x.removesuffix(b"\r").decode()) for i, x in enumerate(whole)]
+        assert sorted((r["line_no"], r["byte_offset"], r["raw"]) for r in got if f"/{which}-" in r["path"]) == want
+
+
+def test_a_log_is_cut_into_files_as_it_grows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(queries, "SEGMENT", 4096)
+    path = queries.written_files(spark, sf_dir)
+    assert queries.listed_logs(spark, path).count() > 40
+    for name in ("line_numbers", "line_offsets", "match_identity", "file_identity", "grep_errors", "grep_sound", "read_gzip", "read_folder", "read_lines"):
+        same(spark, sf_dir, name)
