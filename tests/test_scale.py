@@ -67,5 +67,5 @@ def test_a_log_is_cut_into_files_as_it_grows(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(queries, "SEGMENT", 4096)
     path = queries.written_files(spark, sf_dir)
     assert queries.listed_logs(spark, path).count() > 40
-    for name in ("line_numbers", "line_offsets", "match_identity", "file_identity", "grep_errors", "grep_sound", "read_gzip", "read_folder", "read_lines"):
+    for name in ("line_numbers", "line_offsets", "match_files", "file_identity", "grep_errors", "grep_sound", "read_gzip", "read_folder", "read_lines"):
         same(spark, sf_dir, name)
