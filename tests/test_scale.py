@@ -1,14 +1,19 @@
 """What has to stay bounded as tables grow."""
 
+import inspect
 import random
+import tracemalloc
 
+import numpy as np
 import pyspark.sql.functions as F
 
 from tidelog.functions import severity as sev
 from tidelog.operators import sinks, timeline
 from tidelog.sources import annotations as A
 from tests.test_queries import same
+from tidelog.llm import language_id, pii
 from tidelog.plans import queries
+from tidelog.plans import rendered as R
 from tidelog.sources import lines as L
 from tidelog.sources import ranges
 
@@ -69,3 +74,25 @@ def test_a_log_is_cut_into_files_as_it_grows(spark, sf_dir, monkeypatch):
     assert queries.listed_logs(spark, path).count() > 40
     for name in ("line_numbers", "line_offsets", "match_files", "file_identity", "grep_errors", "grep_sound", "read_gzip", "read_folder", "read_lines"):
         same(spark, sf_dir, name)
+
+
+def test_a_file_is_parsed_by_its_own_format_only(spark, sf_dir):
+    files = {r["file_id"] for r in R.parsed(spark, sf_dir, "logcat", "file_id >= 2").select("file_id").distinct().collect()}
+    assert files == {2, 3, 4}
+    same(spark, sf_dir, "timeline_merge")
+
+
+def test_trees_are_fitted_on_all_examples():
+    assert inspect.signature(pii.fit_pii_model).parameters["max_candidates"].default is None
+
+
+def test_a_duel_is_fitted_in_one_copy():
+    rng = np.random.default_rng(5)
+    x = (rng.random((4000, 512)) * np.linspace(0, 9, 512)).astype(np.float32)
+    y = np.where(x[:, 7] + x[:, 300] > 3, 1.0, -1.0).astype(np.float32)
+    tracemalloc.start()
+    w, bias = language_id.squared_hinge(x, y, 0.01, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * x.nbytes
+    assert ((x @ w + bias > 0) == (y > 0)).mean() > 0.8
