@@ -54,8 +54,8 @@ CUES = r"(?i)(tel|phone|call|fax|mobile|card|visa|iban|account|mail|contact|addr
 #: Content in general (whether it could be of the kind, how its digits are grouped) and context; nothing tells one sign that
 #: parts it from another, or an address in words from one in signs.
 FEATURES = ("kind", "sound", "groups", "longest_group", "signs", "plus", "luhn", "left_blank", "left_word", "right_blank", "right_word", "cue")
-#: Most candidates that the trees are fitted on, and the precision that thresholds are calibrated to.
-MAX_CANDIDATES, PRECISION, UNLABELLED = 100_000, 0.98, 0.05
+#: The precision that thresholds are calibrated to, and the weight of an example without a label.
+PRECISION, UNLABELLED = 0.98, 0.05
 
 
 def digits_of(match: Column) -> Column:
@@ -218,12 +218,12 @@ def examples(candidates: DataFrame) -> DataFrame:
     return told.select(F.col("c").withField("value", F.col("v.value")).alias("c"), "v.label", "v.weight", "v.hidden", F.xxhash64("c.value", "c.before", "c.after").alias("key"))
 
 
-def fit_pii_model(labelled: DataFrame, max_candidates: int = MAX_CANDIDATES, precision: float = PRECISION, trees: int = 15, depth: int = 5) -> PiiModel:
-    """Fit on ``examples``, at most about ``max_candidates``; a fifth of the contents calibrates."""
+def fit_pii_model(labelled: DataFrame, max_candidates: int | None = None, precision: float = PRECISION, trees: int = 15, depth: int = 5) -> PiiModel:
+    """Fit on all ``examples`` (or, where wanted, on about ``max_candidates``); a fifth of the contents calibrates."""
     n, positive = labelled.agg(F.count("label"), F.sum("label")).first()
     if not n or not 0 < positive < n:
         return PiiModel(None, {})
-    picked = labelled.filter(share_below(F.col("key"), bounded_share(n, max_candidates)))
+    picked = labelled if max_candidates is None else labelled.filter(share_below(F.col("key"), bounded_share(n, max_candidates)))
     picked = stored(with_features(picked).withColumn("part", F.pmod(F.col("key"), F.lit(5))), "pii-sample")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(picked)
     gbt = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, minWeightFractionPerNode=0.005, seed=3, checkpointInterval=-1)
