@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pyspark.sql.functions as F
+import pytest
 
 from tidelog.functions import severity as sev
 from tidelog.operators import sinks, timeline
@@ -76,6 +77,29 @@ def test_a_log_is_cut_into_files_as_it_grows(spark, sf_dir, monkeypatch):
         same(spark, sf_dir, name)
 
 
+def test_followed_logs_go_on_in_files_of_bounded_size(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "ROLLED", 30)
+    monkeypatch.setattr(queries, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    same(spark, sf_dir, "follow_folder")
+    files = {f"{p.parent.name}/{p.name}": p.read_text() for p in tmp_path.glob("logs/*/*.log")}
+    assert len(files) > 20 and max(t.count("\n") for t in files.values()) == 30 and not any(f.startswith("3/") for f in files)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 10000])
+def test_lines_are_written_as_files(spark, tmp_path, rows):
+    want = {f"{tmp_path}/{f}/a.log": [f"{f} é{i}" * (i % 3) for i in range(f + 1)] for f in range(7)}
+    lines = spark.createDataFrame([(p, i, x, len(own) % 2 == 0) for p, own in want.items() for i, x in reversed(list(enumerate(own)))], "path string, n long, raw string, ended boolean")
+    for _ in range(2):  # over what is there
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            ranges.write_lines(lines, "n")
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for path, own in want.items():
+        with open(path, newline="") as f:
+            assert f.read() == "\n".join(own) + ("\n" if len(own) % 2 == 0 else "")
+
+
 def test_a_file_is_parsed_by_its_own_format_only(spark, sf_dir):
     files = {r["file_id"] for r in R.parsed(spark, sf_dir, "logcat", "file_id >= 2").select("file_id").distinct().collect()}
     assert files == {2, 3, 4}
