@@ -10,9 +10,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pyspark.sql.functions as F
 import pytest
 
-from tidelog.llm import words
+from tidelog.llm import jaccard_join, words
 from tidelog.llm.common import new_path, placed
 from tidelog.llm.decontaminate import contamination, local_alignment
 from tidelog.llm.jaccard_join import jaccard_classes, one_of_each, shingle_order
@@ -306,6 +307,23 @@ def edited(rng, text, n):
     return " ".join(w)
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_sets_outside_of_pairs_stay_where_they_are(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "SENT", most)
+    sets = spark.createDataFrame([(i, 8, [*range(7), 100 + i // 3]) for i in range(30)], "row long, n long, s array<long>")
+    pairs = spark.createDataFrame([(1, 0), (4, 3), (5, 0), (29, 2), (2, 0)], "a long, b long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the sets were large
+    try:
+        got = jaccard_join.verified(pairs, sets)
+        assert {tuple(r) for r in got.collect()} == {(1, 0), (4, 3), (5, 0), (29, 2), (2, 0)}
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert most == 0 or "hashpartitioning(a#" not in plan
+        assert jaccard_join.verified(pairs, sets.withColumn("s", F.transform("s", lambda x: x + F.col("row")))).count() < 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_jaccard_classes(make_docs):
     rng = random.Random(9)
     base, passage = prose(rng, 120), prose(rng, 60)

@@ -44,6 +44,8 @@ LEVELS = (2, *(4**k for k in range(1, 12)))
 BITS, HIGH_BITS = 27, 24
 #: Shingles that a task sorts at once, and those that one cell of the count table shall hold, about.
 HELD, CELL = 1_500_000, 1 << 20
+#: Rows of a table of numbers that may be sent to the tasks that read the sets; beyond this the sets are shuffled to meet it.
+SENT = 1_000_000
 _SALTS = np.array([0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A], np.uint64)
 
 
@@ -181,7 +183,10 @@ def in_reach(n: Column, at: Column, least: Column) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``a``, ``b`` of ``pairs`` of members that link, by their sets (``row``, ``n``, ``s``)."""
+    """The ``a``, ``b`` of ``pairs`` of members that link, by their sets (``row``, ``n``, ``s``).
+
+    Only sets of members that are in a pair are shuffled, once per pair.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,9 +197,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 linked.append(100 * common >= PERCENT * (n - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
+    pairs = stored(pairs, "pairs")
+    few = pairs.count() <= SENT
+    sent = lambda df: F.broadcast(df) if few else df
     a = sets.select(F.col("row").alias("a"), F.col("n").alias("na"), "s")
-    b = sets.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("s").alias("t"))
-    met = pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "s", "t")
+    b = sets.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("s").alias("t")).join(sent(pairs.select("b").distinct()), "b", "left_semi")
+    met = a.join(sent(pairs), "a").join(b, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "s", "t")
     return met.mapInArrow(check, "a long, b long, linked boolean").filter("linked").select("a", "b")
 
 
@@ -255,13 +263,14 @@ def row_classes(docs: DataFrame) -> DataFrame:
     member_of = stored(full.join(same, ["k1", "k2", "n_shingles"]).select("row", "member"), "member-of")
     n, unique = F.col("n_shingles"), F.col("n_shingles") - F.size("s")
     prefix = F.slice("s", F.lit(1), (F.floor(n * (100 - PERCENT) / 100) + 1 - unique).cast("int"))
-    sets = found.filter(F.size("s") > 0).join(member_of.filter("row = member").select("row"), "row", "left_semi")
-    sets = stored(sets.select("row", n.alias("n"), "s", prefix.alias("prefix"), F.xxhash64(prefix, n).alias("g")), "sets")
-    # groups by size and shared prefix, named by their first member
-    first_of = sets.groupBy("g").agg(F.min("row").alias("grp"))
-    members = stored(sets.select("row", "n", "g").join(first_of, "g").select("row", "n", "grp"), "grouped")
-    firsts = sets.join(members.filter("row = grp").select("row"), "row", "left_semi")
-    entries = firsts.select(F.col("row").alias("grp"), "n", (F.col("n") - F.size("s")).alias("u"), F.posexplode("prefix").alias("k", "t"))
+    sets = found.filter(F.size("s") > 0).select("row", n.alias("n"), "s", prefix.alias("prefix"), F.xxhash64(prefix, n).alias("g"))
+    # groups by size and shared prefix, named by their first member; equal sets are of the same group, so sets stay as they are written
+    grouped = stored(sets.select("row", "n", "g").join(member_of.filter("row = member").select("row"), "row", "left_semi"), "members")
+    first_of = grouped.groupBy("g").agg(F.min("row").alias("grp"))
+    members = stored(grouped.join(first_of, "g").select("row", "n", "grp"), "grouped")
+    heads = members.filter("row = grp").select("row")
+    firsts = sets.select("row", "n", F.size("s").alias("size"), "prefix").join(F.broadcast(heads) if heads.count() <= SENT else heads, "row", "left_semi")
+    entries = firsts.select(F.col("row").alias("grp"), "n", (F.col("n") - F.col("size")).alias("u"), F.posexplode("prefix").alias("k", "t"))
     entries = entries.select("t", "grp", "n", (F.col("u") + F.col("k")).alias("at"))
     lists = entries.groupBy("t").agg(F.min("n").alias("least"), F.count("*").alias("c")).filter("c > 1").drop("c")
     entries = stored(entries.join(lists, "t").filter(in_reach(F.col("n"), F.col("at"), F.col("least"))).drop("least"), "entries")
