@@ -1,12 +1,15 @@
 """What has to stay bounded as tables grow."""
 
+import gc
 import inspect
 import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
+from pyspark.sql import GroupedData
 
 from tidelog.functions import severity as sev
 from tidelog.operators import sinks, timeline
@@ -120,3 +123,37 @@ def test_a_duel_is_fitted_in_one_copy():
     tracemalloc.stop()
     assert peak < 1.5 * x.nbytes
     assert ((x @ w + bias > 0) == (y > 0)).mean() > 0.8
+
+
+def most_held(work) -> int:
+    """Bytes that numpy and Arrow hold at once while ``work`` yields."""
+    gc.collect()
+    before, arrow = pa.total_allocated_bytes(), 0
+    tracemalloc.start()
+    for _ in work:
+        arrow = max(arrow, pa.total_allocated_bytes() - before)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak + arrow
+
+
+def test_language_workers_hold_a_slice_and_one_copy_of_a_duel(spark, monkeypatch):
+    """What the tasks run is called here, where its memory can be read."""
+    passes = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: passes.append(f) or self.sparkSession.createDataFrame([], schema))
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, f, schema: passes.append(f) or self._df.sparkSession.createDataFrame([], schema))
+    docs = spark.createDataFrame([(1, "ein Satz", "de"), (2, "a phrase", "en")], "doc_id long, text string, lang string")
+    model = language_id.fit_language_model(docs)
+    language_id.with_language(docs, model)
+    features, fit, predict = passes
+    rng = np.random.default_rng(3)
+    texts = pa.array(["".join(chr(97 + c) for c in rng.integers(0, 14, 500)) for _ in range(6000)])
+    langs = pa.array(["de", "en"] * 3000)
+    assert most_held(features(iter([pa.RecordBatch.from_arrays([langs, texts], ["lang", "text"])]))) < 40e6
+    part = pa.Table.from_batches(list(features(iter([pa.RecordBatch.from_arrays([langs, texts], ["lang", "text"])])))).drop_columns(["lang"])
+    for name in ("a", "b", "team"):
+        part = part.append_column(name, pa.array([name] * part.num_rows))
+    part = part.append_column("first", pa.array([True, False] * 3000))
+    assert part.nbytes + most_held(fit(x) for x in [part]) < 1.5 * part.num_rows * language_id.BUCKETS * 4
+    columns = [pa.array(range(6000)), texts, langs, pa.array([True] * 6000)]
+    assert most_held(predict(iter([pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "lang", "_letters"])]))) < 20e6

@@ -59,7 +59,7 @@ def item_words(benchmark: DataFrame, item: str = "item_id", text: str = "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in words.slices(batch, "text"):
+            for part, data, offsets in words.slices(batch, "text", words.SMALL_SLICE):
                 h, owner = words.word_hashes(data, offsets, words.PUNCTUATION)
                 count = np.arange(part.num_rows + 1)
                 size = np.diff(np.searchsorted(owner, count))
@@ -105,7 +105,7 @@ def passages(docs: DataFrame, keep: words.HashFilter, reach: int, shapes: list[t
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in words.slices(batch, "text"):
+            for part, data, offsets in words.slices(batch, "text", words.SMALL_SLICE):
                 h, owner = words.word_hashes(data, offsets, words.PUNCTUATION)
                 found = []
                 for shape, salt in shapes:  # one at a time: few seeds of a shape pass

@@ -80,7 +80,7 @@ def shingle_order(docs: DataFrame, text: str = "text") -> Order:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for _, data, offsets in words.slices(batch, "text"):
+            for _, data, offsets in words.slices(batch, "text", words.SMALL_SLICE):
                 held += words.shingle_sets(data, offsets, SHINGLE)
                 n += sum(len(s) for s in held[-(len(offsets) - 1) :])
                 if n >= HELD:
@@ -142,7 +142,7 @@ def shared_sets(docs: DataFrame, order: Order) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in words.slices(batch, "text"):
+            for part, data, offsets in words.slices(batch, "text", words.SMALL_SLICE):
                 sets = words.shingle_sets(data, offsets, SHINGLE)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)])

@@ -251,7 +251,7 @@ def encoded_chunks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             _workers[tokenizer_path] = PieceEncoder(tokenizer_path)
         encoder, seen = _workers[tokenizer_path], set()
         for batch in batches:
-            for part, data, offsets in words.slices(batch, "text", 2 * words.SLICE_BYTES):
+            for part, data, offsets in words.slices(batch, "text", words.SLICE_BYTES // 2):
                 yield block(*encoder.encode(data, offsets), seen, part)
 
     def block(ids: np.ndarray, ends: np.ndarray, seen: set, part: pa.RecordBatch) -> pa.RecordBatch:
@@ -329,11 +329,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pack_roots(spark: SparkSession, path: str) -> DataFrame:
     """Merkle root, chunks and ids of each pack, from the chunk files; a pack is bounded by its digests."""
 
-    def root(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"pack": pdf["pack"][:1], "root": [merkle_root(sorted(pdf["digest"]))], "n_chunks": [len(pdf)], "n_ids": [int(pdf["n"].sum())]})
+    def root(part: pa.Table) -> pa.Table:
+        own = {"root": pa.array([merkle_root(sorted(part.column("digest").to_pylist()))], pa.binary()), "n_chunks": pa.array([part.num_rows]), "n_ids": pa.array([int(np.asarray(part.column("n")).sum())])}
+        return pa.table({"pack": part.column("pack").slice(0, 1), **own})
 
     chunks = spark.read.schema("digest binary, n int, ids binary, pack int").parquet(f"{path}/chunks")
-    return chunks.select("pack", "digest", "n").groupBy("pack").applyInPandas(root, "pack int, root binary, n_chunks long, n_ids long")
+    return chunks.select("pack", "digest", "n").groupBy("pack").applyInArrow(root, "pack int, root binary, n_chunks long, n_ids long")
 
 
 def verified_chunks(spark: SparkSession, path: str) -> DataFrame:
