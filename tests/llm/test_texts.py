@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pyspark.sql.functions as F
 import pytest
 
-from tidelog.llm import jaccard_join, words
+from tidelog.llm import jaccard_join, lm_score, words
 from tidelog.llm.common import new_path, placed
 from tidelog.llm.decontaminate import contamination, local_alignment
 from tidelog.llm.jaccard_join import jaccard_classes, one_of_each, shingle_order
@@ -426,3 +426,32 @@ def test_lm_scores_of_all_ngrams(spark, make_docs, tmp_path, order):
         got = op10_lm_score(spark, str(tmp_path)).collect()
         found = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["log_prob"]) for r in got)
         assert all(abs(a[3] - b[3]) < 1e-2 for a, b in zip(found, want, strict=True))
+
+
+def test_lm_score_shuffles_no_row_per_ngram(spark, make_docs, tmp_path):
+    docs = [(i, " ".join(f"{i}x{k}" for k in range(1000))) for i in range(20)]
+    make_docs(docs).write.parquet(str(tmp_path / "documents.parquet"))
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))}
+    before = stages()
+    assert op10_lm_score(spark, str(tmp_path)).count() == 20
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    passed = sum(n for stage, n in stages().items() if stage not in before)
+    assert 20_000 <= passed < 40_000  # a row per word, not one more for each longer n-gram
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_ngram_counts_in_many_parts(make_docs, monkeypatch, n):
+    rng = random.Random(17)
+    docs = [(i, prose(rng, rng.randint(0, 300), 12)) for i in range(60)] + [(100 + i, t) for i, t in enumerate(ODD)]
+    text = [(t or "").encode() for _, t in docs]
+    h, _ = words.ngram_hashes(*words.word_hashes(np.frombuffer(b"".join(text), np.uint8), np.cumsum([0, *map(len, text)])), n)
+    count = Counter(h.view(np.int64).tolist())
+    monkeypatch.setattr(lm_score, "HELD", 50)  # many runs a task
+    monkeypatch.setattr(lm_score, "PART", 8)
+    for least in (1, 2):
+        got = [(r["h"], r["c"]) for r in lm_score.ngram_counts(make_docs(docs), n, least, None if n == 1 else len(h)).collect()]
+        assert sorted(got) == sorted((g, c) for g, c in count.items() if c >= least)
+    kept = lm_score.kept_filter(lm_score.ngram_counts(make_docs(docs), n, 2, None if n == 1 else len(h)))
+    assert kept.passing(np.array([g for g, c in count.items() if c >= 2], np.int64).view(np.uint64)).all()
+    assert (kept.words != 0).sum() <= sum(c >= 2 for c in count.values())

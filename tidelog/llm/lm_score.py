@@ -12,8 +12,9 @@ log N; with fewer than n words, to the count of its words as one, less log N. N-
 only the others are joined, and the scores are exact.
 
 Tables are partitioned by hash. Counts are summed within a task before they are shuffled, so a very common n-gram is
-a row per task; documents send each distinct n-gram once with its number, only those that a filter of fixed size
-takes for kept, and not the HEAD most frequent, whose values all tasks hold. Orders run one after another.
+an entry per task; those of two words or more travel packed by parts of the hashes, not a row per n-gram. Documents send
+each distinct n-gram once with its number, only those that a filter of fixed size takes for kept, and not the HEAD most
+frequent, whose values all tasks hold. Orders run one after another.
 
 Defined results: words as everywhere here (A-Z lower-cased); null and empty texts have n_words 0, log_prob 0 and null
 per_word and perplexity; repeated rows count and are scored each; scores don't depend on ids. Other columns
@@ -37,6 +38,10 @@ from tidelog.llm.common import fresh, placed, stored
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
 #: Distinct n-grams that a task adds up before it passes their counts on.
 HELD = 4_000_000
+#: Places whose n-grams are added up together.
+PART = 1 << 20
+#: Pieces in which filters travel.
+PIECES = 64
 #: Most frequent n-grams of an order whose values go to all tasks.
 HEAD = 1 << 17
 
@@ -45,46 +50,81 @@ def _grams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, n
     return words.ngram_hashes(*words.word_hashes(data, offsets), n)
 
 
-def ngram_counts(docs: DataFrame, n: int, least: int = 1) -> DataFrame:
-    """``h``, ``c`` of every n-gram of ``text`` that is counted ``least`` times or more.
+def ngram_counts(docs: DataFrame, n: int, least: int = 1, total: int | None = None) -> DataFrame:
+    """``h``, ``c`` of every n-gram of ``text`` that is counted ``least`` times or more; ``total`` is the number of words.
 
-    Tasks pass on sums by hash; what meets in a partition of hashes is summed there.
+    Tasks pass on sums by hash. Words are few, so Spark adds up theirs. Longer n-grams, most of them met once, travel
+    packed, a row for each part of the hashes; a part has some PART places, so as many parts as the texts need.
     """
 
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         held, size = [], 0
         for batch in batches:
             for _, data, offsets in words.slices(batch, "text"):
                 held.append(_grams(data, offsets, n)[0])
                 size += len(held[-1])
                 if size >= HELD:
-                    yield summed(np.concatenate(held), None)
+                    yield summed(np.sort(np.concatenate(held)))
                     held, size = [], 0
-        if held:
-            yield summed(np.concatenate(held), None)
+        if size:
+            yield summed(np.sort(np.concatenate(held)))
 
-    def summed(h: np.ndarray, c: np.ndarray | None) -> pa.RecordBatch:
-        h = np.sort(h) if c is None else h
-        order = None if c is None else np.argsort(h)
-        h = h if order is None else h[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        total = np.diff(np.append(first, len(h))) if c is None else np.add.reduceat(c[order], first) if len(h) else first
-        keep = slice(None) if c is None else total >= least
-        return pa.RecordBatch.from_arrays([pa.array(h[first][keep].view(np.int64)), pa.array(total[keep].astype(np.int64))], ["h", "c"])
+    def summed(h: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        return h[first], np.diff(np.append(first, len(h))) if c is None else np.add.reduceat(c, first)
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(np.asarray(b.column("h")).view(np.uint64), np.asarray(b.column("c"))) for b in batches]
-        if parts:
-            yield summed(np.concatenate([h for h, _ in parts]), np.concatenate([c for _, c in parts]))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, c in within(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+
+    if total is None:
+        return docs.select("text").mapInArrow(rows, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = math.ceil(math.log2(max(total / PART, 4 * partitions, 2)))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, c in within(batches):
+            for at in range(0, len(h), HELD):  # a very long text may bring more
+                yield by_part(h[at : at + HELD], c[at : at + HELD].astype(np.int32))
 
-    return docs.select("text").mapInArrow(within, "h long, c long").repartition("h").mapInArrow(across, "h long, c long")
+    def by_part(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        part = (h >> np.uint64(64 - bits)).astype(np.int32)
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        cuts = np.append(first, len(h))
+        raw = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (h, c)]
+        return pa.RecordBatch.from_arrays([pa.array(part[first]), *raw], ["part", "hashes", "counts"])
+
+    def across(part: pa.Table) -> pa.Table:
+        h, c = (np.frombuffer(b"".join(part.column(x).to_pylist()), kind) for x, kind in (("hashes", np.uint64), ("counts", np.int32)))
+        order = np.argsort(h, kind="stable")  # runs of sorted hashes
+        h, c = summed(h[order], c[order].astype(np.int64))
+        return pa.table([pa.array(h[c >= least].view(np.int64)), pa.array(c[c >= least])], names=["h", "c"])
+
+    runs = docs.select("text").mapInArrow(packed, "part int, hashes binary, counts binary")
+    return runs.groupBy("part").applyInArrow(across, "h long, c long")
 
 
 def kept_filter(table: DataFrame) -> words.HashFilter:
-    """A filter of fixed size that passes every ``h`` of the table."""
-    from tidelog.llm.decontaminate import seed_filter
+    """A filter of fixed size that passes every ``h`` of the table, put together from the tasks' by pieces."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = words.HashFilter()
+        for batch in batches:
+            mine.add(np.asarray(batch.column("h")).view(np.uint64))
+        pieces = mine.words.reshape(PIECES, -1)
+        some = np.flatnonzero(pieces.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pieces[i].tobytes() for i in some], pa.binary())], ["piece", "bits"])
+
+    def either(same: pa.Table) -> pa.Table:
+        found = np.bitwise_or.reduce([np.frombuffer(x, np.uint64) for x in same.column("bits").to_pylist()])
+        return pa.table([same.column("piece").slice(0, 1), pa.array([found.tobytes()], pa.binary())], names=["piece", "bits"])
 
-    return seed_filter(table.select(F.col("h").alias("gram")))
+    found = words.HashFilter()
+    pieces = found.words.reshape(PIECES, -1)
+    table = table.select("h").coalesce(8).mapInArrow(bits, "piece int, bits binary").groupBy("piece").applyInArrow(either, "piece int, bits binary").toArrow()
+    for piece, raw in zip(*(table.column(c).to_pylist() for c in ("piece", "bits")), strict=True):
+        pieces[piece] = np.frombuffer(raw, np.uint64)
+    return found
 
 
 def ngram_parts(docs: DataFrame, n: int, keep: words.HashFilter) -> DataFrame:
@@ -203,7 +243,7 @@ def whole_model_sums(rows: DataFrame, order: int) -> DataFrame:
     total = every.agg(F.sum("c")).first()[0] or 1
     added = None
     for n in range(1, order + 1):
-        counts = every.filter("c > 1") if n == 1 else stored(ngram_counts(rows, n, 2), f"counts-{n}")
+        counts = every.filter("c > 1") if n == 1 else stored(ngram_counts(rows, n, 2, total), f"counts-{n}")
         values = counts.withColumn("v", F.log(F.col("c").cast("double")))
         found = stored(document_sums(rows, n, None if n == 1 else kept_filter(counts), values, order), f"sums-{n}")
         found = found.withColumn("n_words", F.col("n_words") if n == 1 else F.lit(0).cast("bigint"))
@@ -231,7 +271,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", corpus:
     # a word that the corpus lacks joins nothing: every word has this value, known ones the rest
     sums = [stored(document_sums(rows, 1, None, counts[1].withColumn("v", log("c"))), "sums-1")]
     for n in range(2, order + 1):
-        counts[n] = stored(ngram_counts(source, n, min_count), f"counts-{n}")
+        counts[n] = stored(ngram_counts(source, n, min_count, total), f"counts-{n}")
         keep = kept_filter(counts[n])
         parts = stored(ngram_parts(source, n, keep), f"parts-{n}").join(counts[n].hint("shuffle_hash"), "h")
         for side in ("head", "tail"):
